@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import byte_bpe, language_id, minhash_dedup, quality_classifier
+
+#: Place of the vocabulary files; the same on all machines of a cluster.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +21,31 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup,)}
+def _held_out(column: str, parts: int, which: int) -> Column:
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == which, F.lit(False))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(~_held_out("doc_id", 3, 1))
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", _held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    learned = language_id.prototypes(docs.where(~_held_out("doc_id", 4, 2)))
+    found = language_id.identify(docs, learned)
+    return found.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = byte_bpe.decode(byte_bpe.encode(docs, TOKENIZER, PATTERN), TOKENIZER)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op7_language_id, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
