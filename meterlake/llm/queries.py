@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, minhash_dedup, quality_classifier
+from . import byte_bpe, language_id, line_dedup, minhash_dedup, quality_classifier
 
 #: Place of the vocabulary files; the same on all machines of a cluster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op7_language_id, op9_byte_bpe)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, how many went, and the hash of the text that stays."""
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op7_language_id, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
