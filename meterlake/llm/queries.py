@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_dedup, minhash_dedup, quality_classifier
+from . import byte_bpe, decontaminate, language_id, line_dedup, minhash_dedup, quality_classifier
 
 #: Place of the vocabulary files; the same on all machines of a cluster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", F.round("coverage", 4).alias("coverage"), F.round("slot_consistency", 4).alias("slot_consistency"), "verbatim")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     learned = language_id.prototypes(docs.where(~_held_out("doc_id", 4, 2)))
@@ -52,6 +59,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op7_language_id, op9_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op5_decontaminate, op7_language_id, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
