@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import Scratch, emit_table, merge_tables
+from .spark_tools import Scratch, emit_table, merge_tables, without
 from .text_arrays import Run, mix, runs, span_hashes, spans
 
 WINDOW, LEAST = 8, 4
@@ -208,5 +208,5 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    found = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__hit"), "left_anti")
+    found = contaminated(docs, benchmark, id_col, **options).select(id_col).distinct()
+    return without(docs, Scratch(docs.sparkSession, "leaks").table(found), id_col)

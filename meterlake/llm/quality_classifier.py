@@ -136,23 +136,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_arrays(rows, np.array(table["label"].to_pylist(), int) == 1)
 
 
+def scorer(model: Model):
+    """A function from a run of texts to their scores."""
+    bias, share = model.bias, model.share
+    weight, ratio = (None, None) if model.weight is None else (model.weight.astype(np.float32), model.ratio.astype(np.float32))
+
+    def scores(r) -> np.ndarray:
+        if weight is None:
+            return np.full(len(r), share)
+        slot, bounds = indicators(r)
+        text = np.repeat(np.arange(len(r)), np.diff(bounds))
+        margin = np.bincount(text, weight[slot], len(r))
+        size = np.sqrt(np.bincount(text, ratio[slot] ** 2, len(r)))
+        return 1 / (1 + np.exp(-np.clip(2 * (margin / np.maximum(size, 1e-9) + bias), -500, 500)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row: 0 to 1, higher where label 1 is likelier."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    weight, bias, share = (None if model.weight is None else model.weight.astype(np.float32)), model.bias, model.share
-    ratio = None if weight is None else model.ratio.astype(np.float32)
+    kind, scores = docs.schema[id_col].dataType.simpleString(), scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in runs(batch["text"]):
-                if weight is None:
-                    out = np.full(len(r), share)
-                else:
-                    slot, bounds = indicators(r)
-                    text = np.repeat(np.arange(len(r)), np.diff(bounds))
-                    margin = np.bincount(text, weight[slot], len(r))
-                    size = np.sqrt(np.bincount(text, ratio[slot] ** 2, len(r)))
-                    out = 1 / (1 + np.exp(-np.clip(2 * (margin / np.maximum(size, 1e-9) + bias), -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(r.first, len(r)), pa.array(out, pa.float64())], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(r.first, len(r)), pa.array(scores(r), pa.float64())], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+    scores = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in runs(batch[text_col]):
+                yield batch.slice(r.first, len(r)).filter(pa.array(scores(r) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

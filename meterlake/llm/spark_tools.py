@@ -59,6 +59,13 @@ def restrict(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``keys`` (one column, written); null stays."""
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    key = keys.select(F.col(keys.columns[0]).alias("__gone"))
+    return df.join(F.broadcast(key) if small else key, df[column] == F.col("__gone"), "left_anti")
+
+
 def merge_tables(rows: DataFrame, dtype: str, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Merge fixed-size tables that tasks emit as (block int, data binary) rows into one array.
 
