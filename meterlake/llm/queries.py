@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, minhash_dedup, quality_classifier
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, quality_classifier
 
 #: Place of the vocabulary files; the same on all machines of a cluster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
@@ -59,6 +63,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality_classifier, op5_decontaminate, op7_language_id, op9_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op5_decontaminate, op7_language_id, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
