@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, quality_classifier
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, quality_classifier, shards, url_filter
+from .spark_tools import shared_dir
 
 #: Place of the vocabulary files; the same on all machines of a cluster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +40,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+#: The rules that the contract of op4 gives.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry the document whose id ends their path; its quality label marks the path."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    path = url_filter.path_of(F.col("url"))
+    doc = F.expr("try_cast(doc as long)")
+    marked = pages.select(url_filter.host_of(F.col("url")).alias("host"), path.alias("path"), F.regexp_extract(path, r"/(\d+)(?:\.\w+)?/?$", 1).alias("doc")).distinct().withColumn("doc_id", doc)
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)).alias("bad"))
+    labelled = marked.join(labels, "doc_id").select("host", "path", "bad")
+    out = url_filter.filter_urls(pages, url_filter.rule_table(spark, URL_RULES), labelled)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +63,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", F.round("coverage", 4).alias("coverage"), F.round("slot_consistency", 4).alias("slot_consistency"), "verbatim")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight runs, are compacted, and each row tells the shard that holds it."""
+    docs = _read(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append_arrivals(docs, "arrival")
+    store.compact()
+    store.vacuum()
+    return shards.placements(store, "doc_id").select("doc_id", "shard", "tier", "version")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     learned = language_id.prototypes(docs.where(~_held_out("doc_id", 4, 2)))
@@ -51,6 +80,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's directory is its source, then its language."""
+    docs = _read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return license_scan.scan_licenses(docs.select("doc_id", "text", "path"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     both = byte_bpe.decode(byte_bpe.encode(docs, TOKENIZER, PATTERN), TOKENIZER)
@@ -63,6 +98,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op5_decontaminate, op7_language_id, op9_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op4_url_filter, op5_decontaminate, op6_sharding, op7_language_id, op8_license_scan, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
