@@ -7,13 +7,15 @@ no part, so each line is judged alone.
 
 1. One pass writes each line's 128-bit set hash and counts words in a table of fixed size (collisions
    only raise a count, so a word counted once is in one line). Equal sets are grouped; all but the first
-   are removed. Sets held by more than a 1/``HEAVY``-th of all lines (at most ``HEAVY`` sets) go on as their first line alone.
+   are removed. Sets held by more than a 1/``HEAVY``-th of all lines (at most ``HEAVY`` sets) go on as
+   their first line alone.
 2. A second pass orders each line's words by rarity and emits its prefix with size, position and a
-   128-bit set bitmap. Words counted once are left out: no other line has them.
-3. Lines meet by prefix word, a frequent word's in blocks of pairs. Length, positional and bitmap
-   bounds, all exact, leave few candidates; each later line sends on its first ``SENT`` per block pair.
+   96-bit parity sketch of the set. Words counted once are left out: no other line has them.
+3. Lines meet by prefix word, a frequent word's in blocks of pairs. Length, positional and sketch bounds
+   (sketches differ in no more bits than sets do in words), all exact, leave few candidates; each later
+   line sends on its first ``SENT`` per block pair.
 4. Candidates are verified on full sets. Lines that had more candidates and none confirmed are
-   joined again without that limit, so no match is lost.
+   joined again without that limit, over the prefix words they have, so no match is lost.
 
 Defined results: null, empty and blank texts stay as they are; rows with a null id are neither
 compared nor changed; rows sharing an id count as one document; empty tables give empty results;
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from .spark_tools import BROADCAST_KEYS, Scratch, emit_table, merge_tables
 from .text_arrays import Run, mix, runs, sort_within, spans, words
 
-SLOTS = 1 << 21
+SLOTS = 1 << 23
+UNIT_BITS = 1 << 25
 HEAVY = 50_000
 BLOCK_LINES = 4096
 MOST_BLOCKS = 64
 SENT = 16
 PAIRS_AT_ONCE = 1_000_000
-POSTING = "unit long, d long, l int, n int, at int, b1 long, b2 long, h long"
+POSTING = "unit long, d long, l int, size long, b1 long, b2 long"
 
 
 def line_words(run: Run, min_words: int):
@@ -67,10 +70,18 @@ def distinct_sorted(bounds: np.ndarray, key: np.ndarray):
     return key, np.searchsorted(of, np.arange(len(bounds))), of
 
 
-def set_hashes(bounds: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(bounds) < 2:
-        return key[:0], key[:0]
-    return np.add.reduceat(key, bounds[:-1]), np.add.reduceat(mix(key, 3), bounds[:-1])
+_HASH = np.uint64(2**56 - 1)
+
+
+def set_hash(bounds: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """One hash of each range's words, from the low 56 bits of their keys."""
+    return np.add.reduceat(mix(key & _HASH, salt), bounds[:-1]) if len(bounds) > 1 else key[:0]
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts as ordered codes of one byte: below 64 as they are, then eight steps a doubling."""
+    large = np.maximum(counts, 64)
+    return np.where(counts < 64, counts, np.minimum(64 + np.floor(8 * np.log2(large / 64)), 255)).astype(np.uint8)
 
 
 def _ids(batch: pa.RecordBatch, run: Run) -> np.ndarray:
@@ -88,8 +99,8 @@ def scan_lines(min_words: int):
             for r in runs(batch["text"]):
                 text, number, bounds, hashes = line_words(r, min_words)
                 slots.append((hashes & np.uint64(SLOTS - 1)).astype(np.uint32))
-                key, bounds, _ = distinct_sorted(bounds, hashes)
-                h1, h2 = set_hashes(bounds, key)
+                key, bounds, _ = distinct_sorted(bounds, hashes >> np.uint64(8))
+                h1, h2 = set_hash(bounds, key, 1), set_hash(bounds, key, 3)
                 n = len(number)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_ids(batch, r)[text]), pa.array(number), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
@@ -108,50 +119,68 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def scan_postings(min_words: int, percent: int, table, heavy):
-    """Prefix words of lines, with what the filters need. ``table`` and ``heavy`` are Spark broadcasts."""
+def scan_postings(min_words: int, percent: int, table, heavy, only=None):
+    """Prefix words of lines, with what the filters need: size is n * 2^32 + position; b1 and the high half
+    of b2 are the sketch, the low half of b2 is from the set's hash.
+
+    ``table`` and ``heavy`` are Spark broadcasts; with ``only``, a broadcast of bits, just units whose bit is set.
+    """
+    # The most lines that a code stands for, in blocks.
+    code = np.arange(256)
+    blocks_of = np.where(code < 64, 1, np.minimum(np.ceil(64 * 2.0 ** ((code - 63) / 8) / BLOCK_LINES), MOST_BLOCKS)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, (heavy_hash, heavy_d, heavy_l) = table.value, heavy.value
+        codes, (heavy_hash, heavy_d, heavy_l) = table.value, heavy.value
         for batch in batches:
             for r in runs(batch["text"]):
                 text, number, bounds, hashes = line_words(r, min_words)
                 if not len(number):
                     continue
                 d = _ids(batch, r)[text]
-                full, full_bounds, _ = distinct_sorted(bounds, hashes)
-                h, _ = set_hashes(full_bounds, full)
-                # One line stands for a heavy set.
-                at = np.minimum(np.searchsorted(heavy_hash, h), max(len(heavy_hash) - 1, 0))
+                key = codes[hashes & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+                key, bounds, line = distinct_sorted(bounds, key)
+                h = set_hash(bounds, key, 1)
                 skip = np.zeros(len(h), bool)
                 if len(heavy_hash):
+                    at = np.minimum(np.searchsorted(heavy_hash, h), len(heavy_hash) - 1)
                     skip = (heavy_hash[at] == h) & ((heavy_d[at] != d) | (heavy_l[at] != number))
-                line = np.repeat(np.arange(len(h)), np.diff(full_bounds))
-                bit = np.uint64(1) << (full >> np.uint64(57) & np.uint64(63))
-                high = full >> np.uint64(63) == 1
-                b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), full_bounds[:-1])
-                b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), full_bounds[:-1])
-                count = counts[full & np.uint64(SLOTS - 1)].astype(np.uint64)
-                key = np.minimum(count, np.uint64(32767)) << np.uint64(48) | full >> np.uint64(16)
-                blocks = np.minimum((count.astype(np.int64) + BLOCK_LINES - 1) // BLOCK_LINES, MOST_BLOCKS)
-                order = np.lexsort((key, line)) if len(key) else np.zeros(0, int)
-                key, count, blocks = key[order], count[order], blocks[order]
-                n = np.diff(full_bounds)
-                position = np.arange(len(key)) - full_bounds[:-1][line]
-                keep = (position < prefix_length(n, percent)[line]) & (count > 1) & ~skip[line]
-                key, line, position, blocks = key[keep], line[keep], position[keep], blocks[keep]
-                own = (mix(h[line], 31) % blocks.astype(np.uint64)).astype(np.int64) if len(key) else key.astype(np.int64)
-                many = np.repeat(np.arange(len(key)), blocks)
-                other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                lo, hi = np.minimum(own[many], other), np.maximum(own[many], other)
-                unit = np.where(blocks[many] == 1, key[many], mix(key[many] ^ (lo * 1009 + hi + 1).astype(np.uint64), 33))
-                line, position = line[many], position[many]
-                columns = [unit.view(np.int64), d[line], number[line], n[line].astype(np.int32), position.astype(np.int32), b1[line].view(np.int64), b2[line].view(np.int64), h[line].view(np.int64)]
+                place = (key & np.uint64(0xFFFF)) % np.uint64(96)
+                bit, high = np.uint64(1) << (place & np.uint64(63)), place > 63
+                b1 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), bounds[:-1]).view(np.int64)
+                b2 = np.bitwise_xor.reduceat(np.where(high, bit << np.uint64(32), np.uint64(0)), bounds[:-1])
+                b2 = (b2 | h >> np.uint64(32)).view(np.int64)
+                n = np.diff(bounds)
+                position = np.arange(len(key)) - bounds[:-1][line]
+                common = (key >> np.uint64(56)).astype(np.int64)
+                keep = np.flatnonzero((position < prefix_length(n, percent)[line]) & (common > 1) & ~skip[line])
+                key, line, position, blocks = key[keep], line[keep], position[keep], blocks_of[common[keep]]
+                unit = key
+                if (blocks > 1).any():
+                    many = np.repeat(np.arange(len(key)), blocks)
+                    other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    key, line, position, blocks = key[many], line[many], position[many], blocks[many]
+                    own = (h[line] % blocks.astype(np.uint64)).astype(np.int64)
+                    pair = np.minimum(own, other) * 1009 + np.maximum(own, other) + 1
+                    unit = np.where(blocks == 1, key, mix(key ^ mix(pair.astype(np.uint64), 32), 33))
+                if only is not None:
+                    at = unit & np.uint64(UNIT_BITS - 1)
+                    keep = only.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    unit, line, position = unit[keep], line[keep], position[keep]
+                columns = [unit.view(np.int64), d[line], number[line], n[line] << 32 | position, b1[line], b2[line]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in POSTING.split(", ")])
 
     return run
 
 
+def unit_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(UNIT_BITS >> 3, np.uint8)
+    for batch in batches:
+        at = batch["unit"].to_numpy() & UNIT_BITS - 1
+        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    if table.any():
+        yield emit_table(table)
+
+
 def candidates(percent: int, sent: int | None):
     """Earlier lines that may match each later one, from postings sorted by (unit, d, l).
 
@@ -159,7 +188,7 @@ def candidates(percent: int, sent: int | None):
     """
 
     def pairs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        unit = t["unit"]
+        unit, n, position = t["unit"], t["size"] >> 32, t["size"] & 2**32 - 1
         first = np.ones(len(unit), bool)
         first[1:] = unit[1:] != unit[:-1]
         begin = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -174,12 +203,14 @@ def candidates(percent: int, sent: int | None):
             size = earlier[at:to]
             x = np.repeat(np.arange(at, to), size)
             y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + begin[x]
-            nx, ny = t["n"][x], t["n"][y]
+            nx, ny = n[x], n[y]
             need = -(-percent * (nx + ny) // (100 + percent))
-            ok = (np.minimum(nx, ny) >= need) & (np.minimum(nx - t["at"][x], ny - t["at"][y]) >= need)
+            ok = (np.minimum(nx, ny) >= need) & (np.minimum(nx - position[x], ny - position[y]) >= need)
             x, y, both, need = x[ok], y[ok], (nx + ny)[ok], need[ok]
-            apart = sum(np.bitwise_count((t[b][x] ^ t[b][y]).view(np.uint64)).astype(np.int32) for b in ("b1", "b2"))  # signed values would be counted without their sign
-            ok = (apart <= both - 2 * need) & (t["h"][x] != t["h"][y])
+            b1, b2 = ((t[b][x] ^ t[b][y]).view(np.uint64) for b in ("b1", "b2"))  # signed values would be counted without their sign
+            apart = np.bitwise_count(b1).astype(np.int64) + np.bitwise_count(b2 >> np.uint64(32))
+            # Equal sets are step 1's.
+            ok = (apart <= both - 2 * need) & ((apart > 0) | (b2 > 0) | (n[x] != n[y]))
             x, y = x[ok], y[ok]
             more = np.zeros(len(x), bool)
             if sent is not None and len(x):
@@ -256,11 +287,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null and text is not null")
     scanned = scratch.table(rows.mapInArrow(scan_lines(min_words), "d long, l int, h1 long, h2 long, block int, data binary"))
     lines = scanned.where("block is null").select("d", "l", "h1", "h2")
-    counts = merge_tables(scanned.where("block is not null").select("block", "data"), "<u4", np.add)
+    codes = rarity(merge_tables(scanned.where("block is not null").select("block", "data"), "<u4", np.add))
     sets = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "l")).alias("first")).where("n > 1")
     sets = scratch.table(sets)
     copies = scratch.table(lines.join(sets, ["h1", "h2"]).where("d != first.d or l != first.l").select("d", "l").distinct())
-    if not len(counts):
+    if not len(codes):
         return copies
     many = max(2, -(-lines.count() // HEAVY))
     heavy = sorted((r[0] % 2**64, r[1], r[2]) for r in sets.where(F.col("n") > many).select("h1", "first.d", "first.l").collect())
@@ -270,8 +301,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
         seen[x] = seen.get(x, 0) + 1
     heavy = [x for x in heavy if seen[x[0]] == 1]
     shared_heavy = spark.sparkContext.broadcast((np.array([x[0] for x in heavy], np.uint64), np.array([x[1] for x in heavy], np.int64), np.array([x[2] for x in heavy], np.int64)))
-    shared_counts = spark.sparkContext.broadcast(counts)
-    postings = rows.mapInArrow(scan_postings(min_words, percent, shared_counts, shared_heavy), POSTING)
+    shared_codes = spark.sparkContext.broadcast(codes)
+    postings = rows.mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy), POSTING)
 
     def candidate_pairs(postings: DataFrame, sent: int | None) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -290,6 +321,9 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     left = scratch.table(pairs.where("more").select("d", "l").distinct().join(near, ["d", "l"], "left_anti").join(copies, ["d", "l"], "left_anti"))
     out = copies.union(near)
     if not left.isEmpty():
+        own = _meet(rows, left, "inner").drop("lines").mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy), POSTING).join(left, ["d", "l"], "left_semi")
+        bits = spark.sparkContext.broadcast(merge_tables(own.select("unit").mapInArrow(unit_bits, "block int, data binary"), "u1", np.bitwise_or))
+        postings = rows.mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy, bits), POSTING)
         probed = postings.join(left.withColumn("probe", F.lit(True)), ["d", "l"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
         out = out.union(confirmed(candidate_pairs(probed, None)))
     return scratch.table(out.distinct())

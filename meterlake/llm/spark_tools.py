@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a list of keys may be broadcast (16 bytes each, so 16 MB); longer lists are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +68,7 @@ def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def merge_tables(rows: DataFrame, dtype: str, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Merge fixed-size tables that tasks emit as (block int, data binary) rows into one array.
+    """Merge fixed-size tables that tasks emit as (block int, packed data binary) rows into one array.
 
     Blocks merge on the executors; the driver gets one table of the fixed size.
     """
@@ -77,21 +78,22 @@ def merge_tables(rows: DataFrame, dtype: str, merge: Callable[[np.ndarray, np.nd
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
-                own = np.frombuffer(data.as_buffer(), dtype)
+                own = np.frombuffer(zlib.decompress(data.as_buffer()), dtype)
                 held[block] = merge(held[block], own) if block in held else own.copy()
         if held:
             keys = sorted(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k].tobytes() for k in keys], pa.binary())], names=["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(held[k].tobytes(), 1) for k in keys], pa.binary())], names=["block", "data"])
 
     n = max(1, min(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     merged = rows.repartition(n, "block").mapInArrow(step, schema)
-    return np.concatenate([np.frombuffer(r["data"], dtype) for r in merged.sort("block").collect()])
+    parts = [np.frombuffer(zlib.decompress(r["data"]), dtype) for r in merged.sort("block").collect()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
 def emit_table(table: np.ndarray) -> pa.RecordBatch:
     """A table as rows for merge_tables."""
     step = BLOCK // table.itemsize
-    parts = [table[i : i + step].tobytes() for i in range(0, len(table), step)]
+    parts = [zlib.compress(table[i : i + step].tobytes(), 1) for i in range(0, len(table), step)]
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "data"])
 
 
