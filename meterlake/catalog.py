@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import tools
 
-def queries() -> dict:
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.QUERIES["t31_song_timeline"](spark, sf_dir)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(tools.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(tools.ORACLE)
