@@ -66,7 +66,7 @@ def novelty(point_rows: DataFrame, activity: DataFrame | None = None) -> DataFra
     spot = [*KEY, "boundary", "scale"]
     context = _context(point_rows.select(*KEY, "bin_index", "coverage"))
     gate = context.groupBy(*spot).agg(
-        F.count_if(~F.col("right")).alias("n_left"), F.count_if(F.col("right")).alias("n_right"), F.least(_side("coverage", False), _side("coverage", True)).alias("coverage")
+        F.count_if(~F.col("right")).alias("n_left"), F.count_if(F.col("right")).alias("n_right"), F.round(F.least(_side("coverage", False), _side("coverage", True)), 6).alias("coverage")
     )
     least = F.greatest(F.lit(1), F.ceil(F.col("scale") * 0.5))
     ends = point_rows.groupBy(*KEY).agg(F.min("bin_index").alias("first"), F.max("bin_index").alias("last"))
@@ -201,7 +201,9 @@ def families(section_rows: DataFrame, pairs: DataFrame, threshold: float = 0.78)
             out.append((*key, o, chr(65 + best) if best < 26 else chr(64 + best // 26) + chr(65 + best % 26), len(members[best])))
         return pd.DataFrame(out, columns=[*KEY, "ord", "family", "occurrence"])
 
-    return section_rows.select(*KEY, "ord").groupBy(*KEY).cogroup(pairs.groupBy(*KEY)).applyInPandas(assign, "runtime_id string, transport_epoch int, ord int, family string, occurrence int")
+    # Fresh columns on both sides: they may come from the same table.
+    left, right = (df.select(*[F.col(c).alias(c) for c in [*KEY, *rest]]) for df, rest in ((section_rows, ["ord"]), (pairs, ["ord_a", "ord_b", "score"])))
+    return left.groupBy(*[F.col(c) for c in KEY]).cogroup(right.groupBy(*[F.col(c) for c in KEY])).applyInPandas(assign, "runtime_id string, transport_epoch int, ord int, family string, occurrence int")
 
 
 def fixed_sections(length: int = 24, until: int = 180) -> list[tuple[str, int, int, int]]:
