@@ -7,6 +7,7 @@ hops come from ``windows`` (D: W18), flux and rise from a lag over the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,3 +93,96 @@ def changes(measures: DataFrame) -> DataFrame:
     w = Window.partitionBy("runtime_id").orderBy("hop_index")
     up = F.aggregate(F.zip_with("shape", F.lag("shape").over(w), lambda now, old: F.greatest(F.lit(0.0), (now - old).cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
     return measures.select("runtime_id", "hop_index", "rms_db", up.alias("flux"), F.greatest(F.lit(0.0), F.col("rms_db") - F.lag("rms_db").over(w)).alias("rise_db"))
+
+
+def true_peak_db(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Peak of the fourfold oversampled windows (D14), by padding their spectra."""
+    n = left.shape[1]
+    both = [np.abs(np.fft.irfft(np.fft.rfft(x, axis=1), 4 * n, axis=1) * 4).max(axis=1) for x in (left, right)]
+    return _db(np.maximum(*both))
+
+
+def fundamental(left: np.ndarray, right: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, share of tonal power) of the best single pitch of each window (D13); nan if none has two harmonics.
+
+    Candidates are bins from 55 to 1000 Hz; each gathers the strongest of three bins around its first eight harmonics,
+    weighted by 1/h.
+    """
+    n = left.shape[1]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    m = np.abs(np.fft.rfft((left + right) / 2 * hann, axis=1)) / (n / 2)
+    p = m * m
+    near = np.maximum(p, np.maximum(np.pad(p[:, 1:], ((0, 0), (0, 1))), np.pad(p[:, :-1], ((0, 0), (1, 0)))))
+    candidates = np.arange(max(1, math.ceil(55 * n / rate)), int(1000 * n / rate) + 1)
+    floor = near.max(axis=1, keepdims=True) * 1e-4
+    score, found, power = (np.zeros((len(p), len(candidates))) for _ in range(3))
+    for h in range(1, 9):
+        at = candidates * h
+        ok = at < min(p.shape[1], 5000 * n / rate)
+        part = np.where(ok, near[:, np.minimum(at, p.shape[1] - 1)], 0.0)
+        score += np.sqrt(part) / h
+        found += part > floor
+        power += part
+    score = np.where(found >= 2, score, 0.0)
+    best = score.argmax(axis=1)
+    hz = np.fft.rfftfreq(n, 1 / rate)
+    tonal = p[:, (hz >= 80) & (hz <= 5000)].sum(axis=1)
+    rows = np.arange(len(p))
+    none = score[rows, best] <= 0
+    return np.where(none, np.nan, candidates[best] * rate / n), np.where(none, np.nan, np.clip(power[rows, best] / np.maximum(tonal, 1e-18), 0, 1))
+
+
+CONTEXT = 15  # hops before the one measured; the filters have died away after fewer
+
+
+def weighting(n: int, rate: float) -> np.ndarray:
+    """Frequency response of the K weighting of ITU-R BS.1770 on an n-point transform."""
+    z = np.exp(-2j * np.pi * np.arange(n // 2 + 1) / n)
+    # The standard's shelf and high pass as analogue prototypes.
+    k, q, high = math.tan(math.pi * 1681.974450955533 / rate), 0.7071752369554196, 10 ** (3.999843853973347 / 20)
+    band = high**0.4996667741545416
+    shelf = (high + band * k / q + k * k + 2 * (k * k - high) * z + (high - band * k / q + k * k) * z**2) / (1 + k / q + k * k + 2 * (k * k - 1) * z + (1 - k / q + k * k) * z**2)
+    k, q = math.tan(math.pi * 38.13547087602444 / rate), 0.5003270373238773
+    a0 = 1 + k / q + k * k
+    return shelf * (1 - 2 * z + z**2) / (1 + 2 * (k * k - 1) / a0 * z + (1 - k / q + k * k) / a0 * z**2)
+
+
+def hop_energy(hops: DataFrame) -> DataFrame:
+    """K-weighted mean square of every hop, channels added (D14): (runtime_id, hop_index, sample_rate, energy)."""
+    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(-CONTEXT, 0)
+    parts = hops.select("runtime_id", "hop_index", "sample_rate", *[F.flatten(F.collect_list(c).over(w)).alias(c) for c in ("left", "right")])
+    size = (CONTEXT + 1) * HOP
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rate, rows in frame.groupby("sample_rate"):
+                response = weighting(size, float(rate))
+                energy = np.zeros(len(rows))
+                for c in ("left", "right"):
+                    for lo in range(0, len(rows), 64):
+                        x = np.stack([np.pad(np.asarray(v, np.float64), (size - len(v), 0)) for v in rows[c].iloc[lo : lo + 64]])
+                        y = np.fft.irfft(np.fft.rfft(x, axis=1) * response, size, axis=1)[:, -HOP:]
+                        energy[lo : lo + 64] += (y * y).mean(axis=1)
+                yield rows[["runtime_id", "hop_index", "sample_rate"]].assign(energy=energy)
+
+    return parts.mapInPandas(run, "runtime_id string, hop_index long, sample_rate double, energy double")
+
+
+def _lufs(energy):
+    return -0.691 + 10 * F.log10(F.greatest(energy, F.lit(1e-12)))
+
+
+def short_term(energies: DataFrame, rate: float = 48000.0) -> DataFrame:
+    """Loudness of the last three seconds at each hop."""
+    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(1 - round(3 * rate / HOP), 0)
+    return energies.select("runtime_id", "hop_index", _lufs(F.avg("energy").over(w)).alias("lufs_s"))
+
+
+def integrated(energies: DataFrame, rate: float = 48000.0) -> DataFrame:
+    """Gated loudness per track (D14): blocks of 0.4 s every 0.1 s, to the nearest hop; -70 LUFS, then 10 LU under the mean."""
+    block, step = round(0.4 * rate / HOP), round(0.1 * rate / HOP)
+    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(1 - block, 0)
+    blocks = energies.withColumns({"e": F.avg("energy").over(w), "n": F.count("*").over(w)}).where((F.col("n") == block) & (F.col("hop_index") % step == 0))
+    loud = blocks.where(_lufs(F.col("e")) > -70)
+    mean = loud.groupBy("runtime_id").agg(F.avg("e").alias("mean"))
+    return loud.join(mean, "runtime_id").where(_lufs(F.col("e")) > _lufs(F.col("mean")) - 10).groupBy("runtime_id").agg(_lufs(F.avg("e")).alias("lufs_i"))

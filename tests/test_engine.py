@@ -221,3 +221,39 @@ def test_every_query_runs_and_matches_names():
 
     names, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(names) and len(names) > 60
+
+
+def test_loudness_pitch_and_true_peak(spark):
+    # A full-scale 997 Hz sine in one channel reads -3.01 LUFS.
+    t = np.arange(48000 * 4) / 48000
+    x = np.sin(2 * np.pi * 997 * t)
+    hops = [("a", i, 48000.0, x[i * 1024 : (i + 1) * 1024].tolist(), [0.0] * 1024) for i in range(len(x) // 1024)]
+    energy = dsp.hop_energy(spark.createDataFrame(hops, "runtime_id string, hop_index long, sample_rate double, left array<double>, right array<double>"))
+    assert dsp.integrated(energy).first().lufs_i == pytest.approx(-3.01, abs=0.05)
+    assert dsp.short_term(energy).orderBy(F.desc("hop_index")).first().lufs_s == pytest.approx(-3.01, abs=0.05)
+    w = np.arange(dsp.SIZE) / 48000
+    tone = sum(np.sin(2 * np.pi * 220 * h * w) / h for h in range(1, 6))[None] * 0.3
+    hz, share = dsp.fundamental(tone, tone, 48000.0)
+    assert abs(hz[0] - 220) <= 12 and share[0] > 0.3
+    quarter = np.sin(2 * np.pi * 12000 * w + np.pi / 4)[None]
+    assert np.abs(quarter).max() < 0.71 and dsp.true_peak_db(quarter, quarter)[0] == pytest.approx(0, abs=0.1)
+    assert np.isnan(dsp.fundamental(tone * 0, tone * 0, 48000.0)[0][0])
+
+
+def test_udp_messages():
+    import socket
+
+    from meterlake.sources import udp
+
+    reader = udp.UdpReader({"port": "19855"})
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    for data in (udp.encode_osc("/frame", ["Drums", 1.5, 7]), b"junk\0\0\0\0", udp.encode_osc("/identify", ["x"])):
+        out.sendto(data, ("127.0.0.1", 19855))
+    rows, end = reader.read({"seq": 0})
+    rows = list(rows)
+    assert [r[:2] for r in rows] == [("/frame", ["Drums", "1.5", "7"]), ("/identify", ["x"])] and end == {"seq": 2}
+    assert list(reader.readBetweenOffsets({"seq": 0}, {"seq": 1})) == rows[:1]
+    reader.commit(end)
+    assert not reader.kept
+    with pytest.raises(ValueError):
+        udp.port_of({"port": "70000"})
