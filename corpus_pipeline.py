@@ -41,8 +41,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts, decode the ids, and say whether the bytes came back."""
-    encoded = byte_bpe.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), TOKENIZER, PATTERN)
-    back = byte_bpe.decode(encoded, TOKENIZER)
+    hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    back = byte_bpe.encode(hashed, TOKENIZER, PATTERN, decoded=True)
     return back.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 

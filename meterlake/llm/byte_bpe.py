@@ -24,10 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .spark_tools import bound_batches
 from .text_arrays import runs
 
 RUN_BYTES = 256_000
-KEPT_PIECES, KEPT_LENGTH = 400_000, 40
+KEPT_PIECES, KEPT_LENGTH = 200_000, 40
 
 
 def byte_characters() -> dict[str, int]:
@@ -119,16 +120,20 @@ def _kept(batch: pa.RecordBatch, drop: set[str]) -> list[tuple[str, pa.Array]]:
     return [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.lower() not in drop]
 
 
-def encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """``docs`` with n_tokens and ids (and starts, ends: character offsets) in place of the text."""
-    drop = {text_col.lower(), "n_tokens", "ids"} | ({"starts", "ends"} if offsets else set())
+def encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """``docs`` with n_tokens and ids in place of the text; with starts and ends, the character offsets; with
+    decoded, the bytes that the ids stand for, so that a round trip needs one pass through Python."""
+    bound_batches(docs.sparkSession)
+    drop = {text_col.lower(), "n_tokens", "ids"} | ({"starts", "ends"} if offsets else set()) | ({"decoded"} if decoded else set())
     fields = [("n_tokens", T.LongType()), ("ids", T.BinaryType())]
     if offsets:
         fields += [("starts", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType()))]
+    if decoded:
+        fields.append(("decoded", T.BinaryType()))
     schema = _with(docs.drop(text_col), *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _encoder(tokenizer, pattern)
+        encoded, table = _encoder(tokenizer, pattern), byte_table(tokenizer)
         for batch in batches:
             text = batch[text_col]
             for r in runs(text, RUN_BYTES):
@@ -136,8 +141,10 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text"
                 out = [(n, c.slice(r.first, len(r))) for n, c in _kept(batch, drop)]
                 out += [("n_tokens", pa.array([len(x) // 4 for x in ids], pa.int64())), ("ids", pa.array(ids, pa.binary()))]
                 if offsets:
-                    both = [character_offsets(np.frombuffer(x, "<u4"), byte_table(tokenizer)) for x in ids]
+                    both = [character_offsets(np.frombuffer(x, "<u4"), table) for x in ids]
                     out += [(n, pa.array([b[k] for b in both], pa.list_(pa.int64()))) for k, n in enumerate(("starts", "ends"))]
+                if decoded:
+                    out.append(("decoded", pa.array([bytes_of(np.frombuffer(x, "<u4"), table).tobytes() for x in ids], pa.binary())))
                 yield pa.RecordBatch.from_arrays([c for _, c in out], names=[n for n, _ in out])
 
     return docs.mapInArrow(run, schema)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_tools import bound_batches
 from .text_arrays import runs
 
 DIMS = 1024
@@ -86,6 +87,7 @@ def prototypes(learn: DataFrame, text_col: str = "text", lang_col: str = "lang")
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
+    bound_batches(learn.sparkSession)
     rows = learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     parts = rows.mapInArrow(run, "lang string, bundle array<double>")
     sums = parts.select("lang", F.posexplode("bundle").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x"))
@@ -97,6 +99,7 @@ def prototypes(learn: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row; score is the winning cosine, cut to 0..1."""
+    bound_batches(docs.sparkSession)
     names = list(learned)
     matrix = np.stack([v / np.linalg.norm(v) for v in learned.values()]).astype(np.float32) if names else np.zeros((0, DIMS), np.float32)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -36,10 +36,10 @@ from .text_arrays import Run, mix, runs, sort_within, spans, words
 
 SLOTS = 1 << 23
 UNIT_BITS = 1 << 25
-HEAVY = 50_000
+HEAVY = 1_000_000
 BLOCK_LINES = 4096
 MOST_BLOCKS = 64
-SENT = 16
+SENT = 8
 PAIRS_AT_ONCE = 1_000_000
 POSTING = "unit long, d long, l int, size long, b1 long, b2 long"
 
@@ -80,8 +80,10 @@ def set_hash(bounds: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
 
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Counts as ordered codes of one byte: below 64 as they are, then eight steps a doubling."""
-    large = np.maximum(counts, 64)
-    return np.where(counts < 64, counts, np.minimum(64 + np.floor(8 * np.log2(large / 64)), 255)).astype(np.uint8)
+    out = np.minimum(counts, 64).astype(np.uint8)
+    large = counts > 64
+    out[large] = np.minimum(64 + np.floor(8 * np.log2(counts[large] / 64)), 255)
+    return out
 
 
 def _ids(batch: pa.RecordBatch, run: Run) -> np.ndarray:
@@ -95,18 +97,15 @@ def scan_lines(min_words: int):
         counts = np.zeros(SLOTS, np.uint32)
         names = ["d", "l", "h1", "h2", "block", "data"]
         for batch in batches:
-            slots = []
             for r in runs(batch["text"]):
                 text, number, bounds, hashes = line_words(r, min_words)
-                slots.append((hashes & np.uint64(SLOTS - 1)).astype(np.uint32))
+                np.add.at(counts, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
                 key, bounds, _ = distinct_sorted(bounds, hashes >> np.uint64(8))
                 h1, h2 = set_hash(bounds, key, 1), set_hash(bounds, key, 3)
                 n = len(number)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_ids(batch, r)[text]), pa.array(number), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
                 )
-            if slots:
-                counts += np.bincount(np.concatenate(slots), minlength=SLOTS).astype(np.uint32)
         if counts.any():
             table = emit_table(counts)
             n = len(table)
@@ -293,14 +292,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     copies = scratch.table(lines.join(sets, ["h1", "h2"]).where("d != first.d or l != first.l").select("d", "l").distinct())
     if not len(codes):
         return copies
-    many = max(2, -(-lines.count() // HEAVY))
-    heavy = sorted((r[0] % 2**64, r[1], r[2]) for r in sets.where(F.col("n") > many).select("h1", "first.d", "first.l").collect())
+    many = max(1, -(-lines.count() // HEAVY))
+    heavy = sets.where(F.col("n") > many).select("h1", "first.d", "first.l").toArrow()
     # A 64-bit hash stands for the set here; of sets that share one, none is taken for heavy.
-    seen: dict[int, int] = {}
-    for x, _, _ in heavy:
-        seen[x] = seen.get(x, 0) + 1
-    heavy = [x for x in heavy if seen[x[0]] == 1]
-    shared_heavy = spark.sparkContext.broadcast((np.array([x[0] for x in heavy], np.uint64), np.array([x[1] for x in heavy], np.int64), np.array([x[2] for x in heavy], np.int64)))
+    found, at, n = np.unique(heavy["h1"].to_numpy().view(np.uint64), return_index=True, return_counts=True)
+    shared_heavy = spark.sparkContext.broadcast((found[n == 1], heavy["d"].to_numpy()[at[n == 1]], heavy["l"].to_numpy()[at[n == 1]]))
     shared_codes = spark.sparkContext.broadcast(codes)
     postings = rows.mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy), POSTING)
 
@@ -314,7 +310,9 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
         wanted = scratch.table(pairs.select("d", "l").union(pairs.select("d0", "l0")).distinct())
         held = scratch.table(_meet(rows, wanted, "inner").mapInArrow(scan_sets(min_words), "d long, l int, items binary").dropDuplicates(["d", "l"]))
         both = pairs.join(held, ["d", "l"]).join(held.select(F.col("d").alias("d0"), F.col("l").alias("l0"), F.col("items").alias("items0")), ["d0", "l0"])
-        return scratch.table(both.select("d", "l", "items", "items0").mapInArrow(verify(percent), "d long, l int").distinct())
+        found = scratch.table(both.select("d", "l", "items", "items0").mapInArrow(verify(percent), "d long, l int").distinct())
+        scratch.drop(wanted, held)
+        return found
 
     pairs = candidate_pairs(postings, SENT)
     near = confirmed(pairs)
@@ -326,18 +324,22 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
         postings = rows.mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy, bits), POSTING)
         probed = postings.join(left.withColumn("probe", F.lit(True)), ["d", "l"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
         out = out.union(confirmed(candidate_pairs(probed, None)))
-    return scratch.table(out.distinct())
+    gone = scratch.table(out.distinct())
+    scratch.drop(scanned, sets, copies, pairs, near, left)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
     """``docs`` with the later of matching lines taken out, and n_lines, n_removed (longs)."""
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "__d", "__lines")]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     gone = removed_lines(docs, id_col, text_col, percent, min_words)
-    parts = F.split(F.col(text_col), "\n", -1)
+    # The row travels as one struct, so its column names meet no others.
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.struct(*names).alias("row"))
+    text = F.col("row")[text_col]
+    parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("lines", i)), "\n")
-    joined = _meet(docs.select(*names).withColumn("d", F.col(id_col).cast("long")), gone, "left")
-    return joined.select(
-        *[F.when(F.col("lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in names],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+    return _meet(rows, gone, "left").select(
+        *[F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_removed"),
     )

@@ -224,6 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         first = scratch.table(components(first.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), scratch))
 
+    scratch.drop(buckets, stars, in_buckets, sets, links)
+
     reps = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     return (
         signed.select("id", "n_shingles", "h1", "h2")

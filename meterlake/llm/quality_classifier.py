@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_tools import bound_batches
 from .text_arrays import distinct, mix, runs, words
 
 WIDTH = 1 << 18
@@ -119,6 +120,7 @@ def sample_of(labelled: DataFrame, id_col: str, fit_rows: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on labelled rows; ``labels`` has one row per id (of several, the smallest label counts)."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     known = known.where(sample_of(known, id_col, fit_rows))
 
@@ -155,6 +157,7 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row: 0 to 1, higher where label 1 is likelier."""
+    bound_batches(docs.sparkSession)
     kind, scores = docs.schema[id_col].dataType.simpleString(), scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,7 +88,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = byte_bpe.decode(byte_bpe.encode(docs, TOKENIZER, PATTERN), TOKENIZER)
+    both = byte_bpe.encode(docs, TOKENIZER, PATTERN, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

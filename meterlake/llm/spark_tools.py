@@ -17,6 +17,16 @@ BROADCAST_KEYS = 1_000_000
 BLOCK = 1 << 20
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to 4 MB in this session, unless a smaller bound is set: texts can be long."""
+    at = int(str(spark.conf.get(BATCH_BYTES)).rstrip("b"))
+    if at > 4 << 20:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext
@@ -39,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bound_batches(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,10 +59,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this run that nothing reads any more."""
-        fs, at = file_system(self.spark, df.scratch_path)
-        fs.delete(at, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this run that nothing reads any more."""
+        for df in tables:
+            fs, at = file_system(self.spark, df.scratch_path)
+            fs.delete(at, True)
 
 
 def restrict(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
