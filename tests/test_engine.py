@@ -257,3 +257,13 @@ def test_udp_messages():
     assert not reader.kept
     with pytest.raises(ValueError):
         udp.port_of({"port": "70000"})
+
+
+def test_guides(spark, tmp_path):
+    from meterlake.sources import guides
+
+    (tmp_path / "index.md").write_text("# Index\ntext")
+    row = guides.guides(spark, str(tmp_path)).first()
+    assert (row.uri, row.text) == ("guide://index", "# Index\ntext")
+    with pytest.raises(ValueError):
+        guides.guide_path("/g", "../secret.md")
