@@ -13,7 +13,7 @@ no part, so each line is judged alone.
    96-bit parity sketch of the set. Words counted once are left out: no other line has them.
 3. Lines meet by prefix word, a frequent word's in blocks of pairs. Length, positional and sketch bounds
    (sketches differ in no more bits than sets do in words), all exact, leave few candidates; each later
-   line sends on its first ``SENT`` per block pair.
+   line sends on its nearest ``SENT`` at most per block pair.
 4. Candidates are verified on full sets. Lines that had more candidates and none confirmed are
    joined again without that limit, over the prefix words they have, so no match is lost.
 
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from .spark_tools import BROADCAST_KEYS, Scratch, emit_table, merge_tables
 from .text_arrays import Run, mix, runs, sort_within, spans, words
 
-SLOTS = 1 << 23
+SLOTS = 1 << 24
 UNIT_BITS = 1 << 25
 HEAVY = 1_000_000
 BLOCK_LINES = 4096
 MOST_BLOCKS = 64
-SENT = 8
+SENT, SURE = 32, 3
 PAIRS_AT_ONCE = 1_000_000
-POSTING = "unit long, d long, l int, size long, b1 long, b2 long"
+POSTING = "unit long, d long, line long, b1 long, b2 long"
 
 
 def line_words(run: Run, min_words: int):
@@ -78,6 +78,11 @@ def set_hash(bounds: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
     return np.add.reduceat(mix(key & _HASH, salt), bounds[:-1]) if len(bounds) > 1 else key[:0]
 
 
+def add_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of 16-bit counts, at most 65535."""
+    return np.where(a > 65535 - b, np.uint16(65535), a + b)
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Counts as ordered codes of one byte: below 64 as they are, then eight steps a doubling."""
     out = np.minimum(counts, 64).astype(np.uint8)
@@ -94,12 +99,13 @@ def scan_lines(min_words: int):
     """Rows (d, l, h1, h2) of lines, and the task's word counts as rows (block, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)
         names = ["d", "l", "h1", "h2", "block", "data"]
         for batch in batches:
             for r in runs(batch["text"]):
                 text, number, bounds, hashes = line_words(r, min_words)
-                np.add.at(counts, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
+                slot, times = np.unique((hashes & np.uint64(SLOTS - 1)).astype(np.uint32), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + times, 65535)
                 key, bounds, _ = distinct_sorted(bounds, hashes >> np.uint64(8))
                 h1, h2 = set_hash(bounds, key, 1), set_hash(bounds, key, 3)
                 n = len(number)
@@ -119,8 +125,9 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def scan_postings(min_words: int, percent: int, table, heavy, only=None):
-    """Prefix words of lines, with what the filters need: size is n * 2^32 + position; b1 and the high half
-    of b2 are the sketch, the low half of b2 is from the set's hash.
+    """Prefix words of lines, with what the filters need, packed: unit holds 48 bits of the word's hash, then the position
+    (at most 65535: a smaller one only loosens a bound); line is number * 2^32 + n; b1 and the high half of b2
+    are the sketch, the low half of b2 is from the set's hash.
 
     ``table`` and ``heavy`` are Spark broadcasts; with ``only``, a broadcast of bits, just units whose bit is set.
     """
@@ -161,11 +168,12 @@ def scan_postings(min_words: int, percent: int, table, heavy, only=None):
                     own = (h[line] % blocks.astype(np.uint64)).astype(np.int64)
                     pair = np.minimum(own, other) * 1009 + np.maximum(own, other) + 1
                     unit = np.where(blocks == 1, key, mix(key ^ mix(pair.astype(np.uint64), 32), 33))
+                unit = mix(unit, 34) << np.uint64(16) | np.minimum(position, 65535).astype(np.uint64)
                 if only is not None:
-                    at = unit & np.uint64(UNIT_BITS - 1)
+                    at = unit >> np.uint64(16) & np.uint64(UNIT_BITS - 1)
                     keep = only.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    unit, line, position = unit[keep], line[keep], position[keep]
-                columns = [unit.view(np.int64), d[line], number[line], n[line] << 32 | position, b1[line], b2[line]]
+                    unit, line = unit[keep], line[keep]
+                columns = [unit.view(np.int64), d[line], number[line].astype(np.int64) << 32 | n[line], b1[line], b2[line]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in POSTING.split(", ")])
 
     return run
@@ -174,20 +182,21 @@ def scan_postings(min_words: int, percent: int, table, heavy, only=None):
 def unit_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(UNIT_BITS >> 3, np.uint8)
     for batch in batches:
-        at = batch["unit"].to_numpy() & UNIT_BITS - 1
+        at = batch["unit"].to_numpy() >> 16 & UNIT_BITS - 1
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
     if table.any():
         yield emit_table(table)
 
 
 def candidates(percent: int, sent: int | None):
-    """Earlier lines that may match each later one, from postings sorted by (unit, d, l).
+    """Earlier lines that may match each later one, from postings sorted by (unit, d, line).
 
-    With ``sent`` None only lines whose column ``probe`` holds are looked up, without a limit.
+    A later line sends on its nearest candidates by sketch: ``SURE`` if the nearest is well within the bound, else
+    ``sent``; more says that it had others. With ``sent`` None only lines whose column ``probe`` holds are looked up, without a limit.
     """
 
     def pairs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        unit, n, position = t["unit"], t["size"] >> 32, t["size"] & 2**32 - 1
+        unit, n, position = t["unit"] >> 16, t["line"] & 2**32 - 1, t["unit"] & 65535
         first = np.ones(len(unit), bool)
         first[1:] = unit[1:] != unit[:-1]
         begin = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -210,16 +219,20 @@ def candidates(percent: int, sent: int | None):
             apart = np.bitwise_count(b1).astype(np.int64) + np.bitwise_count(b2 >> np.uint64(32))
             # Equal sets are step 1's.
             ok = (apart <= both - 2 * need) & ((apart > 0) | (b2 > 0) | (n[x] != n[y]))
-            x, y = x[ok], y[ok]
+            x, y, apart, sure = x[ok], y[ok], apart[ok], 2 * apart[ok] <= (both - 2 * need)[ok]
             more = np.zeros(len(x), bool)
             if sent is not None and len(x):
+                order = np.lexsort((y, apart, x))
+                x, y, sure = x[order], y[order], sure[order]
                 new = np.ones(len(x), bool)
                 new[1:] = x[1:] != x[:-1]
-                rank = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                more = np.bincount(x, minlength=to)[x] > sent
-                x, y, more = x[rank < sent], y[rank < sent], more[rank < sent]
+                head = np.flatnonzero(new)[np.cumsum(new) - 1]
+                rank, most = np.arange(len(x)) - head, np.where(sure[head], min(SURE, sent), sent)
+                more = np.bincount(x, minlength=to)[x] > most
+                keep = rank < most
+                x, y, more = x[keep], y[keep], more[keep]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t["d"][x], t["l"][x], t["d"][y], t["l"][y], more)], names=["d", "l", "d0", "l0", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t["d"][x], (t["line"][x] >> 32).astype(np.int32), t["d"][y], (t["line"][y] >> 32).astype(np.int32), more)], names=["d", "l", "d0", "l0", "more"])
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +241,7 @@ def candidates(percent: int, sent: int | None):
             t = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             if held:
                 t = {n: np.concatenate([held[n], c]) for n, c in t.items()}
-            cut = int(np.searchsorted(t["unit"], t["unit"][-1])) if len(t["unit"]) else 0
+            cut = int(np.searchsorted(t["unit"] >> 16, t["unit"][-1] >> 16)) if len(t["unit"]) else 0
             yield from pairs({n: c[:cut] for n, c in t.items()})
             held = {n: c[cut:].copy() for n, c in t.items()}
         if held:
@@ -286,7 +299,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null and text is not null")
     scanned = scratch.table(rows.mapInArrow(scan_lines(min_words), "d long, l int, h1 long, h2 long, block int, data binary"))
     lines = scanned.where("block is null").select("d", "l", "h1", "h2")
-    codes = rarity(merge_tables(scanned.where("block is not null").select("block", "data"), "<u4", np.add))
+    codes = rarity(merge_tables(scanned.where("block is not null").select("block", "data"), "<u2", add_counts))
     sets = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "l")).alias("first")).where("n > 1")
     sets = scratch.table(sets)
     copies = scratch.table(lines.join(sets, ["h1", "h2"]).where("d != first.d or l != first.l").select("d", "l").distinct())
@@ -302,7 +315,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
 
     def candidate_pairs(postings: DataFrame, sent: int | None) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = postings.repartition(n, "unit").sortWithinPartitions("unit", "d", "l")
+        word = F.shiftright("unit", 16)
+        dealt = postings.repartition(n, word).sortWithinPartitions(word, "d", "line")
         found = dealt.mapInArrow(candidates(percent, sent), "d long, l int, d0 long, l0 int, more boolean")
         return scratch.table(found.groupBy("d", "l", "d0", "l0").agg(F.max("more").alias("more")))
 
@@ -318,11 +332,12 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     near = confirmed(pairs)
     left = scratch.table(pairs.where("more").select("d", "l").distinct().join(near, ["d", "l"], "left_anti").join(copies, ["d", "l"], "left_anti"))
     out = copies.union(near)
+    number = F.shiftright("line", 32).cast("int")
     if not left.isEmpty():
-        own = _meet(rows, left, "inner").drop("lines").mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy), POSTING).join(left, ["d", "l"], "left_semi")
+        own = _meet(rows, left, "inner").drop("lines").mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy), POSTING).withColumn("l", number).join(left, ["d", "l"], "left_semi")
         bits = spark.sparkContext.broadcast(merge_tables(own.select("unit").mapInArrow(unit_bits, "block int, data binary"), "u1", np.bitwise_or))
         postings = rows.mapInArrow(scan_postings(min_words, percent, shared_codes, shared_heavy, bits), POSTING)
-        probed = postings.join(left.withColumn("probe", F.lit(True)), ["d", "l"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+        probed = postings.withColumn("l", number).join(left.withColumn("probe", F.lit(True)), ["d", "l"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))).drop("l")
         out = out.union(confirmed(candidate_pairs(probed, None)))
     gone = scratch.table(out.distinct())
     scratch.drop(scanned, sets, copies, pairs, near, left)

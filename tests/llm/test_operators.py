@@ -131,9 +131,9 @@ def test_line_dedup_brute_force(spark, monkeypatch):
     for i in range(0, 60, 4):
         texts[i] += "\n" + texts[i // 2].split("\n")[0] + " extra"
     want = lines_to_remove(texts)
-    for sent in (8, 1):  # with few candidates sent on, the exact way for the rest runs
+    for sent in (32, 1):  # with few candidates sent on, the exact way for the rest runs
         monkeypatch.setattr(line_dedup, "SENT", sent)
-        monkeypatch.setattr(line_dedup, "BLOCK_LINES", 4096 if sent == 8 else 8)
+        monkeypatch.setattr(line_dedup, "BLOCK_LINES", 4096 if sent == 32 else 8)
         rows = line_dedup.dedup_lines(documents(spark, texts)).collect()
         for r in rows:
             kept = [x for n, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, n) not in want]
