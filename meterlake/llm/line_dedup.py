@@ -287,7 +287,7 @@ def _by_document(lines: DataFrame) -> DataFrame:
 
 def _meet(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     """Documents with their listed lines; the list is broadcast only where it has at most BROADCAST_KEYS lines."""
-    small = lines.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    small = lines.count() <= BROADCAST_KEYS
     by = _by_document(lines)
     return docs.join(F.broadcast(by) if small else by, "d", how)
 

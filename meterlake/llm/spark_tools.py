@@ -21,9 +21,9 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to 4 MB in this session, unless a smaller bound is set: texts can be long."""
-    at = int(str(spark.conf.get(BATCH_BYTES)).rstrip("b"))
-    if at > 4 << 20:
+    """Keep Arrow batches to 4 MB in this session, unless fewer bytes are set: texts can be long."""
+    at = str(spark.conf.get(BATCH_BYTES)).lower().rstrip("b")
+    if not at.isdigit() or int(at) > 4 << 20:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
@@ -68,13 +68,13 @@ class Scratch:
 
 def restrict(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is in the written table ``keys``; broadcast only up to BROADCAST_KEYS keys."""
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    small = keys.count() <= BROADCAST_KEYS
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
 def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not in ``keys`` (one column, written); null stays."""
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    small = keys.count() <= BROADCAST_KEYS
     key = keys.select(F.col(keys.columns[0]).alias("__gone"))
     return df.join(F.broadcast(key) if small else key, df[column] == F.col("__gone"), "left_anti")
 

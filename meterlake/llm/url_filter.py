@@ -49,7 +49,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, rule_verdict): the longest rule of each distinct host and path that one fits."""
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    small = rules.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    small = rules.count() <= BROADCAST_KEYS
     long = pages.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
     fits = long.join(F.broadcast(rules) if small else rules, "rule_host").where("startswith(path, rule_path)")
     best = F.max(F.struct(F.length("rule").alias("size"), "rule", "rule_verdict")).alias("best")
