@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def guides(spark: SparkSession, folder: str) -> DataFrame:
     """(uri, text) of every Markdown file under a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     return rows.select(F.concat(F.lit("guide://"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)).alias("uri"), F.col("value").alias("text"))
 
 
