@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the later of matching lines out of the texts; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    kept = line_dedup.dedup_lines(docs, min_words=1).drop("n_lines", "n_removed")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -2,13 +2,14 @@
 
 A line's set holds its distinct lower-cased words. A line is removed when an earlier line, by
 (document id, line number), has Jaccard similarity of ``percent`` or more with it; lines of fewer than
-``min_words`` words are too short to tell and stay. Whether the earlier line is itself removed plays
+``min_words`` words stay. Whether the earlier line is itself removed plays
 no part, so each line is judged alone.
 
 1. One pass writes each line's 128-bit set hash and counts words in a table of fixed size (collisions
    only raise a count, so a word counted once is in one line). Equal sets are grouped; all but the first
    are removed. Sets held by more than a 1/``HEAVY``-th of all lines (at most ``HEAVY`` sets) go on as
-   their first line alone.
+   their first line alone. Sets of fewer than ``least_words`` words match equal ones only (at 80 %, up to three
+   words), so this step is all of theirs.
 2. A second pass orders each line's words by rarity and emits its prefix with size, position and a
    96-bit parity sketch of the set. Words counted once are left out: no other line has them.
 3. Lines meet by prefix word, a frequent word's in blocks of pairs. Length, positional and sketch bounds
@@ -95,8 +96,14 @@ def _ids(batch: pa.RecordBatch, run: Run) -> np.ndarray:
     return batch["d"].slice(run.first, len(run)).to_numpy(zero_copy_only=False)
 
 
-def scan_lines(min_words: int):
-    """Rows (d, l, h1, h2) of lines, and the task's word counts as rows (block, data)."""
+def least_words(percent: int) -> int:
+    """The smallest set that an unequal one can match: of n words, a set of n + 1 is the nearest."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**31
+
+
+def scan_lines(min_words: int, percent: int):
+    """Rows (d, l, h1, h2) of lines, and the task's word counts, in lines that unequal ones can match, as rows (block, data)."""
+    least = least_words(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint16)
@@ -104,7 +111,8 @@ def scan_lines(min_words: int):
         for batch in batches:
             for r in runs(batch["text"]):
                 text, number, bounds, hashes = line_words(r, min_words)
-                slot, times = np.unique((hashes & np.uint64(SLOTS - 1)).astype(np.uint32), return_counts=True)
+                counted = hashes[np.repeat(np.diff(bounds) >= least, np.diff(bounds))]
+                slot, times = np.unique((counted & np.uint64(SLOTS - 1)).astype(np.uint32), return_counts=True)
                 counts[slot] = np.minimum(counts[slot] + times, 65535)
                 key, bounds, _ = distinct_sorted(bounds, hashes >> np.uint64(8))
                 h1, h2 = set_hash(bounds, key, 1), set_hash(bounds, key, 3)
@@ -134,12 +142,13 @@ def scan_postings(min_words: int, percent: int, table, heavy, only=None):
     # The most lines that a code stands for, in blocks.
     code = np.arange(256)
     blocks_of = np.where(code < 64, 1, np.minimum(np.ceil(64 * 2.0 ** ((code - 63) / 8) / BLOCK_LINES), MOST_BLOCKS)).astype(np.int64)
+    least = least_words(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, (heavy_hash, heavy_d, heavy_l) = table.value, heavy.value
         for batch in batches:
             for r in runs(batch["text"]):
-                text, number, bounds, hashes = line_words(r, min_words)
+                text, number, bounds, hashes = line_words(r, max(min_words, least))
                 if not len(number):
                     continue
                 d = _ids(batch, r)[text]
@@ -158,7 +167,7 @@ def scan_postings(min_words: int, percent: int, table, heavy, only=None):
                 n = np.diff(bounds)
                 position = np.arange(len(key)) - bounds[:-1][line]
                 common = (key >> np.uint64(56)).astype(np.int64)
-                keep = np.flatnonzero((position < prefix_length(n, percent)[line]) & (common > 1) & ~skip[line])
+                keep = np.flatnonzero((position < prefix_length(n, percent)[line]) & (common > 1) & ~skip[line] & (n >= least)[line])
                 key, line, position, blocks = key[keep], line[keep], position[keep], blocks_of[common[keep]]
                 unit = key
                 if (blocks > 1).any():
@@ -297,7 +306,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, min
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null and text is not null")
-    scanned = scratch.table(rows.mapInArrow(scan_lines(min_words), "d long, l int, h1 long, h2 long, block int, data binary"))
+    scanned = scratch.table(rows.mapInArrow(scan_lines(min_words, percent), "d long, l int, h1 long, h2 long, block int, data binary"))
     lines = scanned.where("block is null").select("d", "l", "h1", "h2")
     codes = rarity(merge_tables(scanned.where("block is not null").select("block", "data"), "<u2", add_counts))
     sets = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "l")).alias("first")).where("n > 1")

@@ -94,7 +94,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, how many went, and the hash of the text that stays."""
-    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
 
 

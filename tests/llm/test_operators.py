@@ -140,6 +140,21 @@ def test_line_dedup_brute_force(spark, monkeypatch):
             assert r.text == "\n".join(kept) and r.n_lines == len(texts[r.doc_id].split("\n")) and r.n_removed == r.n_lines - len(kept)
 
 
+def test_queries_compare_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from meterlake.llm import queries
+
+    few = ["ab", "ba", "ab ab ba", "x y z", "x y", "p q r s", "p q r s t", "p q r t s u", "", " ", "les.", "Les.", "a a a a a", "a", "k l m n o", "k l m n"]
+    texts = ["\n".join(RNG.choice([*few, sentence(RNG.randint(1, 6))]) for _ in range(RNG.randint(1, 8))) for _ in range(60)]
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = lines_to_remove(texts, least=1)
+    kept = ["\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want) for d, t in enumerate(texts)]
+    got = {r.doc_id: r for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[d].text_sha256 for d in range(60)] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == dict(enumerate(kept))
+
+
 def test_embeddings_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PER_CELL", 20)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
