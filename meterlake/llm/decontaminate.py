@@ -7,9 +7,12 @@ the benchmark; an item with fewer tokens is one window of its own length (``LEAS
 shorter items are never found). A table of ``BITS`` bits, of fixed size, drops most windows that no item
 has before the join; the join decides.
 
-A pair (document, item) is reported when the windows met cover ``coverage`` of the item's windows and its
-slots are consistent: in ``consistency`` of the item's slot values that recur or not, one document value
-stands for each. Copies have equal slots (verbatim); re-parameterised questions have other, consistent ones.
+A pair (document, item) is reported when one occurrence is: its windows met cover ``coverage`` of the item's
+windows and its slots are consistent: in ``consistency`` of the item's slot values that recur or not, one document
+value stands for each. A window's offset is its place in the document less that in the item. Occurrences are the
+windows of one offset; those of offsets within an item's length of each other (in two staggered grids, so an
+insertion of up to half that length splits none); those whose slots are equal; and all together. The row tells
+the best that passes: verbatim first, then by coverage. Copies have equal slots (verbatim); re-parameterised questions have other, consistent ones.
 
 Defined results: null and empty texts have no window and match nothing; null ids are left out; a window
 that occurs several times counts once per item position; repeated rows count once; empty tables give
@@ -178,7 +181,7 @@ def contaminated(
     schema = "id long, item long, n_windows long, coverage double, slot_consistency double, verbatim boolean"
     if not len(bits):
         return spark.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_col})
-    counted = own.groupBy("id").agg(F.countDistinct("at").alias("n_item"))
+    counted = own.groupBy("id").agg(F.countDistinct("at").alias("n_item"), (F.max("at") - F.min("at") + WINDOW).alias("length"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     # Widths below WINDOW cost a pass over the words each; all are looked for only if items that short exist.
     short = list(range(LEAST, WINDOW)) if not counted.where("n_item = 1").isEmpty() else []
@@ -186,24 +189,26 @@ def contaminated(
     met = scratch.table(
         seen.withColumnRenamed("slots", "found")
         .join(own.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", "slots"), "hash")
-        .select("id", "item", "item_at", "found", "slots")
+        .select("id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), "found", "slots")
     )
-    cover = met.groupBy("id", "item").agg(F.countDistinct("item_at").alias("n_windows"))
-    cover = cover.join(counted.select(F.col("id").alias("item"), "n_item"), "item").where(F.col("n_windows") >= coverage * F.col("n_item"))
-    pairs = met.select("id", "item", F.explode(F.arrays_zip("slots", "found")).alias("s")).select("id", "item", F.col("s.slots").alias("x"), F.col("s.found").alias("y"))
+    sized = met.join(counted.withColumnRenamed("id", "item"), "item")
+    half = F.floor(F.col("length") / 2)
+    places = [(0, F.lit(0)), (1, F.col("offset")), (2, F.floor(F.col("offset") / F.col("length"))), (3, F.floor((F.col("offset") + half) / F.col("length")))]
+    place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("nth"))
+    every = F.array(*[place(k, x) for k, x in places])
+    equal = F.concat(every, F.array(place(4, F.lit(0))))
+    placed = sized.withColumn("p", F.explode(F.when(F.col("slots") == F.col("found"), equal).otherwise(every))).select("*", "p.kind", "p.nth")
+    key = ["id", "item", "kind", "nth"]
+    cover = placed.groupBy(*key).agg(F.countDistinct("item_at").alias("n_windows"), F.first("n_item").alias("n_item")).where(F.col("n_windows") >= coverage * F.col("n_item"))
+    pairs = placed.select(*key, F.explode(F.arrays_zip("slots", "found")).alias("s")).select(*key, F.col("s.slots").alias("x"), F.col("s.found").alias("y"))
     # Of the values that stand for one slot value, the one seen most often: its share is the consistency.
-    seen_as = pairs.groupBy("id", "item", "x", "y").agg(F.count("*").alias("n"))
-    by_value = seen_as.groupBy("id", "item", "x").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("equal"))
-    slots = by_value.groupBy("id", "item").agg(F.sum("top").alias("top"), F.sum("n").alias("n"), F.sum("equal").alias("equal"))
-    out = cover.join(slots, ["id", "item"], "left").withColumn("share", F.coalesce(F.col("top") / F.col("n"), F.lit(1.0)))
-    return out.where(F.col("share") >= consistency).select(
-        F.col("id").alias(id_col),
-        F.col("item").alias(item_col),
-        "n_windows",
-        (F.col("n_windows") / F.col("n_item")).alias("coverage"),
-        F.col("share").alias("slot_consistency"),
-        F.coalesce(F.col("equal") >= consistency * F.col("n"), F.lit(True)).alias("verbatim"),
-    )
+    seen_as = pairs.groupBy(*key, "x", "y").agg(F.count("*").alias("n"))
+    by_value = seen_as.groupBy(*key, "x").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("equal"))
+    slots = by_value.groupBy(*key).agg(F.sum("top").alias("top"), F.sum("n").alias("n"), F.sum("equal").alias("equal"))
+    found = cover.join(slots, key, "left").withColumn("share", F.coalesce(F.col("top") / F.col("n"), F.lit(1.0))).where(F.col("share") >= consistency)
+    verbatim = F.coalesce(F.col("equal") >= consistency * F.col("n"), F.lit(True))
+    best = found.groupBy("id", "item").agg(F.max(F.struct(verbatim.alias("verbatim"), (F.col("n_windows") / F.col("n_item")).alias("coverage"), "share", "n_windows")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", F.col("b.share").alias("slot_consistency"), "b.verbatim")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -236,6 +236,17 @@ def test_decontamination(spark):
     assert {0, 3, 4, 5} <= kept and not kept & {1, 2, 7}
 
 
+def test_decontamination_by_occurrence(spark):
+    item = "Last week Anna bought 12 apples and 30 pears in Paris for 5 kg of soup and gave 12 apples to her older brother today"
+    other = [item.replace("12", str(40 + k)).replace("Anna", n).replace("30", str(70 + k)).replace("Paris", p).replace("5 kg", f"{k + 6} kg") for k, (n, p) in enumerate([("Peter", "Rome"), ("Eva", "Oslo"), ("Tom", "Bern"), ("Ida", "Kiel")])]
+    late = other[0].replace(" of soup", " of very good and hot soup")
+    torn = item.replace("bought 12", "bought 40")
+    texts = [f"{item}. {other[0]}", ". ".join(other), ". ".join([*other, item]), ".\n".join([late, *other[1:3]]), f"{sentence(30)}. {late}", sentence(60), " ".join(item.split()[:6]), torn]
+    rows = {r.doc_id: r for r in decontaminate.contaminated(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(range(5)) <= set(rows) and not {5, 6} & set(rows)
+    assert [rows[i].verbatim for i in range(4)] == [True, False, True, False] and rows[1].slot_consistency == 1.0 and rows[0].coverage == 1.0
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
