@@ -247,6 +247,15 @@ def test_decontamination_by_occurrence(spark):
     assert [rows[i].verbatim for i in range(4)] == [True, False, True, False] and rows[1].slot_consistency == 1.0 and rows[0].coverage == 1.0
 
 
+def test_decontamination_of_items_without_windows(spark):
+    items = ["12 + 34 = 46", "Anna Smith, Peter Jones, Eva Brown, Tom White, Ida Green, Max Black", "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u826f\u3044\u3067\u3059\u306d", "Yes", "Solve the riddle of seven locked doors tonight", "46 / 2"]
+    hold = [f"{sentence(9)} (12 + 34 = 46) {sentence(9)}", f"{sentence(9)}: with {items[1]} and {sentence(9)}", f"\u6700\u521d\u306b{items[2]}\u3068\u8a00\u3046", f"{sentence(4)}\nyes.\n{sentence(3)}", f"Question 5) {items[4]} {sentence(9)}", f"so 46 / 2 {sentence(3)} and 46/2"]
+    clean = ["yes it is", "12 34 46", "12 - 34 = 46", "Anna Jones, Peter Smith and Eva Black", "\u5929\u6c17\u4eca\u65e5", "Solve the riddle"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, [*hold, *clean]), bench).collect()}
+    assert got == {(i, i) for i in range(6)}
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
