@@ -2,8 +2,11 @@
 
 Rules fit a host and its subdomains and a path prefix; they are joined on host suffixes, and of the rules
 that fit, the longest wins. Other pages get the verdict of their template. Per host and level of the path,
-segments with little support become wildcards (``*``, with a file ending kept), so ids and dates generalise
-while section names stay. Sibling branches whose shares of bad labels do not differ significantly (two-
+segments with fewer than ``SUPPORT`` pages become wildcards (``*``, with a file ending kept), and so do others
+at a place that varies, so ids and dates generalise while section names stay. A segment with support stays where the
+segments with support are few for their pages (no more of them than each has pages on average), where it
+has a ``SHARE`` of its node's pages, or where its share of bad labels differs from its siblings' by more than
+chance explains in so many of them. Sibling branches whose shares of bad labels do not differ significantly (two-
 proportion z below ``Z``) merge. A template is rejected when its smoothed share of bad labels,
 ``(bad + strength * prior) / (labelled + strength)``, reaches ``reject``; prior is the share over all labels.
 
@@ -12,7 +15,7 @@ plain joins, so a hot host is split like any skewed key.
 
 Defined results: a null url, or one without ``://``, has empty host and path; it fits no rule of a non-empty
 host; pages without labels in their template get the prior; repeated rows are judged alike; paths deeper than
-``DEPTH`` segments share one rest wildcard (``**``) below it; empty tables give empty results; other columns are
+``DEPTH`` segments share one rest wildcard (``**``) below it where fewer than ``SUPPORT`` pages go deeper; empty tables give empty results; other columns are
 kept (those named like an output are replaced).
 """
 
@@ -60,23 +63,44 @@ def wildcard(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))
 
 
-def templates(paths: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(host, path, pages) to the same rows with template and parent; level by level from the host down."""
+def templates(paths: DataFrame, support: int = SUPPORT, share: float = SHARE, labels: DataFrame | None = None, z: float = Z) -> DataFrame:
+    """(host, path, pages) to the same rows with template and parent; level by level from the host down.
+    ``labels``: (host, path, bad 0/1 or null)."""
     scratch = Scratch(paths.sparkSession, "templates")
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    rows = scratch.table(paths.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("parent", F.lit("")))
-    deepest = min(DEPTH, rows.agg(F.max(F.size("segments"))).first()[0] or 0)
+    if labels is None:
+        marked = paths.withColumns({"marks": F.lit(0).cast("long"), "bad": F.lit(0).cast("long")})
+    else:
+        by_path = labels.groupBy("host", "path").agg(F.count("bad").alias("marks"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+        marked = paths.join(by_path, ["host", "path"], "left").fillna(0, ["marks", "bad"])
+    rows = scratch.table(marked.withColumns({"segments": segments, "template": F.lit(""), "parent": F.lit(""), "done": F.lit(False)}))
+    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
     for k in range(1, deepest + 1):
-        here = rows.withColumn("segment", F.when(F.size("segments") >= k, F.col("segments")[k - 1]))
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        kept = children.where(F.col("n") >= support).join(nodes, ["host", "template"]).where(F.col("n") >= share * F.col("total")).select("host", "template", "segment", F.lit(True).alias("literal"))
+        if k > DEPTH and rows.where(~F.col("done") & (F.size("segments") >= k)).isEmpty():
+            break
+        here = rows.withColumn("segment", F.when((F.size("segments") >= k) & ~F.col("done"), F.col("segments")[k - 1]))
+        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), F.sum("marks").alias("marks"), F.sum("bad").alias("bad"))
+        held = F.col("n") >= support
+        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("total"), F.count_if(held).alias("several"), total(F.when(held, F.col("n"))).alias("supported"), F.sum("marks").alias("all_marks"), F.sum("bad").alias("all_bad"))
+        rest, rest_bad, pooled = F.col("all_marks") - F.col("marks"), F.col("all_bad") - F.col("bad"), F.try_divide("all_bad", "all_marks")
+        gap = F.abs(F.try_divide("bad", "marks") - F.try_divide(rest_bad, rest))
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "marks") + F.try_divide(F.lit(1.0), rest)))
+        # The largest of so many chance values is about sqrt(2 ln of their number).
+        differs = F.coalesce((gap > 0) & (gap >= (z + F.sqrt(2 * F.log(F.col("several").cast("double")))) * spread), F.lit(False))
+        few = F.col("several").cast("double") * F.col("several") <= F.col("supported")
+        kept = children.where(held).join(nodes, ["host", "template"]).where((F.col("n") >= share * F.col("total")) | few | differs).select("host", "template", "segment", F.lit(True).alias("literal"))
         named = here.join(kept, ["host", "template", "segment"], "left")
         new = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(wildcard(F.col("segment"))))
-        if k == DEPTH:
-            new = F.when(F.size("segments") > k, F.concat(new, F.lit("/**"))).otherwise(new)
         more = F.col("segment").isNotNull()
-        rows = scratch.table(named.select("host", "path", "pages", "segments", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, new).otherwise(F.col("template")).alias("template")))
+        columns = ["host", "path", "pages", "marks", "bad", "segments", "done"]
+        rows = scratch.table(named.select(*columns, F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, new).otherwise(F.col("template")).alias("template")))
+        if k >= DEPTH:
+            deeper = F.size("segments") > k
+            going = rows.where(deeper & ~F.col("done")).groupBy("host", "template").agg(F.sum("pages").alias("going"))
+            ends = deeper & ~F.col("done") & (F.coalesce("going", F.lit(0)) < support)
+            closed = rows.join(going, ["host", "template"], "left").withColumn("ends", ends)
+            rows = scratch.table(closed.select(*[c for c in columns if c != "done"], (F.col("done") | F.col("ends")).alias("done"), "parent", F.when(F.col("ends"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template")))
     return rows.select("host", "path", "template", "parent")
 
 
@@ -105,7 +129,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labels: DataFrame, url_col:
     names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "template", "purity", "verdict")]
     parsed = pages.select(*names).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     paths = scratch.table(parsed.groupBy("host", "path").agg(F.count("*").alias("pages")))
-    placed = scratch.table(templates(paths))
+    placed = scratch.table(templates(paths, labels=labels))
     verdicts = judge(placed.join(labels, ["host", "path"], "left"))
     by_path = placed.join(verdicts, ["host", "parent", "template"]).join(match_rules(paths, rules), ["host", "path"], "left")
     by_path = scratch.table(by_path.select("host", "path", "rule", "template", "purity", F.coalesce("rule_verdict", "template_verdict").alias("verdict")))

@@ -273,6 +273,19 @@ def test_url_rules_and_templates(spark):
     assert rows[10].template == "/buy/*"
 
 
+def test_url_sections_of_large_and_deep_hosts(spark):
+    urls = [("big.io", f"/s{k}/{i}") for k in range(60) for i in range(70)]
+    urls += [("deep.io", f"/a/b/c/d/e/f/g/h/{s}/{i}") for s in ("bad", "good") for i in range(40)]
+    urls += [("ids.io", f"/u{k}/{25 * k + i}") for k in range(100) for i in range(25)]
+    pages = spark.createDataFrame([(n, f"http://{h}{p}") for n, (h, p) in enumerate(urls)], "page_id long, url string")
+    bad = lambda h, p: int("/bad/" in p or h == "big.io" and p.startswith("/s7/") or h == "ids.io" and p.startswith("/u7/"))
+    labels = spark.createDataFrame([(h, p, bad(h, p)) for h, p in urls if int(p.rsplit("/", 1)[1]) % 2], "host string, path string, bad int")
+    rows = url_filter.filter_urls(pages, url_filter.rule_table(spark, RULES), labels).collect()
+    assert len(rows) == len(urls) and all((r.verdict == "block") == bool(bad(r.host, r.path)) for r in rows)
+    found = {r.path: r.template for r in rows}
+    assert found["/s1/1"] == "/s1/*" and found["/u7/181"] == "/u7/*" and found["/u8/201"] == "/*/*"
+
+
 def test_shards(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/s", base=1000, ratio=4, fan_in=3, target=1 << 20)
     assert store.read() is None and store.compact() == 0
