@@ -49,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.held: dict[str, DataFrame] = {}
         bound_batches(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -57,6 +58,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.held[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -64,6 +66,12 @@ class Scratch:
         for df in tables:
             fs, at = file_system(self.spark, df.scratch_path)
             fs.delete(at, True)
+            self.held.pop(df.scratch_path, None)
+
+    def drop_all(self, *but: DataFrame) -> None:
+        """Delete all tables of this run but those that its result reads."""
+        kept = {df.scratch_path for df in but}
+        self.drop(*(df for path, df in list(self.held.items()) if path not in kept))
 
 
 def restrict(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -79,27 +87,28 @@ def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(key) if small else key, df[column] == F.col("__gone"), "left_anti")
 
 
-def merge_tables(rows: DataFrame, dtype: str, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def merge_tables(rows: DataFrame, dtype: str, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], wide: str = "") -> np.ndarray:
     """Merge fixed-size tables that tasks emit as (block int, packed data binary) rows into one array.
 
-    Blocks merge on the executors; the driver gets one table of the fixed size.
+    Blocks merge on the executors, as numbers of type ``wide`` where given; the driver gets one table of the fixed size.
     """
+    wide = wide or dtype
     schema = "block int, data binary"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
-                own = np.frombuffer(zlib.decompress(data.as_buffer()), dtype)
-                held[block] = merge(held[block], own) if block in held else own.copy()
+                own = np.frombuffer(zlib.decompress(data.as_buffer()), dtype).astype(wide)
+                held[block] = merge(held[block], own) if block in held else own
         if held:
             keys = sorted(held)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(held[k].tobytes(), 1) for k in keys], pa.binary())], names=["block", "data"])
 
     n = max(1, min(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     merged = rows.repartition(n, "block").mapInArrow(step, schema)
-    parts = [np.frombuffer(zlib.decompress(r["data"]), dtype) for r in merged.sort("block").collect()]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+    parts = [np.frombuffer(zlib.decompress(r["data"]), wide) for r in merged.sort("block").collect()]
+    return np.concatenate(parts) if parts else np.zeros(0, wide)
 
 
 def emit_table(table: np.ndarray) -> pa.RecordBatch:
