@@ -5,17 +5,20 @@ of each version. Appending writes a small run and commits a version that adds it
 into tiers by size (tier k: up to ``base * ratio^(k + 1)`` bytes); a tier with ``fan_in`` runs or more is merged
 into one run of files of about ``target`` bytes, without a shuffle, and a version that swaps them is committed.
 A version appears by a rename that fails if the name exists, so readers see whole versions and of two writers
-one must retry; a job that dies leaves only unlisted files, which vacuum() removes.
+one must retry. That rename is one step on HDFS; on local disks and object stores, which check first and then rename,
+two writers of one store must take turns. A job that dies leaves only unlisted files; vacuum() removes those older than a
+given age, so that it takes none that another writer is about to list.
 
 Defined results: all rows are kept as they are, null or repeated keys, texts and extra columns included;
 appending an empty table commits nothing; compacting with too few runs changes nothing; a store without a
-version reads as None.
+version reads as None, has no placements, and vacuum() leaves it as it is.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -98,7 +101,8 @@ class ShardStore:
         """Write ``df`` as one run of shards, one per task, and commit it."""
         name = f"run-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/data/{name}")
-        return self._add([name])
+        # Tasks without rows may leave files all the same.
+        return self.version() if self.spark.read.schema(df.schema).parquet(f"{self.path}/data/{name}").isEmpty() else self._add([name])
 
     def append_arrivals(self, df: DataFrame, arrival_col: str) -> int:
         """Write arrivals that come together in one pass; each value of ``arrival_col`` is a run and a version."""
@@ -149,14 +153,17 @@ class ShardStore:
         runs = self.runs(version)
         return self._read(runs) if runs else None
 
-    def vacuum(self) -> None:
-        """Remove runs that the latest version doesn't list, and older manifests."""
+    def vacuum(self, age_s: float = 86_400) -> None:
+        """Remove runs and manifests of that age or more, but for those of the latest version."""
         version = self.version()
+        if not version:
+            return
+        oldest = (time.time() - age_s) * 1000
         live = {r.name for r in self.runs(version)}
         fs, at = self._at("data")
         for s in fs.listStatus(at):
             name = s.getPath().getName()
-            if name in live:
+            if name in live or s.getModificationTime() > oldest:
                 continue
             inner = [x for x in live if x.startswith(name + "/")]
             if not inner:
@@ -167,14 +174,16 @@ class ShardStore:
                         fs.delete(t.getPath(), True)
         fs, at = self._at("manifest")
         for s in fs.listStatus(at):
-            if s.getPath().getName() != f"v{version:08d}.json":
+            if s.getPath().getName() != f"v{version:08d}.json" and s.getModificationTime() <= oldest:
                 fs.delete(s.getPath(), False)
 
 
-def placements(store: ShardStore, id_col: str) -> DataFrame:
-    """(id, run, shard, tier, version) of every row in the store's latest version."""
+def placements(store: ShardStore, id_col: str, id_type: str = "long") -> DataFrame:
+    """(id, run, shard, tier, version) of every row in the store's latest version; ``id_type`` is for a store without one."""
     version = store.version()
     runs = store.runs(version)
+    if not runs:
+        return store.spark.createDataFrame([], f"{id_col} {id_type}, run string, shard string, tier int, version int")
     tiers = store.spark.createDataFrame([(r.name, r.tier) for r in runs], "run string, tier int")
     file = F.col("_metadata.file_path")
     rows = store.read(version).select(F.col(id_col), F.regexp_extract(file, r"/data/(.*)/part-[^/]*$", 1).alias("run"), F.regexp_extract(file, r"/(part-\d+)[^/]*$", 1).alias("shard"))
