@@ -65,11 +65,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight runs, are compacted, and each row tells the shard that holds it."""
-    docs = _read(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
+    docs = _read(spark, sf_dir, "documents").withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
     store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append_arrivals(docs, "arrival")
+    store.append_arrivals(docs, "__arrival")
     store.compact()
-    store.vacuum()
+    store.vacuum(0)  # the store is this run's own
     return shards.placements(store, "doc_id").select("doc_id", "shard", "tier", "version")
 
 
@@ -100,4 +100,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op4_url_filter, op5_decontaminate, op6_sharding, op7_language_id, op8_license_scan, op9_byte_bpe, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)"
+
+#: The other operators' models, shards, tokens and templates are no SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": f"""
+WITH RECURSIVE nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings WHERE vec_id IS NOT NULL),
+good AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+sized AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM good),
+links AS (SELECT x.id AS a, y.id AS b FROM sized x JOIN sized y ON x.label = y.label AND x.id <> y.id WHERE x.size > 0 AND y.size > 0 AND list_inner_product(x.e, y.e) / (x.size * y.size) >= 0.93),
+{_REACH}, degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a), least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM least LEFT JOIN degree USING (id)""",
+    "op2_minhash_dedup": f"""
+WITH RECURSIVE nodes AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL),
+worded AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM worded),
+sized AS (SELECT id, len(s) AS n FROM sets), items AS (SELECT id, unnest(s) AS item FROM sets),
+both AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM items x JOIN items y ON x.item = y.item AND x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM both JOIN sized p ON p.id = a JOIN sized q ON q.id = b WHERE 100 * same >= 85 * (p.n + q.n - same)),
+{_REACH}, least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT id AS doc_id, n::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM least JOIN sized USING (id)""",
+}

@@ -124,22 +124,60 @@ def lines_to_remove(texts, percent=80, least=5):
     return out
 
 
-def test_line_dedup_brute_force(spark, monkeypatch):
+def line_texts():
     texts = []
     for _ in range(60):
         texts.append("\n".join(RNG.choice([sentence(RNG.randint(1, 30)), "", "the same common line in many texts", RNG.choice(near_texts(2))]) for _ in range(RNG.randint(1, 6))))
     for i in range(0, 60, 4):
         texts[i] += "\n" + texts[i // 2].split("\n")[0] + " extra"
-    want = lines_to_remove(texts)
-    for sent in (32, 1):  # with few candidates sent on, the exact way for the rest runs
-        monkeypatch.setattr(line_dedup, "SENT", sent)
-        monkeypatch.setattr(line_dedup, "BLOCK_LINES", 4096 if sent == 32 else 8)
-        rows = line_dedup.dedup_lines(documents(spark, texts)).collect()
+    return texts
+
+
+@pytest.mark.parametrize("sent, light, over, heavy", [((2, 16, 1024), 512, 16_384, 1_000_000), ((1, 1, 1), 4, 6, 4), ((1, 1, 2), 0, 3, 0)])
+def test_line_dedup_brute_force(spark, monkeypatch, sent, light, over, heavy):
+    """Also with few candidates sent on, keys of several words, keys over the bound, and equal sets in the join."""
+    texts = line_texts()
+    for name, value in (("SENT", sent), ("LIGHT", light), ("OVER", over), ("HEAVY", heavy), ("BLOCK_LINES", over)):
+        monkeypatch.setattr(line_dedup, name, value)
+    for least in (1, 5):
+        want = lines_to_remove(texts, least=least)
+        rows = line_dedup.dedup_lines(documents(spark, texts), min_words=least).collect()
         for r in rows:
             kept = [x for n, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, n) not in want]
             assert r.text == "\n".join(kept) and r.n_lines == len(texts[r.doc_id].split("\n")) and r.n_removed == r.n_lines - len(kept)
 
 
+def test_line_dedup_of_one_hot_word(spark, monkeypatch):
+    """One word pair in every line, and no rarer word in most: the keys that all hold are met in blocks."""
+    monkeypatch.setattr(line_dedup, "LIGHT", 8)
+    monkeypatch.setattr(line_dedup, "OVER", 40)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 16)
+    few = [f"t{i}" for i in range(14)]
+    texts = ["\n".join(" ".join(["hot", "pair", *RNG.sample(few, 6)]) for _ in range(8)) for _ in range(100)]
+    want = lines_to_remove(texts, least=1)
+    for r in line_dedup.dedup_lines(documents(spark, texts)).collect():
+        assert r.text == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, n) not in want)
+
+
+def test_line_dedup_of_shared_ids(spark):
+    """Rows of one id are documents of their own, the smaller text hash first; equal rows are treated alike."""
+    texts = ["one two three four five six seven", "completely other words in this row here\nand more of them", "one two three four five six seven\nown line of it", "and more of them"]
+    ids = [0, 1, 1, 1]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)] * 2, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    order = sorted(range(4), key=lambda k: (ids[k], 0 if ids[k] == 0 else {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}[texts[k]]))
+    want = lines_to_remove([texts[k] for k in order], least=1)
+    kept = [(ids[k], "\n".join(x for n, x in enumerate(texts[k].split("\n")) if (at, n) not in want)) for at, k in enumerate(order)]
+    assert got == sorted(kept * 2)
+
+
+def test_line_dedup_of_a_long_text(spark):
+    lines = [f"w{i} x{i} y{i} z{i}" for i in range(60_000)]
+    text = "\n".join(x for line in lines for x in (line, line))
+    (row,) = line_dedup.dedup_lines(documents(spark, [text])).collect()
+    assert row.text == "\n".join(lines) and row.n_removed == 60_000
+
+
 def test_queries_compare_short_lines(spark, tmp_path):
     import corpus_pipeline
     from meterlake.llm import queries
@@ -186,6 +224,20 @@ def test_quality_held_out(spark):
     got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == (i < 150) for i in range(0, 200, 3))
     assert quality_classifier.keep(docs, model).count() == 150
+    # The dual optimum: the squared hinge loss of the fitted weights can't be lowered by a step along any gradient.
+    rng = np.random.default_rng(1)
+    rows, good = [np.unique(rng.integers(0, 40, 8)) + (0 if k % 2 else 10) for k in range(80)], np.arange(80) % 2 == 1
+    fitted = quality_classifier.fit_arrays(rows, good, epochs=300)
+    ratio = fitted.ratio
+    x = np.zeros((80, len(ratio)))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.sqrt(ratio[r] @ ratio[r])
+    w = np.divide(fitted.weight, ratio, out=np.zeros(len(ratio)), where=ratio != 0)
+    y, c = np.where(good, 1.0, -1.0), quality_classifier.COST
+    loss = lambda w, b: (w @ w + b * b) / 2 + c * (np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    slack = np.maximum(0, 1 - y * (x @ w + fitted.bias))
+    step, step_b = w - 2 * c * x.T @ (slack * y), fitted.bias - 2 * c * (slack * y).sum()
+    assert loss(w, fitted.bias) <= loss(w - 1e-3 * step, fitted.bias - 1e-3 * step_b) + 1e-3 and np.abs(step).max() < 0.05 * c
     none = quality_classifier.fit(docs, labels.where("quality = 1"))
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {1.0}
 
@@ -264,7 +316,7 @@ def test_url_rules_and_templates(spark):
     want = ["example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, None]
     spam = [f"http://spam.io/buy/{i}" for i in range(60)] + [f"http://spam.io/about/{i}" for i in range(60)]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls + spam)], "page_id long, url string").withColumn("host", F.lit("clash"))
-    labels = spark.createDataFrame([("spam.io", f"/buy/{i}", 1) for i in range(40)] + [("spam.io", f"/about/{i}", 0) for i in range(40)], "host string, path string, bad int")
+    labels = spark.createDataFrame([("spam.io", f"/buy/{i}", 1) for i in range(40)] + [("spam.io", f"/about/{i}", 0) for i in range(40)], "host string, path string, bad int").withColumn("template", F.lit("clash"))
     rows = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, RULES), labels).collect()}
     assert [rows[i].rule for i in range(10)] == want
     assert [rows[i].verdict for i in range(5)] == ["allow", "block", "block", "allow", "block"]
@@ -273,6 +325,33 @@ def test_url_rules_and_templates(spark):
     assert rows[10].template == "/buy/*"
 
 
+def test_url_branches_merge_upwards(spark):
+    """Inner branches of equal purity merge; one that differs below stays split, and its sibling with it."""
+    leaf = [("h", f"/{a}/{b}/*", 30, bad) for a, b, bad in [("x", "p", 3), ("x", "q", 3), ("y", "p", 4), ("y", "q", 3), ("z", "p", 28), ("z", "q", 27)]]
+    leaf += [("g", "/x/p/*", 30, 3), ("g", "/x/q/*", 30, 28), ("g", "/y/p/*", 30, 3), ("g", "/y/q/*", 30, 4), ("g", "/w/*", 0, 0), ("k", "/a", 5, 1), ("k", "/a/*", 6, 1)]
+    df = spark.createDataFrame(leaf, "host string, template string, n long, bad long")
+    got = {(r.host, r.template): r.branch for r in url_filter.branches(df, url_filter.Scratch(spark, "t")).collect()}
+    of = lambda h, *t: {got[h, x] for x in t}
+    assert len(of("h", "/x/p/*", "/x/q/*", "/y/p/*", "/y/q/*")) == 1 and len(of("h", "/z/p/*", "/z/q/*")) == 1 and len({b for (h, _), b in got.items() if h == "h"}) == 2
+    assert len(of("g", "/x/p/*", "/x/q/*")) == 2 and len(of("g", "/y/p/*", "/y/q/*")) == 1 and len({b for (h, _), b in got.items() if h == "g"}) == 4
+    assert len({b for (h, _), b in got.items() if h == "k"}) == 1 and len(got) == len(leaf)
+
+
+def test_url_rules_by_plain_python(spark):
+    from meterlake.llm import queries
+
+    pages = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    rows = queries.op4_url_filter(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        url = pages[r.page_id]
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", url, re.S) if url else None
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [(len(x), x, v) for v, x in RULES for h, _, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.verdict == (max(fits)[2] if fits else "block" if r.purity >= url_filter.REJECT else "allow")
+
+
 def test_url_sections_of_large_and_deep_hosts(spark):
     urls = [("big.io", f"/s{k}/{i}") for k in range(60) for i in range(70)]
     urls += [("deep.io", f"/a/b/c/d/e/f/g/h/{s}/{i}") for s in ("bad", "good") for i in range(40)]
@@ -297,12 +376,33 @@ def test_shards(spark, tmp_path):
     assert store.read(5).count() == 50  # an older version still reads until vacuum
     with pytest.raises(shards.Conflict):
         store.commit([], version)
-    store.vacuum()
+    store.vacuum()  # all is too young to go
+    assert store.read(5) is not None
+    store.vacuum(0)
     rows = shards.placements(store, "doc_id").collect()
     assert len(rows) == 50 and {r.version for r in rows} == {version}
     assert json.dumps([r.name for r in store.runs()])
 
 
+def test_shards_keep_odd_rows(spark, tmp_path):
+    """Rows of each version against a list, with nulls, repeated rows, an empty arrival and clashing names."""
+    from meterlake.llm import queries
+
+    rows = [(1, None, 1, 2), (1, None, 1, 2), (None, "x", 3, 4), (2, "y" * 50_000, None, None)]
+    schema = "doc_id long, text string, arrival int, run int"
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", fan_in=2)
+    want = []
+    for part in (rows, [], rows[:2], rows[2:]):
+        store.append(spark.createDataFrame(part, schema).coalesce(1))
+        want += part
+    assert store.version() == 3
+    store.compact()
+    assert sorted(map(repr, map(tuple, store.read().collect()))) == sorted(map(repr, want))
+    assert {r.doc_id for r in shards.placements(store, "doc_id").collect()} == {1, 2, None}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op6_sharding(spark, str(tmp_path)).count() == 0
+
+
 def test_licenses(spark):
     apache = "Licensed under the Apache License, Version 2.0"
     rows = [(0, f"{sentence(50)}\n{apache}.\n{sentence(20)}", "p/a/x.txt"), (1, "Released under the MIT License.", "p/LICENSE"), (2, sentence(30), "p/b/y.txt"), (3, sentence(30), "q/z.txt"), (4, None, "p/c.txt"), (5, "", None), (6, "the license of truth is never quite granted to readers of tales", "q/l.txt"), (None, apache, "q/LICENSE")]
@@ -312,6 +412,36 @@ def test_licenses(spark):
     assert got[3].license is None and got[5].license is None and got[6].license is None and set(got) == set(range(7))
 
 
+def test_license_texts(spark):
+    whole = {name: text for name, text in license_scan.WHOLE}
+    wrap = lambda text, n=11: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + sentence(300)
+    texts = [gpl, *(f"Copyright (c) 2020 A. Person\n\n{wrap(whole[k])}" for k in sorted(whole)), wrap(whole["MIT"][-480:]), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", sentence(400)]
+    want = ["GPL-3.0", *sorted(whole), "MIT", "ISC", None]
+    rows = [(i, t, f"p{i}/{i}.txt") for i, t in enumerate(texts)]
+    rows += [(100 + i, sentence(9), f"p{i}/a/b.txt") for i in range(len(texts))]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows + rows[:3], "doc_id long, text string, path string")).collect()}
+    assert [got[i].license for i in range(len(texts))] == want
+    assert [got[100 + i].license for i in range(6)] == want[:6] and all(got[i].origin == "file" for i in range(6)) and got[100 + len(texts) - 1].license is None
+
+
+def test_license_cosines_by_plain_python(spark):
+    import math
+
+    term = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+    texts = [f"{sentence(6)} released under the MIT license {sentence(2)}", "licensed under the apache license version 2.0 and more of it", "MIT License", sentence(5)]
+    known = {t for *_, x in license_scan.TEMPLATES for t in term.findall(x.lower())}
+    docs = [term.findall(t.lower()) for t in texts]
+    weigh = lambda t: math.log((1 + len(docs)) / (1 + max(1, sum(t in d for d in docs)) if t in known else 2)) + 1
+    vector = lambda words: {t: words.count(t) * weigh(t) for t in words}
+    cosine = lambda a, b: sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    of = lambda d, whole: min((-round(cosine(vector(d), vector(term.findall(x.lower()))), 6), n) for n, k, x in license_scan.TEMPLATES if (k == 2) == whole)
+    best = [next((b for b in (of(d, True), of(d, False)) if -b[0] >= 0.3), (0, None)) for d in docs]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, path string"), least=0.3).collect()}
+    for i, (minus, name) in enumerate(best):
+        assert (got[i].license, got[i].score) == ((name, pytest.approx(-minus, abs=2e-6)) if -minus >= 0.3 else (None, None))
+
+
 def test_odd_inputs_and_empty_tables(spark):
     rows = odd_rows()
     docs = spark.createDataFrame(rows, DOCS)
