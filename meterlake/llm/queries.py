@@ -118,8 +118,8 @@ worded AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
 sets AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM worded),
 sized AS (SELECT id, len(s) AS n FROM sets), items AS (SELECT id, unnest(s) AS item FROM sets),
-both AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM items x JOIN items y ON x.item = y.item AND x.id <> y.id GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN sized p ON p.id = a JOIN sized q ON q.id = b WHERE 100 * same >= 85 * (p.n + q.n - same)),
+shared_items AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM items x JOIN items y ON x.item = y.item AND x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared_items JOIN sized p ON p.id = a JOIN sized q ON q.id = b WHERE 100 * same >= 85 * (p.n + q.n - same)),
 {_REACH}, least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT id AS doc_id, n::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM least JOIN sized USING (id)""",
 }
