@@ -6,9 +6,14 @@ frames. Frames meet only in the alignment, per pair and stretch of time.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..functions import expr as X
 
 
@@ -51,66 +56,142 @@ def top_pairs(scores: DataFrame, k: int = 8, by: str = "score") -> DataFrame:
     return scores.orderBy(F.desc(by), "a", "b").limit(k)
 
 
+ALIGNED = "a string, b string, a_seq long, b_seq long, dt double"
+
+
+def _two_pointers(tolerance: float):
+    """Pairs from rows sorted by (a, b, t, side): what waits is of one side and at most ``tolerance`` old, so memory is small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, waiting = None, deque()
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, t, side, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, b) != pair:
+                    pair, waiting = (a, b), deque()
+                while waiting and t - waiting[0][0] > tolerance:
+                    waiting.popleft()
+                if waiting and waiting[0][1] != side:
+                    u, _, other = waiting.popleft()
+                    out.append((a, b, other, seq, u - t) if side else (a, b, seq, other, t - u))
+                else:
+                    waiting.append((t, side, seq))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "a_seq", "b_seq", "dt"])
+
+    return run
+
+
 def align(frames: DataFrame, pairs: DataFrame, tolerance: float = 0.08, clock: str = "received_at") -> DataFrame:
-    """Greedy one-to-one pairing of two tracks' frames in time (J07): (a, b, a_seq, b_seq, dt).
+    """Greedy one-to-one pairing of two tracks' frames in time (J07): (a, b, a_seq, b_seq, dt), dt being a's time less b's.
 
     Both sides are merged by time. An item meets the oldest waiting item of the other side that is at most
-    ``tolerance`` old, else it waits itself. Nothing waits across a pause longer than the tolerance, so stretches
-    between pauses are independent: each is one row and one fold, and long histories spread over tasks.
+    ``tolerance`` old, else it waits itself. Nothing waits across a pause longer than the tolerance, so the merge is cut
+    at such pauses, and a stretch between two is sorted by Spark and read once in its order.
     """
-    f = frames.select("runtime_id", F.col(clock).alias("t"), F.col("arrival_seq").alias("seq"))
+    f = frames.where(F.col(clock).isNotNull()).select("runtime_id", F.col(clock).cast("double").alias("t"), F.col("arrival_seq").alias("seq"))
     both = pairs.join(f, pairs.a == f.runtime_id).select("a", "b", "t", F.lit(0).alias("side"), "seq").union(pairs.join(f, pairs.b == f.runtime_id).select("a", "b", "t", F.lit(1).alias("side"), "seq"))
-    w = Window.partitionBy("a", "b").orderBy("t", "side", "seq")
-    pause = F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance, F.lit(True)).cast("long")
-    stretched = both.withColumn("pause", pause).withColumn("stretch", F.sum("pause").over(w))
-    lists = stretched.groupBy("a", "b", "stretch").agg(F.array_sort(F.collect_list(F.struct("t", "side", "seq"))).alias("items"))
-    item = "struct<t:double,side:int,seq:bigint>"
-    met = "struct<a_seq:bigint,b_seq:bigint,dt:double>"
-    fold = F.expr(
-        f"""aggregate(items,
-          named_struct('q', cast(array() as array<{item}>), 'out', cast(array() as array<{met}>)),
-          (s, x) -> if(size(s.q) = 0 or s.q[0].side = x.side,
-            named_struct('q', concat(s.q, array(x)), 'out', s.out),
-            transform(array(filter(s.q, y -> x.t - y.t <= double('{tolerance}'))), q ->
-              if(size(q) = 0,
-                named_struct('q', array(x), 'out', s.out),
-                named_struct('q', slice(q, 2, size(q)), 'out', concat(s.out, array(
-                  named_struct('a_seq', if(x.side = 0, x.seq, q[0].seq), 'b_seq', if(x.side = 1, x.seq, q[0].seq),
-                               'dt', if(x.side = 1, x.t - q[0].t, q[0].t - x.t))))))
-            )[0]),
-          s -> s.out)"""
+    # Pauses are found between non-empty cells of the tolerance's length, which are counted before they are sorted.
+    cell = F.floor(F.col("t") / tolerance).cast("long")
+    w = Window.partitionBy("a", "b").orderBy("cell")
+    cells = both.groupBy("a", "b", cell.alias("cell")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    pause = F.coalesce(F.col("t0") - F.lag("t1").over(w) > tolerance, F.lit(True)).cast("long")
+    stretches = cells.withColumn("pause", pause).select("a", "b", "cell", F.sum("pause").over(w).alias("stretch"))
+    placed = both.withColumn("cell", cell).join(stretches, ["a", "b", "cell"]).repartition("a", "b", "stretch").sortWithinPartitions("a", "b", "t", "side", "seq")
+    return placed.select("a", "b", "t", "side", "seq").mapInArrow(_two_pointers(tolerance), ALIGNED)
+
+
+def _onset() -> Column:
+    return F.coalesce((F.col("rms_rise_peak_db") >= 3) | (F.col("spectral_flux_peak") >= 0.18), F.lit(False)) & F.coalesce("temporal_valid", F.lit(False))
+
+
+def _joined(aligned: DataFrame, side: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Aligned pairs with both frames' columns of ``side`` (arrival_seq, ``on`` and values), as <name>_a and <name>_b."""
+    on = on or []
+    values = [c for c in side.columns if c != "arrival_seq" and c not in on]
+    a, b = (side.select(F.col("arrival_seq").alias(f"{s}_seq"), *on, *[F.col(c).alias(f"{c}_{s}") for c in values]) for s in "ab")
+    return aligned.join(a, "a_seq").join(b, ["b_seq", *on])
+
+
+def frame_bands(frames: DataFrame, edges: list[tuple[float, float]]) -> DataFrame:
+    """(arrival_seq, region, level): mean power, in dB, of an active frame's bands inside each range of Hz above the floor."""
+
+    def level(low: float, high: float) -> Column:
+        inside = [F.get("bands_db", F.lit(i)) for i, c in enumerate(dims.BAND_CENTERS) if low <= c < high]
+        if not inside:
+            return F.lit(None).cast("double")
+        usable = F.filter(F.array(*inside), lambda x: x > X.FLOOR_DB)
+        return F.when(F.size(usable) > 0, X.db(F.aggregate(usable, F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x / 10)) / F.size(usable)))
+
+    levels = F.array(*[level(lo, hi) for lo, hi in edges])
+    return frames.where("signal_present and bands_db is not null").select("arrival_seq", F.posexplode(levels).alias("region", "level")).where("level is not null")
+
+
+def _normalised_overlap(x: str, y: str, by: list[str]) -> Column:
+    """The smaller relative power of two levels, each side relative to its own maximum over ``by``."""
+    w = Window.partitionBy(*by)
+    return F.least(*[F.pow(F.lit(10.0), (F.col(c) - F.max(c).over(w)) / 10) for c in (x, y)])
+
+
+def region_temporal(aligned: DataFrame, frames: DataFrame, edges: list[tuple[float, float]]) -> DataFrame:
+    """Per pair and region over aligned frames (C18): usable pairs, coactive ratio, correlation and overlap of its levels."""
+    key = ["a", "b", "region"]
+    active = _joined(aligned, frames.select("arrival_seq", F.coalesce("signal_present", F.lit(False)).alias("on")))
+    both = active.groupBy("a", "b").agg(F.round(F.count_if(F.col("on_a") & F.col("on_b")) / F.count("*"), 6).alias("coactive_ratio"))
+    levels = _joined(aligned, frame_bands(frames, edges), ["region"]).withColumn("least", _normalised_overlap("level_a", "level_b", key))
+    found = levels.groupBy(*key).agg(F.count("*").alias("usable_pairs"), F.round(X.pearson("level_a", "level_b"), 6).alias("band_correlation"), F.avg("least").alias("temporal"))
+    return found.join(both, ["a", "b"])
+
+
+def temporal_compare(aligned: DataFrame, frames: DataFrame, low_hz: float = 40.0, high_hz: float = 160.0) -> DataFrame:
+    """Two tracks over aligned frames (T19): onsets together (P07), correlations of flux and of the level between ``low_hz``
+    and ``high_hz`` (A08), and the level's overlap (A09)."""
+    f = frames.select("arrival_seq", F.when(F.col("temporal_valid"), F.col("spectral_flux_mean")).alias("flux"), _onset().alias("onset"))
+    both = _joined(aligned, f).groupBy("a", "b").agg(
+        F.count("*").alias("aligned"),
+        F.count_if(F.col("onset_a") & F.col("onset_b")).alias("onsets_together"),
+        F.round(X.pearson("flux_a", "flux_b"), 4).alias("correlation"),
+        F.round(F.avg(F.abs("dt")), 6).alias("mean_abs_dt"),
     )
-    return lists.select("a", "b", F.explode(fold).alias("m")).select("a", "b", "m.*")
-
-
-def temporal_compare(aligned: DataFrame, frames: DataFrame, value: str = "spectral_flux_mean") -> DataFrame:
-    """Correlation of a measure over aligned frames (T19; A08), and how often both sides start together."""
-    onset = F.coalesce((F.col("rms_rise_peak_db") >= 3) | (F.col("spectral_flux_peak") >= 0.18), F.lit(False))
-    f = frames.select("arrival_seq", F.col(value).alias("x"), onset.alias("onset"))
-    both = aligned.join(f.withColumnsRenamed({"arrival_seq": "a_seq", "x": "xa", "onset": "oa"}), "a_seq").join(f.withColumnsRenamed({"arrival_seq": "b_seq", "x": "xb", "onset": "ob"}), "b_seq")
-    return both.groupBy("a", "b").agg(F.count("*").alias("aligned"), F.count_if(F.col("oa") & F.col("ob")).alias("onsets_together"), F.round(X.pearson("xa", "xb"), 4).alias("correlation"), F.round(F.avg(F.abs("dt")), 6).alias("mean_abs_dt"))
+    band = region_temporal(aligned, frames, [(low_hz, high_hz)])
+    return both.join(band.select("a", "b", "usable_pairs", "coactive_ratio", "band_correlation", F.round("temporal", 6).alias("band_overlap")), ["a", "b"], "left")
 
 
 def temporal_overlap(aligned: DataFrame, frames: DataFrame, value: str = "rms_db") -> DataFrame:
     """Mean of the smaller relative power over aligned frames, each side relative to its own maximum."""
-    f = frames.select("arrival_seq", F.col(value).alias("x"))
-    both = aligned.join(f.withColumnsRenamed({"arrival_seq": "a_seq", "x": "xa"}), "a_seq").join(f.withColumnsRenamed({"arrival_seq": "b_seq", "x": "xb"}), "b_seq")
-    w = Window.partitionBy("a", "b")
-    part = lambda x: F.pow(F.lit(10.0), (F.col(x) - F.max(x).over(w)) / 10)
-    return both.withColumn("least", F.least(part("xa"), part("xb"))).groupBy("a", "b").agg(F.avg("least").alias("temporal"))
+    both = _joined(aligned, frames.select("arrival_seq", F.col(value).alias("x"))).withColumn("least", _normalised_overlap("x_a", "x_b", ["a", "b"]))
+    return both.groupBy("a", "b").agg(F.avg("least").alias("temporal"))
 
 
 def evidence(erb: DataFrame, pairs: DataFrame, temporal: DataFrame, k: int = 8) -> DataFrame:
     """Interaction evidence per pair and ERB region (C01), the k strongest of each pair.
 
-    spectral is the overlap weighted towards the louder track; combined adds the temporal overlap, if any.
+    spectral is the overlap weighted towards the louder track; combined adds the region's overlap in time, if any.
     """
-    bands = overlap(erb, pairs, "erb_db", "erb").join(temporal, ["a", "b"], "left")
+    bands = overlap(erb, pairs, "erb_db", "erb").join(temporal.withColumnRenamed("region", "band"), ["a", "b", "band"], "left")
     w = X.direction_weight(F.col("db_a") - F.col("db_b"))
+    sides = {"ab": F.col("overlap") * w, "ba": F.col("overlap") * (1 - w)}
+    combined = {d: c * (0.25 + 0.75 * F.col("temporal")) for d, c in sides.items()}
+    strength = F.greatest(*[F.coalesce(combined[d], sides[d]) for d in sides])
     rounded = bands.select(
-        "a", "b", F.col("band").alias("erb"), F.round("overlap", 4).alias("overlap"), *[F.round(F.col("overlap") * x, 4).alias(n) for n, x in (("spectral_ab", w), ("spectral_ba", 1 - w))], F.col("temporal")
+        "a", "b", F.col("band").alias("erb"), F.round("overlap", 6).alias("overlap"),
+        *[F.round(c, 6).alias(f"spectral_{d}") for d, c in sides.items()], *[F.round(c, 6).alias(f"combined_{d}") for d, c in combined.items()],
+        "usable_pairs", "coactive_ratio", "band_correlation", F.round("temporal", 6).alias("temporal"), F.round(strength, 6).alias("strength"),
     )
-    both = rounded.withColumns({f"combined_{d}": F.round(F.col(f"spectral_{d}") * (0.25 + 0.75 * F.col("temporal")), 4) for d in ("ab", "ba")})
-    rank = F.greatest(*[F.coalesce(f"combined_{d}", f"spectral_{d}") for d in ("ab", "ba")])
-    w = Window.partitionBy("a", "b").orderBy(F.desc("strength"), "erb")
-    return both.withColumn("strength", rank).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).drop("temporal")
+    order = Window.partitionBy("a", "b").orderBy(F.desc("strength"), "erb")
+    return rounded.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+
+
+def evidence_score(rows: DataFrame, least: int = 4) -> DataFrame:
+    """Mean strength of each pair's strongest ``least`` regions."""
+    return rows.where(F.col("rank") <= least).groupBy("a", "b").agg(F.round(F.avg("strength"), 5).alias("score"))
+
+
+def directional_deltas(levels: DataFrame, pairs: DataFrame, k: int = 3, region: str = "region", value: str = "region_db") -> DataFrame:
+    """The k regions of a pair where its tracks differ most (X43, O09): b's level less a's, and the stronger track."""
+    a, b = (levels.select(F.col("runtime_id").alias(s), region, F.col(value).alias(f"db_{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, ["b", region]).withColumn("delta_db", F.round(F.col("db_b") - F.col("db_a"), 5)).where("delta_db is not null")
+    stronger = F.when(F.col("delta_db") > 0, F.col("b")).when(F.col("delta_db") < 0, F.col("a"))
+    w = Window.partitionBy("a", "b").orderBy(F.desc(F.abs("delta_db")), region)
+    return both.select("a", "b", region, "delta_db", stronger.alias("stronger"), F.row_number().over(w).cast("int").alias("rank")).where(F.col("rank") <= k)

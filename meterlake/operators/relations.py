@@ -101,3 +101,29 @@ def top_relations(pair_rows: DataFrame, k: int = 12) -> DataFrame:
     best = pair_rows.groupBy("pair_id").agg(F.max("priority").alias("top"), F.round(F.avg("priority"), 4).alias("mean"), F.count_if(F.col("status") == "shortlisted").alias("sections"))
     return best.where("top is not null").orderBy(F.desc("top"), F.desc("mean"), F.desc("pair_id")).limit(k)
 
+
+
+def family_presence(pair_rows: DataFrame, families: DataFrame) -> DataFrame:
+    """Each pair by family (G05): its sections observed, shortlisted and unavailable, the shortlisted share and the top priority."""
+    seen = ~F.col("status").isin("insufficient_coverage", "missing_activity_evidence")
+    short = F.col("status") == "shortlisted"
+    listed = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("section")))), ",")
+    return pair_rows.join(families, "section").groupBy("pair_id", "family").agg(
+        F.count_if(seen).alias("observed"),
+        listed(short).alias("shortlisted_sections"),
+        listed(~seen).alias("unavailable_sections"),
+        F.round(F.try_divide(F.count_if(short), F.count_if(seen)), 5).alias("shortlisted_ratio"),
+        F.round(F.max(F.when(short, F.col("priority"))), 5).alias("top_priority"),
+    )
+
+
+def family_counts(families: DataFrame, by: list[str]) -> DataFrame:
+    """Sections of each family."""
+    return families.groupBy(*by, "family").agg(F.count("*").alias("sections"))
+
+
+def similar_sections(similarity: DataFrame, by: list[str], k: int = 3) -> DataFrame:
+    """Of each section the k most similar others, whichever side of the pair it is."""
+    sides = [similarity.select(*by, F.col(f"ord_{x}").alias("ord"), F.col(f"ord_{y}").alias("other"), "score") for x, y in ("ab", "ba")]
+    w = Window.partitionBy(*by, "ord").orderBy(F.desc("score"), "other")
+    return sides[0].union(sides[1]).where("score is not null").withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)

@@ -52,7 +52,8 @@ def accumulate(frames: DataFrame, spectra: bool = False) -> DataFrame:
     for c, n in MEANS.items():
         aggs += [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{n}_sum"), F.count(c).alias(f"{n}_count")]
     lag = F.greatest(F.lit(0.0), F.col("estimated_analysis_lag_ms"))
-    aggs += [F.coalesce(F.sum(lag), F.lit(0.0)).alias("lag_sum"), F.count(lag).alias("lag_count"), F.max(lag).alias("lag_max"), F.max("dropped_blocks").alias("dropped_blocks_max")]
+    # Whole microseconds, so that sums don't depend on their order.
+    aggs += [F.coalesce(F.sum(F.round(lag * 1000).cast("long")), F.lit(0)).alias("lag_sum"), F.count(lag).alias("lag_count"), F.max(lag).alias("lag_max"), F.max("dropped_blocks").alias("dropped_blocks_max")]
     if spectra:
         playing = playing.withColumns(_region_columns())
         for name, *_ in dims.REGIONS:
@@ -80,7 +81,7 @@ def finalize(partials: DataFrame, by: list[str], expected: Column | None = None)
     digits = {"crest": 4, "centroid": 2, "stereo_corr": 5, "stereo_width": 5, "flux": 6}
     aggs += [F.round(F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_count")), digits[n]).alias(c) for c, n in MEANS.items()]
     aggs += [
-        F.round(F.try_divide(F.sum("lag_sum"), F.sum("lag_count")), 3).alias("mean_lag_ms"),
+        (F.when(F.sum("lag_count") > 0, F.floor((2 * F.sum("lag_sum") + F.sum("lag_count")) / (2 * F.sum("lag_count")))) / 1000).alias("mean_lag_ms"),
         F.max("lag_max").alias("max_lag_ms"),
         F.max("dropped_blocks_max").alias("dropped_blocks"),
         F.max("last_received_at").alias("last_received_at"),

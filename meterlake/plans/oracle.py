@@ -51,7 +51,7 @@ acc AS (SELECT runtime_id, transport_epoch, bin, count(*) AS n, count(*) FILTER
   sum(CASE WHEN lufs_s > -120 THEN pow(10, lufs_s / 10) END) AS lufs_p, count(CASE WHEN lufs_s > -120 THEN 1 END) AS lufs_n,
   max(peak_db) AS peak, max(true_peak_dbtp) AS tp, sum(crest_db) AS crest_s, count(crest_db) AS crest_n, sum(centroid_hz) AS cen_s, count(centroid_hz) AS cen_n,
   sum(corr) AS corr_s, count(corr) AS corr_n, sum(width) AS width_s, count(width) AS width_n, sum(flux) AS flux_s, count(flux) AS flux_n,
-  sum(greatest(0, lag)) AS lag_s, count(lag) AS lag_n, max(greatest(0, lag)) AS lag_m, max(dropped) AS dropped FROM f GROUP BY ALL)"""
+  CAST(sum(CAST(round(greatest(0, lag) * 1000) AS BIGINT)) AS BIGINT) AS lag_s, count(lag) AS lag_n, max(greatest(0, lag)) AS lag_m, max(dropped) AS dropped FROM f GROUP BY ALL)"""
 
 
 def summary(by: str, expected: str, source: str = "acc") -> str:
@@ -64,5 +64,27 @@ def summary(by: str, expected: str, source: str = "acc") -> str:
   round(max(peak), 4) AS peak_db, round(max(tp), 4) AS true_peak_dbtp,
   CASE WHEN sum(crest_n) > 0 THEN round(sum(crest_s) / sum(crest_n), 4) END AS crest_db, CASE WHEN sum(cen_n) > 0 THEN round(sum(cen_s) / sum(cen_n), 2) END AS centroid_hz,
   CASE WHEN sum(corr_n) > 0 THEN round(sum(corr_s) / sum(corr_n), 5) END AS stereo_correlation, CASE WHEN sum(width_n) > 0 THEN round(sum(width_s) / sum(width_n), 5) END AS stereo_width,
-  CASE WHEN sum(flux_n) > 0 THEN round(sum(flux_s) / sum(flux_n), 6) END AS spectral_flux_mean, CASE WHEN sum(lag_n) > 0 THEN round(sum(lag_s) / sum(lag_n), 3) END AS mean_lag_ms,
+  CASE WHEN sum(flux_n) > 0 THEN round(sum(flux_s) / sum(flux_n), 6) END AS spectral_flux_mean, CASE WHEN sum(lag_n) > 0 THEN CAST((2 * sum(lag_s) + sum(lag_n)) // (2 * sum(lag_n)) AS DOUBLE) / 1000 END AS mean_lag_ms,
   max(lag_m) AS max_lag_ms, max(dropped) AS dropped_blocks, max(last_rx) AS last_received_at, min(first_rx) AS first_received_at FROM {source} GROUP BY {by}"""
+
+
+def aligned(tolerance: float = 0.08) -> str:
+    """Two pointers over the window's frames of each pair of tracks, as CTEs that end in al (a, b, a_seq, b_seq, dt); needs WITH RECURSIVE."""
+    t = f"CAST({tolerance} AS DOUBLE)"
+    return f"""ls AS MATERIALIZED (SELECT runtime_id, list(received_at ORDER BY received_at, arrival_seq) AS ts, list(arrival_seq ORDER BY received_at, arrival_seq) AS ss FROM w GROUP BY 1),
+walk AS (SELECT x.runtime_id AS a, y.runtime_id AS b, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS a_seq, CAST(NULL AS BIGINT) AS b_seq, CAST(NULL AS DOUBLE) AS dt FROM ls x JOIN ls y ON x.runtime_id < y.runtime_id
+ UNION ALL SELECT a, b, i + CASE WHEN d <= {t} THEN 1 ELSE 0 END, j + CASE WHEN d >= -{t} THEN 1 ELSE 0 END, CASE WHEN abs(d) <= {t} THEN sa END, CASE WHEN abs(d) <= {t} THEN sb END, d
+ FROM (SELECT k.a, k.b, i, j, x.ts[i] - y.ts[j] AS d, x.ss[i] AS sa, y.ss[j] AS sb FROM walk k JOIN ls x ON x.runtime_id = k.a JOIN ls y ON y.runtime_id = k.b WHERE i <= len(x.ts) AND j <= len(y.ts))),
+al AS MATERIALIZED (SELECT a, b, a_seq, b_seq, dt FROM walk WHERE a_seq IS NOT NULL)"""
+
+
+def region_levels(case: str, frames: str = "bands") -> str:
+    """fl: levels of active frames by the region that ``case`` gives each band."""
+    return f"fl AS (SELECT arrival_seq, region, 10 * log10(greatest(avg(pow(10, mid / 10)), 1e-12)) AS level FROM (SELECT arrival_seq, mid, {case} AS region FROM {frames} WHERE mid > -120) WHERE region IS NOT NULL GROUP BY ALL)"
+
+
+#: Evidence in time of aligned frames by region: rt and ca.
+REGION_TEMPORAL = """lv AS (SELECT al.a, al.b, x.region, x.level AS la, y.level AS lb FROM al JOIN fl x ON x.arrival_seq = al.a_seq JOIN fl y ON y.arrival_seq = al.b_seq AND y.region = x.region),
+lw AS (SELECT *, least(pow(10, (la - max(la) OVER (PARTITION BY a, b, region)) / 10), pow(10, (lb - max(lb) OVER (PARTITION BY a, b, region)) / 10)) AS m FROM lv),
+rt AS (SELECT a, b, region, count(*) AS usable_pairs, CASE WHEN count(*) >= 3 AND sqrt(var_pop(la) * var_pop(lb)) * count(*) > 1e-12 THEN round(corr(la, lb), 6) END AS band_correlation, avg(m) AS temporal FROM lw GROUP BY ALL),
+ca AS (SELECT al.a, al.b, round(CAST(count(*) FILTER (WHERE x.sp AND y.sp) AS DOUBLE) / count(*), 6) AS coactive_ratio FROM al JOIN w x ON x.arrival_seq = al.a_seq JOIN w y ON y.arrival_seq = al.b_seq GROUP BY ALL)"""

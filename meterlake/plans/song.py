@@ -189,6 +189,21 @@ def t36(spark, sf_dir):
     return relations.top_relations(relations.pair_sections(_section_tracks(spark, sf_dir)))
 
 
+@query(
+    "g05_family_presence",
+    f"""{PS}, {_ST}, {_PAIR}, {FAMILIES} SELECT pair_id, family, count(*) FILTER (WHERE seen) AS observed, coalesce(string_agg(CASE WHEN short THEN section END, ',' ORDER BY section), '') AS shortlisted_sections, coalesce(string_agg(CASE WHEN NOT seen THEN section END, ',' ORDER BY section), '') AS unavailable_sections,
+    round(CAST(count(*) FILTER (WHERE short) AS DOUBLE) / nullif(count(*) FILTER (WHERE seen), 0), 5) AS shortlisted_ratio, round(max(CASE WHEN short THEN priority END), 5) AS top_priority
+    FROM (SELECT pv.*, family, status NOT IN ('insufficient_coverage', 'missing_activity_evidence') AS seen, status = 'shortlisted' AS short FROM pv JOIN fam ON fam.section = pv.section) GROUP BY ALL""",
+)
+def g05(spark, sf_dir):
+    return relations.family_presence(relations.pair_sections(_section_tracks(spark, sf_dir)), labels(spark))
+
+
+@query("g06_family_counts", f"{PS}, {_ST}, {FAMILIES} SELECT runtime_id, family, count(*) AS sections FROM st JOIN fam ON fam.section = st.section GROUP BY ALL")
+def g06(spark, sf_dir):
+    return relations.family_counts(_section_tracks(spark, sf_dir).join(labels(spark), "section"), ["runtime_id"])
+
+
 @query("c09_spectral_pairs")
 def c09s(spark, sf_dir):
     return relations.pair_sections(_section_tracks(spark, sf_dir, True)).drop("ord")
@@ -281,7 +296,7 @@ def t20_top(spark, sf_dir):
     f = tools.frames(spark, sf_dir, spectra=True).where(F.col("received_at") <= AS_OF)
     m = recent.band_means(f)
     p = pairs.tracks_in_pairs(m.select("runtime_id").distinct())
-    return pairs.evidence(recent.erb_bands(m), p, pairs.temporal_overlap(pairs.align(f, p), f), 1)
+    return pairs.evidence(recent.erb_bands(m), p, pairs.region_temporal(pairs.align(f, p), f, tools.ERBS), 1)
 
 
 @query("r10_wire_round_trip", f"WITH {sql.frames()} SELECT runtime_id, count(*) AS n, round(sum(rms_db), 3) AS rms, count(lufs_s) AS lufs, count(corr) AS corr, CAST(sum(dropped) AS BIGINT) AS dropped FROM f GROUP BY 1")

@@ -320,34 +320,68 @@ def t44(spark, sf_dir):
 # --- alignment ---
 
 
-@query("j07_align")
+WR, WBR = W.replace("WITH", "WITH RECURSIVE", 1), WB.replace("WITH", "WITH RECURSIVE", 1)
+ERBS = list(zip(dims.erb_edges()[:-1], dims.erb_edges()[1:], strict=True))
+
+
+@query("j07_align", f"{WR}, {sql.aligned()} SELECT a, b, a_seq, b_seq, round(dt, 6) AS dt FROM al")
 def j07(spark, sf_dir):
     w = window(spark, sf_dir)
     return pairs.align(w, _pairs_of(w)).select("a", "b", "a_seq", "b_seq", F.round("dt", 6).alias("dt"))
 
 
-@query("t19_temporal_compare")
+_LOW = "CASE WHEN band IN (" + ", ".join(str(i) for i, c in enumerate(dims.BAND_CENTERS) if 40 <= c < 160) + ") THEN 0 END"
+
+
+@query(
+    "t19_temporal_compare",
+    f"""{WBR}, {sql.aligned()}, {sql.region_levels(_LOW)}, {sql.REGION_TEMPORAL}, o AS (SELECT arrival_seq, flux, (mask & 16) <> 0 AND (coalesce(rise, 0) >= 3 OR coalesce(flux_peak, 0) >= CAST(0.18 AS DOUBLE)) AS onset FROM w),
+    b AS (SELECT al.a, al.b, count(*) AS aligned, count(*) FILTER (WHERE x.onset AND y.onset) AS onsets_together, round(corr(x.flux, y.flux), 4) AS correlation, round(avg(abs(dt)), 6) AS mean_abs_dt FROM al JOIN o x ON x.arrival_seq = al.a_seq JOIN o y ON y.arrival_seq = al.b_seq GROUP BY ALL)
+    SELECT b.*, usable_pairs, coactive_ratio, band_correlation, round(temporal, 6) AS band_overlap FROM b LEFT JOIN (rt JOIN ca USING (a, b)) ON rt.a = b.a AND rt.b = b.b""",
+)
 def t19(spark, sf_dir):
-    w = window(spark, sf_dir)
+    w = window(spark, sf_dir, True)
     return pairs.temporal_compare(pairs.align(w, _pairs_of(w)), w)
 
 
-@query("t20_masking")
-def t20(spark, sf_dir):
-    w = window(spark, sf_dir, True)
+def _evidence(names: str = "p.runtime_id < q.runtime_id") -> str:
+    return f"""{_ERB}, {sql.region_levels(sql.erb_case())}, {sql.REGION_TEMPORAL}, er AS (SELECT *, pow(10, (erb_db - max(erb_db) OVER (PARTITION BY runtime_id)) / 10) AS r FROM erbs WHERE erb IS NOT NULL),
+    eo AS (SELECT p.runtime_id AS a, q.runtime_id AS b, p.erb, least(p.r, q.r) AS overlap, 1 / (1 + exp(-(p.erb_db - q.erb_db) / 6)) AS wt FROM er p JOIN er q ON p.erb = q.erb AND {names}),
+    es AS (SELECT eo.*, overlap * wt AS sab, overlap * (1 - wt) AS sba, overlap * wt * (0.25 + 0.75 * temporal) AS cab, overlap * (1 - wt) * (0.25 + 0.75 * temporal) AS cba, usable_pairs, coactive_ratio, band_correlation, temporal
+      FROM eo LEFT JOIN (rt JOIN ca USING (a, b)) ON rt.a = eo.a AND rt.b = eo.b AND rt.region = eo.erb),
+    ev AS (SELECT a, b, erb, round(overlap, 6) AS overlap, round(sab, 6) AS spectral_ab, round(sba, 6) AS spectral_ba, round(cab, 6) AS combined_ab, round(cba, 6) AS combined_ba, usable_pairs, coactive_ratio, band_correlation, round(temporal, 6) AS temporal, round(greatest(coalesce(cab, sab), coalesce(cba, sba)), 6) AS strength FROM es),
+    ek AS (SELECT *, CAST(row_number() OVER (PARTITION BY a, b ORDER BY strength DESC, erb) AS INTEGER) AS rank FROM ev)"""
+
+
+def evidence_of(w, chosen=None):
     m = recent.band_means(w)
-    p = _pairs_of(m)
-    return pairs.evidence(recent.erb_bands(m), p, pairs.temporal_overlap(pairs.align(w, p), w))
+    p = _pairs_of(m) if chosen is None else chosen
+    return pairs.evidence(recent.erb_bands(m), p, pairs.region_temporal(pairs.align(w, p), w, ERBS))
+
+
+@query("t20_masking", f"{WBR}, {sql.aligned()}, {_evidence()} SELECT * FROM ek WHERE rank <= 8")
+def t20(spark, sf_dir):
+    return evidence_of(window(spark, sf_dir, True))
 
 
-@query("t21_masking_scan")
+@query("t21_masking_scan", f"{WBR}, {sql.aligned()}, {_OVER}, {_SCORE}, tp AS (SELECT a, b FROM sc ORDER BY score DESC, a, b LIMIT 8), {_evidence()}, sm AS (SELECT ek.a, ek.b, round(avg(strength), 5) AS score FROM ek JOIN tp ON tp.a = ek.a AND tp.b = ek.b WHERE rank <= 4 GROUP BY ALL) SELECT * FROM sm ORDER BY score DESC, a, b LIMIT 4")
 def t21(spark, sf_dir):
     """Evidence only for the strongest pairs by overlap: twice as many as are reported."""
     w = window(spark, sf_dir, True)
     m = recent.band_means(w)
     p = pairs.top_pairs(pairs.compare(m, _pairs_of(m)), 8).select("a", "b")
-    e = pairs.evidence(recent.erb_bands(m), p, pairs.temporal_overlap(pairs.align(w, p), w))
-    return pairs.top_pairs(e.groupBy("a", "b").agg(F.round(F.avg(F.when(F.col("rank") <= 4, F.col("strength"))), 4).alias("score")), 4)
+    return pairs.top_pairs(pairs.evidence_score(evidence_of(w, p)), 4)
+
+
+@query(
+    "x43_directional_deltas",
+    f"""{WB}, rg AS (SELECT runtime_id, CAST({sql.region_case()} AS INTEGER) AS region, round(10 * log10(greatest(avg(pow(10, plain_db / 10)), 1e-12)), 4) AS db FROM means GROUP BY ALL),
+    dd AS (SELECT p.runtime_id AS a, q.runtime_id AS b, p.region, round(q.db - p.db, 5) AS delta_db FROM rg p JOIN rg q ON p.region = q.region AND p.runtime_id < q.runtime_id)
+    SELECT *, CASE WHEN delta_db > 0 THEN b WHEN delta_db < 0 THEN a END AS stronger, CAST(row_number() OVER (PARTITION BY a, b ORDER BY abs(delta_db) DESC, region) AS INTEGER) AS rank FROM dd QUALIFY rank <= 3""",
+)
+def x43(spark, sf_dir):
+    r = recent.regions(recent.band_means(window(spark, sf_dir, True)))
+    return pairs.directional_deltas(r, _pairs_of(r))
 
 
 # --- timeline ---
