@@ -116,7 +116,7 @@ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = compo
 WITH RECURSIVE nodes AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL),
 worded AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 sets AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM worded),
+  ELSE [array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, len(w) - 3)] END) AS s FROM worded),
 sized AS (SELECT id, len(s) AS n FROM sets), items AS (SELECT id, unnest(s) AS item FROM sets),
 shared_items AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM items x JOIN items y ON x.item = y.item AND x.id <> y.id GROUP BY ALL),
 links AS (SELECT a, b FROM shared_items JOIN sized p ON p.id = a JOIN sized q ON q.id = b WHERE 100 * same >= 85 * (p.n + q.n - same)),
