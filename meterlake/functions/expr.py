@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dims
+
 FLOOR_DB = -120.0
 
 
@@ -165,6 +169,42 @@ def fnv1a(text: Column | str) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
+def stereo_band(hz: Column | str) -> Column:
+    """Stereo band of a frequency, null outside; the last band holds its upper edge."""
+    edges = dims.STEREO_EDGES
+    return reduce(lambda acc, i: acc.when((col(hz) >= edges[i]) & ((col(hz) < edges[i + 1]) | F.lit(i == len(edges) - 2) & (col(hz) <= edges[i + 1])), i), range(len(edges) - 1), F.when(F.lit(False), 0))
+
+
+def transport_estimate(latest: Column | str, ppq: Column | str, bpm: Column | str, block_samples: Column | str, queued_samples: Column | str, rate: Column | str, playing: Column | str, window: int = 4096) -> Column:
+    """Time and beat position that a window's middle stands for, and the lag in ms."""
+    behind = (col(queued_samples) + window / 2) / col(rate)
+    time = F.when(col(playing), F.greatest(F.lit(0.0), col(latest) + col(block_samples) / col(rate) - behind)).otherwise(col(latest))
+    beats = F.when(col(playing) & (col(bpm) > 0), col(ppq) + (time - col(latest)) * col(bpm) / 60).otherwise(col(ppq))
+    return F.struct(time.alias("transport_time_seconds"), beats.alias("transport_ppq_position"), (behind * 1000).alias("estimated_analysis_lag_ms"))
+
+
+def idle_wait_ms(available: Column | str, hop: Column | str, rate: Column | str, most: int = 20) -> Column:
+    """Milliseconds until a hop should be there (X35): none if it is, else 1 to ``most``."""
+    missing = F.ceil((col(hop) - col(available)) * 1000.0 / F.greatest(col(rate), F.lit(1.0)))
+    return F.when((col(hop) == 0) | (col(available) >= col(hop)), 0).otherwise(F.least(F.lit(most), F.greatest(F.lit(1), missing))).cast("int")
+
+
+def loudness_due(samples: Column | str, rate: Column | str, elapsed_ms: Column | str, seconds: float = 0.1) -> Column:
+    """Whether loudness is to be measured again (X35): a tenth of a second of audio or of time has passed."""
+    interval = F.greatest(F.lit(1), F.ceil(F.greatest(col(rate), F.lit(1.0)) * seconds))
+    return (col(samples) >= interval) | (col(elapsed_ms) >= 1000 * seconds)
+
+
+def binding_selector(index: Column | str, slot: Column | str, runtime_id: Column | str) -> Column:
+    """mixer:<index>/slot:<slot> of a bound track, else its runtime id."""
+    return F.when(col(index).isNotNull() & col(slot).isNotNull(), F.format_string("mixer:%d/slot:%d", col(index), col(slot))).otherwise(col(runtime_id))
+
+
+def display_name(bound: Column | str, track: Column | str, runtime_id: Column | str) -> Column:
+    """The name of a track's binding, else its own, else its id (X40); blank names don't count."""
+    return F.coalesce(*[F.when(F.length(F.trim(col(c))) > 0, col(c)) for c in (bound, track)], col(runtime_id))
+
+
 def delta(before: Column | str, after: Column | str, digits: int = 4) -> Column:
     """after - before, rounded; null if either is."""
     return F.round(col(after) - col(before), digits)

@@ -20,7 +20,9 @@ from ..functions import dims
 SIZE, HOP = 4096, 1024
 MEASURES = (
     "runtime_id string, hop_index long, peak_db double, rms_db double, crest_db double, stereo_correlation double, stereo_width double, mid_rms_db double, side_rms_db double, "
-    "centroid_hz double, rolloff_hz double, flatness double, bands_db array<double>, side_bands_db array<double>, chroma array<double>, chroma_energy_ratio double, shape array<float>"
+    "centroid_hz double, rolloff_hz double, flatness double, bands_db array<double>, side_bands_db array<double>, chroma array<double>, chroma_energy_ratio double, band_stereo_correlation array<double>, band_side_to_mid_db array<double>, "
+    "negative_cross_energy_ratio double, low_band_20_120_correlation double, low_band_20_120_side_to_mid_db double, low_band_energy_db double, "
+    "true_peak_dbtp double, harmonic_f0_candidate_hz double, single_f0_harmonic_energy_ratio double, shape array<float>"
 )
 
 
@@ -35,6 +37,46 @@ def _db(x: np.ndarray) -> np.ndarray:
     return np.maximum(20 * np.log10(np.maximum(x, 1e-9)), -120.0)
 
 
+def stereo_spectrum(left: np.ndarray, right: np.ndarray, hz: np.ndarray) -> dict[str, np.ndarray]:
+    """Stereo measures of spectra (D08-D10): correlation and side-to-mid ratio of eight bands and of 20 to 120 Hz, and the
+    share of bins, weighted by both sides' magnitudes, whose sides point apart."""
+    cross = (left * right.conj()).real
+    powers = {"l": np.abs(left) ** 2, "r": np.abs(right) ** 2, "m": np.abs(left + right) ** 2 / 4, "s": np.abs(left - right) ** 2 / 4}
+
+    def of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = {k: p[:, inside].sum(axis=1) for k, p in powers.items()}
+        size = np.sqrt(total["l"] * total["r"])
+        correlation = np.where(size > 1e-18, np.clip(cross[:, inside].sum(axis=1) / np.maximum(size, 1e-18), -1, 1), 0.0)
+        return correlation, 10 * np.log10(np.maximum(total["s"], 1e-12) / np.maximum(total["m"], 1e-12))
+
+    last = len(dims.STEREO_EDGES) - 2
+    bands = [of((hz >= lo) & ((hz < hi) | ((i == last) & (hz <= hi)))) for i, (lo, hi) in enumerate(zip(dims.STEREO_EDGES[:-1], dims.STEREO_EDGES[1:], strict=True))]
+    inside = (hz >= 20) & (hz <= 20000)
+    weight = np.sqrt(powers["l"] * powers["r"])[:, inside]
+    whole = weight.sum(axis=1)
+    low = of((hz >= 20) & (hz < 120))
+    return {
+        "band_stereo_correlation": np.stack([c for c, _ in bands], axis=1),
+        "band_side_to_mid_db": np.stack([r for _, r in bands], axis=1),
+        "negative_cross_energy_ratio": np.where(whole > 1e-18, (weight * (cross[:, inside] < 0)).sum(axis=1) / np.maximum(whole, 1e-18), 0.0),
+        "low_band_20_120_correlation": low[0],
+        "low_band_20_120_side_to_mid_db": low[1],
+    }
+
+
+def detector_peak(hops: DataFrame) -> DataFrame:
+    """Peak of both channels of every hop, in dB."""
+    peak = F.greatest(*[F.array_max(F.transform(c, lambda x: F.abs(x))) for c in ("left", "right")]).cast("double")
+    return hops.select("runtime_id", "hop_index", F.greatest(F.lit(-120.0), 20 * F.log10(F.greatest(peak, F.lit(1e-9)))).alias("detector_peak_db"))
+
+
+def emissions(changes: DataFrame, every: int) -> DataFrame:
+    """Changes accumulated from one emission to the next, every ``every`` hops (Z07): means, peaks and seconds; nothing carries over."""
+    return changes.withColumn("emission", F.floor(F.col("hop_index") / every)).groupBy("runtime_id", "emission").agg(
+        F.avg("flux").alias("spectral_flux_mean"), F.max("flux").alias("spectral_flux_peak"), F.max("rise_db").alias("rms_rise_peak_db"), (F.count("*") * HOP).alias("samples")
+    )
+
+
 def measure(left: np.ndarray, right: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     """Measures of windows (rows) at one sample rate."""
     n = left.shape[1]
@@ -70,6 +112,11 @@ def measure(left: np.ndarray, right: np.ndarray, rate: float) -> dict[str, np.nd
     whole = energy.sum(axis=1, keepdims=True)
     out["chroma"] = energy / np.maximum(whole, 1e-18)
     out["chroma_energy_ratio"] = whole[:, 0] / np.maximum(power[:, -1], 1e-18)
+    out |= stereo_spectrum(*(np.fft.rfft(x * hann, axis=1) / (n / 2) for x in (left, right)), hz)
+    low = m[:, (hz >= 40) & (hz < 160)]
+    out["low_band_energy_db"] = _db(np.sqrt((low * low).mean(axis=1)))
+    out["true_peak_dbtp"] = true_peak_db(left, right)
+    out["harmonic_f0_candidate_hz"], out["single_f0_harmonic_energy_ratio"] = fundamental(left, right, rate)
     out["shape"] = (m / np.maximum(m.sum(axis=1, keepdims=True), 1e-18)).astype(np.float32)
     return out
 

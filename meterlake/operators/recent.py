@@ -164,3 +164,25 @@ def mono_fold(mid: DataFrame, side: DataFrame, by: str = "runtime_id") -> DataFr
         F.round(loss, 4).alias("loss"),
         F.round(total / top * loss, 4).alias("priority"),
     )
+
+
+def stereo_bands(latest: DataFrame) -> DataFrame:
+    """The latest frame's correlation by stereo band, with a label (T08, P09); none while the stereo family is off or nothing sounds."""
+    b = latest.where("signal_present and stereo_valid and band_stereo_correlation is not null").select("runtime_id", F.posexplode("band_stereo_correlation").alias("stereo_band", "correlation"))
+    ranges = F.element_at(F.array(*[F.lit(dims.band_label(lo, hi)) for lo, hi in zip(dims.STEREO_EDGES[:-1], dims.STEREO_EDGES[1:], strict=True)]), F.col("stereo_band") + 1)
+    return b.select("runtime_id", "stereo_band", ranges.alias("range"), "correlation", X.correlation_label("correlation").alias("label"))
+
+
+def stereo_band_means(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """Mean correlation and mean side-to-mid ratio of each stereo band (A10); ratios are averaged as powers."""
+    ok = frames.where("signal_present and stereo_valid and size(band_stereo_correlation) = size(band_side_to_mid_db)")
+    long = ok.select(by, F.posexplode(F.arrays_zip("band_stereo_correlation", "band_side_to_mid_db")).alias("stereo_band", "x"))
+    ratio = F.avg(F.pow(F.lit(10.0), F.col("x.band_side_to_mid_db") / 10))
+    return long.groupBy(by, "stereo_band").agg(F.round(F.avg("x.band_stereo_correlation"), 6).alias("correlation"), F.round(10 * F.log10(F.greatest(ratio, F.lit(1e-12))), 4).alias("side_to_mid_db"))
+
+
+def load(frames: DataFrame, seconds: float = 1.0, by: str = "runtime_id") -> DataFrame:
+    """Frames, lag and losses of a track in each stretch of ``seconds``."""
+    return frames.groupBy(by, F.floor(F.col("received_at") / seconds).alias("stretch")).agg(
+        F.count("*").alias("frames"), F.round(F.count("*") / seconds, 4).alias("frames_per_second"), F.round(F.max("estimated_analysis_lag_ms"), 6).alias("max_lag_ms"), F.sum("dropped_blocks").alias("dropped")
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
+
 STALE_SECONDS = 3.0
 
 
@@ -91,3 +93,22 @@ def project_status(live: DataFrame, bindings: DataFrame, as_of: float) -> DataFr
         F.count_if(stale).alias("stale"),
         F.count_if(F.col("true_peak_dbtp") > 0).alias("over"),
     )
+
+
+def segments(frames: DataFrame, families: list[str], mask: str = "analysis_feature_mask") -> DataFrame:
+    """How often each feature family was switched by then, per track and pass (Z08, Z09): state keyed by track, pass and a family's
+    segment is reset by a new pass, and by a switch of that family alone."""
+    w = Window.partitionBy("runtime_id", "transport_epoch").orderBy("arrival_seq")
+    on = X.features(mask)
+    switched = frames.select("runtime_id", "transport_epoch", "arrival_seq", *[on[f].alias(f) for f in families])
+    marked = switched.select("*", *[F.coalesce((F.col(f) != F.lag(f).over(w)).cast("long"), F.lit(0)).alias(f"{f}_turn") for f in families])
+    return marked.select("runtime_id", "transport_epoch", "arrival_seq", *[F.sum(f"{f}_turn").over(w).alias(f"{f}_segment") for f in families])
+
+
+def handshake(identified: DataFrame, requested: DataFrame, fresh: float = 10.0) -> DataFrame:
+    """Bind requests with the id that answered (Z13): of identify events (runtime_id, heard_at) the latest that is at most ``fresh``
+    seconds older than the request (slot, at), each event used by its first request only. The last request of a slot keeps it, so another id is evicted."""
+    met = requested.join(identified, (F.col("heard_at") <= F.col("at")) & (F.col("heard_at") >= F.col("at") - fresh))  # requests of a project: few
+    latest = met.groupBy("slot", "at").agg(F.max(F.struct("heard_at", "runtime_id")).alias("e")).select("slot", "at", "e.*")
+    once = latest.withColumn("turn", F.row_number().over(Window.partitionBy("runtime_id", "heard_at").orderBy("at", "slot"))).where("turn = 1")
+    return once.groupBy("slot").agg(F.max_by("runtime_id", "at").alias("runtime_id"), F.max("at").alias("bound_at"))

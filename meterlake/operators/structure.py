@@ -153,8 +153,18 @@ def _mean_of(parts: list[Column]) -> Column:
     return F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda acc, x: acc + x) / F.size(have))
 
 
+def section_activity(section_rows: DataFrame, active: DataFrame) -> DataFrame:
+    """How active every track is in each section of every pass: (track, pass, ord, other, active), from (runtime_id, bin_index, active_ratio)."""
+    other = active.select(F.col("runtime_id").alias("other"), "bin_index", "active_ratio")
+    seconds = section_rows.where("end > start").select(*KEY, "ord", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("bin_index"))
+    return seconds.join(other, "bin_index").groupBy(*KEY, "ord", "other").agg(F.avg("active_ratio").alias("active"))
+
+
 def section_similarity(summary: DataFrame, activity: DataFrame | None = None) -> DataFrame:
-    """Similarity of all pairs of sections of a pass, rounded to 5 digits (C08 first half)."""
+    """Similarity of all pairs of sections of a pass, rounded to 5 digits (C08 first half); ``activity`` is from section_activity."""
+    pitches = [f"chroma_{i}" for i in range(12)]
+    if set(pitches) <= set(summary.columns):
+        summary = summary.withColumn("chroma", F.when(F.col(pitches[0]).isNotNull(), F.array(*pitches))).drop(*pitches)
     cols = [c for c in summary.columns if c not in KEY]
     a = summary.select(*KEY, *[F.col(c).alias(f"{c}_a") for c in cols])
     b = summary.select(*KEY, *[F.col(c).alias(f"{c}_b") for c in cols])
@@ -170,16 +180,19 @@ def section_similarity(summary: DataFrame, activity: DataFrame | None = None) ->
         "dynamics": _mean_of([near("crest_db", 6.0), X.similarity(logs("spectral_flux_mean_a"), logs("spectral_flux_mean_b"), 1.0)]),
         "duration": F.exp(-F.abs(length) / 0.7),
     }
-    if "chroma_0" in cols:
-        side = lambda s: F.array(*[F.col(f"chroma_{i}_{s}") for i in range(12)])
-        parts["chroma"] = F.when(F.col("chroma_0_a").isNotNull() & F.col("chroma_0_b").isNotNull(), X.cosine(side("a"), side("b")))
+    if "chroma" in cols:
+        parts["chroma"] = X.cosine("chroma_a", "chroma_b")
     if activity is not None:
-        moved = activity.select("section", "other", "active").alias("x").join(activity.select("section", "other", "active").alias("y"), "other").where("x.section < y.section")
-        moved = moved.groupBy(F.col("x.section").alias("section_a"), F.col("y.section").alias("section_b")).agg((1 - F.avg(F.abs(F.col("x.active") - F.col("y.active")))).alias("activity"))
-        p = p.join(moved, ["section_a", "section_b"], "left")
+        x, y = (activity.select(*KEY, F.col("ord").alias(f"ord_{n}"), "other", F.col("active").alias(f"active_{n}")) for n in "ab")
+        moved = x.join(y, [*KEY, "other"]).where("ord_a < ord_b").groupBy(*KEY, "ord_a", "ord_b").agg((1 - F.avg(F.abs(F.col("active_a") - F.col("active_b")))).alias("activity"))
+        p = p.join(moved, [*KEY, "ord_a", "ord_b"], "left")
         parts["activity"] = F.col("activity")
-    total = sum((F.when(c.isNotNull(), SIMILARITY[n]).otherwise(0.0) for n, c in parts.items()), F.lit(0.0))
-    score = sum((F.coalesce(c * SIMILARITY[n], F.lit(0.0)) for n, c in parts.items()), F.lit(0.0)) / total
+    # Parts as one array: each is used twice below, and long expressions are not to be repeated.
+    order = list(parts)
+    p = p.select(*KEY, "ord_a", "ord_b", F.array(*[parts[n] for n in order]).alias("parts"))
+    weights = F.array(*[F.lit(SIMILARITY[n]) for n in order])
+    add = lambda f: F.aggregate(F.zip_with("parts", weights, f), F.lit(0.0), lambda acc, x: acc + x)
+    score = F.try_divide(add(lambda x, w: F.coalesce(x * w, F.lit(0.0))), add(lambda x, w: F.when(x.isNotNull(), w).otherwise(0.0)))
     return p.select(*KEY, "ord_a", "ord_b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 5).alias("score"))
 
 
@@ -192,7 +205,8 @@ def families(section_rows: DataFrame, pairs: DataFrame, threshold: float = 0.78)
         members: list[list[int]] = []
         out = []
         for o in sorted(left["ord"]):
-            means = [sum(score.get((m, o), 0.0) for m in f) / len(f) for f in members]
+            known = [[x for m in f if (x := score.get((m, o))) is not None and x == x] for f in members]
+            means = [sum(f) / len(f) if f else -1.0 for f in known]  # missing scores are left out
             best = max(range(len(means)), key=lambda i: (means[i], -i), default=None)
             if best is None or means[best] < threshold:
                 best = len(members)

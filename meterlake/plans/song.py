@@ -88,7 +88,16 @@ def _structure(spark, sf_dir):
     chosen = p.join(relations.select_passes(p, 0, 180), timeline.KEY, "left_semi")
     active = chosen.select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio"))
     found = structure.boundaries(structure.peaks(structure.smooth(structure.novelty(pts, active))), pts).persist()
-    return p, pts, found
+    return p, pts, found, active
+
+
+def _named(spark, sf_dir):
+    """Sections of every pass, their summaries and families, with the activity of all tracks."""
+    p, pts, found, active = _structure(spark, sf_dir)
+    secs = structure.sections(found, pts).persist()  # these too are a few hundred rows
+    s = structure.summaries(secs, p).persist()
+    similarity = structure.section_similarity(s, structure.section_activity(secs, active).persist()).persist()
+    return s, similarity, structure.families(secs, similarity)
 
 
 @query("c07_boundaries")
@@ -98,18 +107,21 @@ def c07(spark, sf_dir):
 
 @query("c08_families")
 def c08(spark, sf_dir):
-    p, pts, found = _structure(spark, sf_dir)
-    secs = structure.sections(found, pts)
-    return structure.families(secs, structure.section_similarity(structure.summaries(secs, p).persist()))
+    return _named(spark, sf_dir)[2]
+
+
+@query("j12_similar_sections")
+def j12(spark, sf_dir):
+    return relations.similar_sections(_named(spark, sf_dir)[1], timeline.KEY)
 
 
 @query("t33_section_map")
 def t33(spark, sf_dir):
-    p, pts, found = _structure(spark, sf_dir)
-    secs = structure.sections(found, pts)
-    s = structure.summaries(secs, p).persist()
-    named = structure.families(secs, structure.section_similarity(s))
-    return s.select(*timeline.KEY, "section", "ord", "start", "end", "rms_db", "coverage_ratio").join(named, [*timeline.KEY, "ord"])
+    """The map as rows: sections, families, and an id of the boundaries of its pass."""
+    s, _, named = _named(spark, sf_dir)
+    bounds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))), lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    ids = s.groupBy(*timeline.KEY).agg(F.substring(F.sha1(F.concat_ws("|", *timeline.KEY, bounds)), 1, 12).alias("map_id"))
+    return s.select(*timeline.KEY, "section", "ord", "start", "end", "rms_db", "coverage_ratio").join(named, [*timeline.KEY, "ord"]).join(ids, timeline.KEY)
 
 
 @query("c03_passes", f"{P}, x AS (SELECT runtime_id, transport_epoch, sum(bit_count(cover)) AS n FROM acc WHERE bin + 1 > 20 AND bin < 60 GROUP BY ALL) SELECT runtime_id, transport_epoch FROM (SELECT *, row_number() OVER (PARTITION BY runtime_id ORDER BY n DESC, transport_epoch DESC) AS r FROM x) WHERE r = 1")

@@ -475,3 +475,70 @@ def t43(spark, sf_dir):
 )
 def a17(spark, sf_dir):
     return dynamics.accepted(partials(spark, sf_dir), timeline.KEY, 20, 60)
+
+
+_SHIFTS = ", ".join(f"('{m}', '{stat}', '{name}')" for m, stat, name in dynamics.SHIFTS)
+_SIDES = "sd AS (SELECT runtime_id, transport_epoch, CASE WHEN bin >= 20 AND bin < 60 THEN 'primary' ELSE 'other' END AS side, * EXCLUDE (runtime_id, transport_epoch) FROM bn WHERE coverage_ratio >= 0.5 AND ((bin >= 20 AND bin < 60) OR (bin >= 100 AND bin < 140)))"
+_MEASURED = " UNION ALL ".join(f"SELECT runtime_id, transport_epoch, side, '{m}' AS measure, CAST({m} AS DOUBLE) AS v, covered_seconds AS w FROM sd" for m in ("rms_db", "lufs_s", "crest_db", "peak_db"))
+
+
+@query(
+    "c17_section_comparison",
+    f"""{P}, {_BINS}, {_SIDES}, {_percentiles('runtime_id, transport_epoch, side, measure', _MEASURED)},
+    wd AS (SELECT runtime_id, transport_epoch, measure, {', '.join(f"max(CASE WHEN side = '{x}' AND q = {q} THEN x END) AS {x}_{round(q * 100)}" for x in ('primary', 'other') for q in (0.1, 0.5, 0.9))} FROM pc GROUP BY ALL)
+    SELECT runtime_id, transport_epoch, name AS shift, round(CASE stat WHEN 'p50' THEN other_50 - primary_50 WHEN 'p90' THEN other_90 - primary_90 ELSE (other_90 - other_10) - (primary_90 - primary_10) END, 4) AS delta FROM wd JOIN (VALUES {_SHIFTS}) s(m, stat, name) ON m = measure""",
+)
+def c17(spark, sf_dir):
+    bins = timeline.finalize(partials(spark, sf_dir), [*timeline.KEY, "bin_index"], F.lit(1.0))
+    return dynamics.section_comparison(bins, (20, 60), (100, 140), timeline.KEY)
+
+
+@query(
+    "c16_exact_pass",
+    f"{P}, {_BINS} SELECT runtime_id, transport_epoch, CAST(bin AS INTEGER) AS bin_index, rms_db, coverage_ratio FROM bn WHERE transport_epoch = 2 AND bin + 1 > 20 AND bin < 60",
+)
+def c16(spark, sf_dir):
+    bins = timeline.finalize(partials(spark, sf_dir), [*timeline.KEY, "bin_index"], F.lit(1.0))
+    return dynamics.exact_pass(bins, *dynamics.scope(20, 60), 2).select(*timeline.KEY, "bin_index", "rms_db", "coverage_ratio")
+
+
+# --- stereo by band, load, resets ---
+
+_SB = "sb AS (SELECT vec_id, g.i AS stereo_band, greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), 4 * CAST(embedding[g.i + 41] AS DOUBLE))) AS c, -9 + 20 * CAST(embedding[g.i + 49] AS DOUBLE) AS r FROM embeddings, (SELECT unnest(range(8)) AS i) g WHERE vec_id < 500)"
+_RANGES = ", ".join(f"({i}, '{dims.band_label(lo, hi)}')" for i, (lo, hi) in enumerate(zip(dims.STEREO_EDGES[:-1], dims.STEREO_EDGES[1:], strict=True)))
+
+
+@query(
+    "t08_stereo_bands",
+    f"""WITH {sql.frames()}, {LATEST}, {_SB} SELECT runtime_id, CAST(stereo_band AS INTEGER) AS stereo_band, label AS range, c AS correlation, CASE WHEN c < -0.25 THEN 'strong_negative' WHEN c < 0 THEN 'negative' WHEN c < 0.25 THEN 'weak' ELSE 'positive' END AS label
+    FROM latest JOIN sb ON sb.vec_id = latest.vec_id JOIN (VALUES {_RANGES}) n(i, label) ON n.i = stereo_band WHERE sp AND (mask & 8) <> 0""",
+)
+def t08(spark, sf_dir):
+    return recent.stereo_bands(state.latest(frames(spark, sf_dir, spectra=True)))
+
+
+@query("a10_stereo_band_means", f"{W}, {_SB} SELECT runtime_id, CAST(stereo_band AS INTEGER) AS stereo_band, round(avg(c), 6) AS correlation, round(10 * log10(greatest(avg(pow(10, r / 10)), 1e-12)), 4) AS side_to_mid_db FROM w JOIN sb ON sb.vec_id = w.vec_id WHERE sp AND (mask & 8) <> 0 GROUP BY ALL")
+def a10(spark, sf_dir):
+    return recent.stereo_band_means(window(spark, sf_dir, True))
+
+
+@query("z15_load", f"WITH {sql.frames()} SELECT runtime_id, CAST(floor(received_at) AS BIGINT) AS stretch, count(*) AS frames, CAST(count(*) AS DOUBLE) AS frames_per_second, round(max(lag), 6) AS max_lag_ms, CAST(sum(dropped) AS BIGINT) AS dropped FROM f GROUP BY ALL")
+def z15(spark, sf_dir):
+    return recent.load(frames(spark, sf_dir))
+
+
+_TURNS = ", ".join(f"CAST(coalesce((mask & {bit}) <> lag(mask & {bit}) OVER k, false) AS INTEGER) AS {n}_turn" for n, bit in (("loudness", 2), ("semantic", 32)))
+
+
+@query(
+    "z09_segments",
+    f"WITH {sql.frames()}, tn AS (SELECT runtime_id, transport_epoch, arrival_seq, {_TURNS} FROM f WINDOW k AS (PARTITION BY runtime_id, transport_epoch ORDER BY arrival_seq)) SELECT runtime_id, transport_epoch, arrival_seq, CAST(sum(loudness_turn) OVER k AS BIGINT) AS loudness_segment, CAST(sum(semantic_turn) OVER k AS BIGINT) AS semantic_segment FROM tn WINDOW k AS (PARTITION BY runtime_id, transport_epoch ORDER BY arrival_seq)",
+)
+def z09(spark, sf_dir):
+    return state.segments(frames(spark, sf_dir), ["loudness", "semantic"])
+
+
+@query("x40_names", f"WITH {sql.frames()}, {LATEST}, {BINDINGS} SELECT l.runtime_id, CASE WHEN fl_track_index IS NULL THEN l.runtime_id ELSE 'mixer:' || fl_track_index || '/slot:' || slot END AS selector, coalesce(fl_track_name, track) AS name FROM latest l LEFT JOIN bindings b ON b.runtime_id = l.runtime_id")
+def x40(spark, sf_dir):
+    live = _live(spark, sf_dir).join(source.bindings(spark), "runtime_id", "left")
+    return live.select("runtime_id", X.binding_selector("fl_track_index", "slot", "runtime_id").alias("selector"), X.display_name("fl_track_name", "track", "runtime_id").alias("name"))

@@ -156,6 +156,8 @@ def attach_bands(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
             "side_bands_db": F.transform(F.slice("e", 33, 32), lambda x: F.col("rms_db") - 9 + 20 * x),
             "chroma": F.transform(F.slice("e", 1, 12), lambda x: x * x / F.col("low")),
             "chroma_energy_ratio": F.col("low") / F.col("all"),
+            "band_stereo_correlation": F.transform(F.slice("e", 41, 8), lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 4 * x))),
+            "band_side_to_mid_db": F.transform(F.slice("e", 49, 8), lambda x: -9 + 20 * x),
         }
     )
     return mask_families(out.drop("e", "low", "all"))

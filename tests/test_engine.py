@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import dims
 from meterlake.functions import expr as X
-from meterlake.operators import compare, dsp, dynamics, pairs, recent, state, structure, timeline
+from meterlake.operators import compare, dsp, dynamics, pairs, recent, relations, sessions, state, structure, timeline
 from meterlake.sources import frames as source
 from meterlake.streaming import live
 
@@ -267,3 +267,72 @@ def test_guides(spark, tmp_path):
     assert (row.uri, row.text) == ("guide://index", "# Index\ntext")
     with pytest.raises(ValueError):
         guides.guide_path("/g", "../secret.md")
+
+
+def test_scalar_goldens(spark):
+    waits = [(1024, 48000.0, 0), (1023, 48000.0, 1), (512, 48000.0, 11), (0, 48000.0, 20), (0, 192000.0, 6), (0, 0.0, 20)]
+    df = spark.createDataFrame([(a, 1024, r, w) for a, r, w in waits], "available int, hop int, rate double, want int")
+    assert all(r.got == r.want for r in df.select("want", X.idle_wait_ms("available", "hop", "rate").alias("got")).collect())
+    due = [(4799, 48000.0, 99.9, False), (4800, 48000.0, 5.0, True), (1024, 48000.0, 100.0, True), (4410, 44100.0, 0.0, True), (1, 0.0, 0.0, True)]
+    df = spark.createDataFrame(due, "n long, rate double, ms double, want boolean")
+    assert all(r.got == r.want for r in df.select("want", X.loudness_due("n", "rate", "ms").alias("got")).collect())
+    df = spark.createDataFrame([(19.9, None), (20.0, 0), (119.9, 1), (120.0, 2), (20000.0, 7), (20000.1, None)], "hz double, want int")
+    assert all(r.got == r.want for r in df.select("want", X.stereo_band("hz").alias("got")).collect())
+    df = spark.createDataFrame([(10.0, 20.0, 120.0, 480, 0, 48000.0, True), (10.0, 20.0, 120.0, 480, 0, 48000.0, False)], "t double, ppq double, bpm double, block long, queued long, rate double, playing boolean")
+    on, off = (r.e for r in df.select(X.transport_estimate("t", "ppq", "bpm", "block", "queued", "rate", "playing").alias("e")).collect())
+    assert on.transport_time_seconds == pytest.approx(10 + (480 - 2048) / 48000) and on.transport_ppq_position == pytest.approx(20 + 2 * (480 - 2048) / 48000) and off.transport_time_seconds == 10.0
+
+
+def test_stereo_spectra_and_hops(spark):
+    import numpy as np
+
+    t = np.arange(4096) / 48000
+    tone = np.sin(2 * np.pi * 100 * t)[None]
+    same, apart = dsp.measure(tone, tone, 48000.0), dsp.measure(tone, -tone, 48000.0)
+    assert same["low_band_20_120_correlation"][0] == pytest.approx(1) and apart["low_band_20_120_correlation"][0] == pytest.approx(-1)
+    assert same["negative_cross_energy_ratio"][0] == 0 and apart["negative_cross_energy_ratio"][0] == pytest.approx(1)
+    assert same["band_stereo_correlation"][0][1] == pytest.approx(1) and same["band_side_to_mid_db"][0][1] < -60 and apart["band_side_to_mid_db"][0][1] > 60
+    assert same["low_band_energy_db"][0] > -20 > same["bands_db"][0][-1]
+    assert same["harmonic_f0_candidate_hz"].shape == (1,) and abs(same["true_peak_dbtp"][0]) < 0.3
+    hops = spark.createDataFrame([("a", 0, [0.5, -1.0], [0.1, 0.2]), ("a", 1, [0.0, 0.0], [0.0, 0.0])], "runtime_id string, hop_index long, left array<double>, right array<double>")
+    assert [r.detector_peak_db for r in dsp.detector_peak(hops).sort("hop_index").collect()] == [0.0, -120.0]
+    changes = spark.createDataFrame([("a", i, float(i), 1.0) for i in range(8)], "runtime_id string, hop_index long, flux double, rise_db double")
+    assert [(r.spectral_flux_peak, r.samples) for r in dsp.emissions(changes, 4).sort("emission").collect()] == [(3.0, 4096), (7.0, 4096)]
+
+
+def test_sessions_block_and_complete_once(spark):
+    state = spark.createDataFrame([("a", -10.0, 0.5), ("b", -12.0, 0.0)], "runtime_id string, rms_db double, active_ratio double")
+    requests = spark.createDataFrame([("s1", "one", 1.0, ["a"]), ("s2", "two", 2.0, ["b"]), ("s3", "three", 3.0, ["gone"]), ("s4", "all", 4.0, [])], "session_id string, label string, created_at double, targets array<string>")
+    before = requests.select("session_id").crossJoin(state)
+    begun = sessions.begin(requests, before, F.col("active_ratio") > 0)
+    got = {r.session_id: r for r in begun.collect()}
+    assert [got[k].ready for k in ("s1", "s2", "s3", "s4")] == [True, False, False, False]
+    assert got["s2"].blockers == ["invalid:b"] and got["s3"].blockers == ["missing:gone"] and got["s4"].targets == ["a", "b"]
+    after = before.withColumn("rms_db", F.col("rms_db") + 2)
+    columns = ["crest_db", "centroid_hz", "stereo_correlation", "lufs_s"]
+    wide = lambda df: df.withColumns({c: F.lit(None).cast("double") for c in columns})
+    targets = sessions.compare_targets(begun, wide(before), wide(after), {}, ["rms_db"])
+    rows = {(r.session_id, r.runtime_id): r for r in targets.collect()}
+    assert rows["s1", "a"].controlled and rows["s1", "a"].rms_db_delta == 2.0 and rows["s1", "a"].comparable == ["energy"]
+    assert rows["s3", "gone"].failed == ["not_ready", "missing_before", "missing_after"] or "missing_before" in rows["s3", "gone"].failed
+    said = spark.createDataFrame([("s1", "-2 dB"), ("s2", " ")], "session_id string, readback string")
+    done = sessions.complete(begun, targets, said, F.lit(9.0))
+    again = {r.session_id: r for r in sessions.complete(done, targets.limit(0), said.limit(0), F.lit(10.0)).collect()}
+    assert again["s1"].closed_loop and not again["s2"].controlled and {r.completed_at for r in again.values()} == {9.0}
+    assert [r.session_id for r in sessions.status(done, 2).sort("rank").collect()] == ["s4", "s3"]
+
+
+def test_scopes_and_handshake(spark):
+    assert dynamics.scope(2.25, 4.2) == (2, 5) and dynamics.scope(section=(3, 9)) == (3, 9) and dynamics.scope(span=(0, 7)) == (0, 7)
+    for bad in ({"start": 1.0}, {"start": 1.0, "end": 2.0, "section": (0, 1)}, {"start": 2.0, "end": 1.0}, {}):
+        with pytest.raises(ValueError):
+            dynamics.scope(**bad)
+    heard = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("b", 6.0)], "runtime_id string, heard_at double")
+    asked = spark.createDataFrame([(1, 2.0), (1, 5.5), (2, 5.7), (3, 40.0)], "slot int, at double")
+    assert {r.slot: r.runtime_id for r in state.handshake(heard, asked).collect()} == {1: "b"}
+
+
+def test_similar_sections_from_either_side(spark):
+    df = spark.createDataFrame([("a", 1, 1, 2, 0.9), ("a", 1, 1, 3, 0.5), ("a", 1, 2, 3, None)], "runtime_id string, transport_epoch int, ord_a int, ord_b int, score double")
+    got = {(r.ord, r.rank): r.other for r in relations.similar_sections(df, ["runtime_id", "transport_epoch"]).collect()}
+    assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (3, 1): 1}
