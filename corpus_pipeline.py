@@ -1,7 +1,12 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it and rereads it as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``; the last has doc_id, lang, source, n_chars and the
+tokens.
+
+Defined results: null texts count as empty; rows of a null id go through every stage but are neither deduplicated nor
+searched; repeated rows are treated alike up to the near duplicates, where rows of one id share their fate; empty tables
+give empty results; extra columns of any name pass through all stages but the last; n_chars follows the text where there is such a column.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the later of matching lines out of the texts; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs, min_words=1).drop("n_lines", "n_removed")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    aside = {c: f"__{c}" for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    kept = line_dedup.dedup_lines(docs.withColumnsRenamed(aside), min_words=1).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in aside.items()})
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +49,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts, decode the ids, and say whether the bytes came back."""
-    hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = [c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns]
+    hashed = docs.select(*kept, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     back = byte_bpe.encode(hashed, TOKENIZER, PATTERN, decoded=True)
-    return back.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    return back.select(*kept, "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontaminate", benchmark), ("bpe", tokens)]
