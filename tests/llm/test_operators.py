@@ -478,3 +478,18 @@ def test_pipeline_stages(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len(rows) <= docs.count() and all(r.round_trip for r in rows) and len({r.doc_id for r in rows}) == len(rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "bpe"]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, extra and clashing columns, and an empty table pass every stage."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(odd_rows(), DOCS).withColumnsRenamed({"band": "text_sha256", "component_id": "n_removed"})
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, sentence(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0), docs.drop("n_chars", "lang")):
+            out = stage(spark, rows, str(tmp_path))
+            found = out.collect()
+            assert (len(found) == 0) if rows.isEmpty() else 0 < len(found) <= docs.count()
+            assert name == "bpe" or [c for c in rows.columns if c not in ("n_removed",)] == [c for c in out.columns if c not in ("n_removed",)]
