@@ -12,7 +12,7 @@ f0 AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, value, TRY_CAST
 f1 AS (SELECT *, (us - 1704067200000000) / CAST(1.44e10 AS DOUBLE) AS t FROM f0),
 f2 AS (SELECT *, 20 * log10(greatest(value / 500, CAST(1e-9 AS DOUBLE))) + CAST({lift} AS DOUBLE) AS rms_db,
   CASE k % 8 WHEN 0 THEN 1 WHEN 1 THEN 15 WHEN 2 THEN 31 ELSE 63 END AS mask FROM f1),
-f AS (SELECT event_id AS arrival_seq, event_id % 500 AS vec_id, 'rt-' || event_type AS runtime_id, event_type AS track, CAST(1 + user_id % 2 AS INTEGER) AS transport_epoch,
+f AS (SELECT event_id AS arrival_seq, event_id % (SELECT greatest(count(*), 1) FROM embeddings) AS vec_id, 'rt-' || event_type AS runtime_id, event_type AS track, CAST(1 + user_id % 2 AS INTEGER) AS transport_epoch,
   t, CAST(floor(t) AS INTEGER) AS bin, t AS received_at, k, mask, rms_db, rms_db > -50 AS sp, CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS crest_db, rms_db + CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS peak_db,
   CASE WHEN (mask & 2) <> 0 THEN rms_db + CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) + CAST(0.3 AS DOUBLE) END AS true_peak_dbtp,
   CASE WHEN (mask & 2) <> 0 AND k % 10 <> 0 THEN rms_db - 1 END AS lufs_s,
@@ -35,7 +35,7 @@ def erb_case(column: str = "band") -> str:
 
 #: Band levels of active frames in the window; mid and side where their family is on.
 BANDS = """
-sh AS (SELECT vec_id, g.i AS band, CAST(embedding[g.i + 1] AS DOUBLE) AS m, CAST(embedding[g.i + 33] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(range(32)) AS i) g WHERE vec_id < 500),
+sh AS (SELECT vec_id, g.i AS band, CAST(embedding[g.i + 1] AS DOUBLE) AS m, CAST(embedding[g.i + 33] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(range(32)) AS i) g),
 bands AS (SELECT w.runtime_id, w.arrival_seq, sh.band, CASE WHEN (mask & 4) <> 0 THEN rms_db + 20 * m END AS mid, CASE WHEN (mask & 8) <> 0 THEN rms_db - 9 + 20 * s END AS side FROM w JOIN sh ON w.vec_id = sh.vec_id WHERE sp),
 means AS (SELECT runtime_id, band, round(10 * log10(greatest(avg(pow(10, mid / 10)), 1e-12)), 4) AS plain_db FROM bands WHERE mid IS NOT NULL GROUP BY ALL)"""
 

@@ -504,7 +504,7 @@ def c16(spark, sf_dir):
 
 # --- stereo by band, load, resets ---
 
-_SB = "sb AS (SELECT vec_id, g.i AS stereo_band, greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), 4 * CAST(embedding[g.i + 41] AS DOUBLE))) AS c, -9 + 20 * CAST(embedding[g.i + 49] AS DOUBLE) AS r FROM embeddings, (SELECT unnest(range(8)) AS i) g WHERE vec_id < 500)"
+_SB = "sb AS (SELECT vec_id, g.i AS stereo_band, greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), 4 * CAST(embedding[g.i + 41] AS DOUBLE))) AS c, -9 + 20 * CAST(embedding[g.i + 49] AS DOUBLE) AS r FROM embeddings, (SELECT unnest(range(8)) AS i) g)"
 _RANGES = ", ".join(f"({i}, '{dims.band_label(lo, hi)}')" for i, (lo, hi) in enumerate(zip(dims.STEREO_EDGES[:-1], dims.STEREO_EDGES[1:], strict=True)))
 
 

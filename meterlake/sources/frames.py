@@ -138,18 +138,19 @@ def from_events(events: DataFrame, sectioned: bool = False) -> DataFrame:
         (k * 22.0 / 7.0).alias("estimated_analysis_lag_ms"),
         F.lit(True).alias("transport_is_playing"),
         F.lit(True).alias("transport_v12_supported"),
-        (F.col("event_id") % 500).alias("vec_id"),
     )
     return mask_families(frames)
 
 
 def attach_bands(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Spectra and chroma of frames from a table of 500 shapes (vec_id below 500, so broadcast)."""
-    shapes = embeddings.where((F.col("vec_id") >= 0) & (F.col("vec_id") < 500)).dropDuplicates(["vec_id"])
+    """Spectra and chroma of frames from a table of shapes, numbered from 0; frame i takes shape i mod their number."""
+    n = embeddings.count()
+    shapes = embeddings.where("vec_id is not null").dropDuplicates(["vec_id"])
     shapes = shapes.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     square = lambda n: F.aggregate(F.slice("e", 1, n), F.lit(0.0), lambda acc, x: acc + x * x)
     shapes = shapes.withColumns({"low": square(12), "all": square(32)})
-    joined = frames.join(F.broadcast(shapes), "vec_id")
+    # Up to 10,000 shapes (some 10 MB) travel to the frames; more are joined as Spark sees fit.
+    joined = frames.withColumn("vec_id", F.col("arrival_seq") % F.lit(max(1, n))).join(F.broadcast(shapes) if n <= 10_000 else shapes, "vec_id", "left")
     out = joined.withColumns(
         {
             "bands_db": F.transform(F.slice("e", 1, 32), lambda x: F.col("rms_db") + 20 * x),
