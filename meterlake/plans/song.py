@@ -8,6 +8,7 @@ from ..operators import compare, pairs, recent, relations, structure, timeline
 from ..sources import frames as source
 from . import oracle as sql
 from . import tools
+from .lineage import cut
 from .tools import AS_OF, SUMMARY, SUMMARY_COLUMNS, WB, P, PS, partials, query, window
 
 SECTIONS = "sec AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {o}, {a}, {b})" for n, o, a, b in structure.fixed_sections()) + ") v(section, ord, s0, s1))"
@@ -82,21 +83,22 @@ def w08(spark, sf_dir):
 
 
 def _structure(spark, sf_dir):
-    """Points with spectra, the activity of all tracks, and the sections of every pass."""
-    p = partials(spark, sf_dir, True, True).persist()  # a few thousand rows, read by many branches
-    pts = structure.points(p).persist()
+    """Partials, points, the activity of all tracks, and the sections of every pass; each is read by many branches."""
+    p = cut(partials(spark, sf_dir, True, True))
+    pts = cut(structure.points(p))
     chosen = p.join(relations.select_passes(p, 0, 180), timeline.KEY, "left_semi")
-    active = chosen.select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio"))
-    found = structure.boundaries(structure.peaks(structure.smooth(structure.novelty(pts, active))), pts).persist()
+    active = cut(chosen.select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio")))
+    smoothed = cut(structure.smooth(structure.novelty(pts, active)))
+    found = structure.boundaries(structure.peaks(smoothed), pts)
     return p, pts, found, active
 
 
 def _named(spark, sf_dir):
     """Sections of every pass, their summaries and families, with the activity of all tracks."""
     p, pts, found, active = _structure(spark, sf_dir)
-    secs = structure.sections(found, pts).persist()  # these too are a few hundred rows
-    s = structure.summaries(secs, p).persist()
-    similarity = structure.section_similarity(s, structure.section_activity(secs, active).persist()).persist()
+    secs = cut(structure.sections(found, pts))
+    s = cut(structure.summaries(secs, p))
+    similarity = cut(structure.section_similarity(s, structure.section_activity(secs, active)))
     return s, similarity, structure.families(secs, similarity)
 
 
