@@ -53,6 +53,13 @@ def compare_reference(reference: DataFrame, target: DataFrame, reference_rms: Da
     return r.join(t, on).select(on, F.round(F.col("t") - F.col("r"), 4).alias("absolute_db"), F.round(F.col("t") + F.col("rr") - F.col("tr") - F.col("r"), 4).alias("normalised_db"))
 
 
+def compare_mono_groups(reference: DataFrame, target: DataFrame, on: str = "region") -> DataFrame:
+    """Target's mono fold against a reference's, region by region (C13); regions that either lacks have no row."""
+    r = reference.select(on, F.col("delta_db").alias("r"), F.col("floor_censored").alias("reference_floor_censored"))
+    t = target.select(on, F.col("delta_db").alias("t"), F.col("floor_censored").alias("target_floor_censored"))
+    return r.join(t, on).select(on, X.delta("r", "t").alias("mono_delta_db"), "reference_floor_censored", "target_floor_censored")
+
+
 def fingerprint(tracks: DataFrame, columns: list[str]) -> DataFrame:
     """Fingerprint of a project's topology (X26): SHA-256, 16 digits, of its sorted rows as text."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(columns)])

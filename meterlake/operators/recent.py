@@ -166,6 +166,27 @@ def mono_fold(mid: DataFrame, side: DataFrame, by: str = "runtime_id") -> DataFr
     )
 
 
+def mono_groups(mid: DataFrame, side: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """What folding to mono takes from each of the five regions (C12): the powers of a region's bands are summed first."""
+    p = lambda c: F.when(F.col(c) > X.FLOOR_DB, X.power(c)).otherwise(0.0)
+    region = F.get(F.array(*[F.lit(dims.region_of(c)) for c in dims.BAND_CENTERS]), F.col("band"))
+    both = mid.select(by, "band", p("zero_db").alias("m")).join(side.select(by, "band", p("zero_db").alias("s")), [by, "band"])
+    sums = both.where("m + s > 1e-12").groupBy(by, region.alias("region")).agg(F.count("*").alias("centers"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    total = F.col("m") + F.col("s")
+    loss = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("m") / total))
+    share = total / F.max(total).over(Window.partitionBy(by))
+    return sums.select(
+        by,
+        "region",
+        "centers",
+        F.round(10 * F.log10(F.greatest(F.col("m"), F.lit(1e-12)) / total), 4).alias("delta_db"),
+        (F.col("m") <= 1e-12).alias("floor_censored"),
+        F.round(loss, 6).alias("loss"),
+        F.round(share, 6).alias("share"),
+        F.round(share * F.round(loss, 6), 6).alias("priority"),
+    )
+
+
 def stereo_bands(latest: DataFrame) -> DataFrame:
     """The latest frame's correlation by stereo band, with a label (T08, P09); none while the stereo family is off or nothing sounds."""
     b = latest.where("signal_present and stereo_valid and band_stereo_correlation is not null").select("runtime_id", F.posexplode("band_stereo_correlation").alias("stereo_band", "correlation"))

@@ -148,6 +148,20 @@ def summaries(section_rows: DataFrame, partials: DataFrame) -> DataFrame:
     return timeline.finalize(joined, [*KEY, "section", "ord", "start", "end"], F.max("length").cast("double"))
 
 
+def section_range(requests: DataFrame, maps: DataFrame) -> DataFrame:
+    """Start, end and family of requested sections (C22): requests (request, map_id, section), maps (map_id, made, section, start, end, family).
+
+    Section names are trimmed and upper-cased; a null ``map_id`` means the map made last. A request without a map
+    or a section keeps its row, with the reason.
+    """
+    newest = maps.agg(F.max_by("map_id", "made").alias("newest"))
+    asked = requests.crossJoin(F.broadcast(newest)).select("request", F.coalesce("map_id", "newest").alias("map_id"), F.upper(F.trim("section")).alias("section"))
+    known = maps.select("map_id").distinct().withColumn("known", F.lit(True))
+    spots = maps.select("map_id", F.upper("section").alias("section"), "start", "end", "family")
+    reason = F.when(F.col("known").isNull(), "no_map").when(F.col("start").isNull(), "no_section")
+    return asked.join(known, "map_id", "left").join(spots, ["map_id", "section"], "left").select("request", "map_id", "section", "start", "end", "family", reason.alias("reason"))
+
+
 def _mean_of(parts: list[Column]) -> Column:
     have = F.filter(F.array(*parts), lambda x: x.isNotNull())
     return F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda acc, x: acc + x) / F.size(have))

@@ -102,6 +102,14 @@ def song_timeline(partials: DataFrame, resolution: int = 5) -> DataFrame:
     return finalize(grouped, [*KEY, "group_index"], F.lit(float(step)))
 
 
+def first_groups(rows: DataFrame, most: int, order: str = "group_index") -> DataFrame:
+    """The first ``most`` groups of each pass, and whether the pass has more (O04): the count is one aggregate, not a sort."""
+    counts = rows.groupBy(*KEY).agg(F.count("*").alias("group_count"))
+    w = Window.partitionBy(*KEY).orderBy(order)
+    first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+    return first.join(counts, KEY).withColumn("truncated", F.col("group_count") > most)
+
+
 def pass_summary(partials: DataFrame, last: int = 12) -> DataFrame:
     """One row per pass of a track, at most the last 12 passes each."""
     out = finalize(partials, KEY).withColumn("bins", F.col("end_seconds") - F.col("start_seconds"))

@@ -299,6 +299,33 @@ def t47(spark, sf_dir):
     return compare.compare_reference(one(m, "rt-click"), one(m, "rt-view"), one(level, "rt-click"), one(level, "rt-view"))
 
 
+@query(
+    "c13_reference_regions",
+    f"""{WB}, rg AS (SELECT runtime_id, CAST({sql.region_case()} AS INTEGER) AS region, round(10 * log10(greatest(avg(pow(10, plain_db / 10)), 1e-12)), 4) AS db FROM means GROUP BY ALL)
+    SELECT a.region, round(b.db - a.db, 4) AS absolute_db, round(b.db + ({_LEVEL.format('rt-click')}) - ({_LEVEL.format('rt-view')}) - a.db, 4) AS normalised_db FROM rg a JOIN rg b ON a.region = b.region AND a.runtime_id = 'rt-click' AND b.runtime_id = 'rt-view'""",
+)
+def c13_regions(spark, sf_dir):
+    w = window(spark, sf_dir, True)
+    r, level = recent.regions(recent.band_means(w)), recent.average(w)
+    one = lambda rows, t: rows.where(F.col("runtime_id") == t)
+    return compare.compare_reference(one(r, "rt-click"), one(r, "rt-view"), one(level, "rt-click"), one(level, "rt-view"), "region", "region_db")
+
+
+@query(
+    "c22_section_range",
+    f"""WITH {sql.frames()}, sec AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {o}, {a}, {b})" for n, o, a, b in structure.fixed_sections())}) v(section, ord, s0, s1)), maps AS (SELECT DISTINCT 'map-' || runtime_id AS map_id, section, s0, s1, CASE WHEN ord % 2 = 1 THEN 'A' ELSE 'B' END AS family FROM f, sec),
+    rq AS (SELECT arrival_seq AS request, upper(trim(' s0' || (arrival_seq % 10))) AS section, coalesce(CASE WHEN arrival_seq % 3 = 0 THEN runtime_id WHEN arrival_seq % 3 = 1 THEN runtime_id || '-x' END, (SELECT max(runtime_id) FROM f)) AS r FROM f)
+    SELECT request, 'map-' || r AS map_id, rq.section, s0 AS "start", s1 AS "end", family, CASE WHEN k.map_id IS NULL THEN 'no_map' WHEN s0 IS NULL THEN 'no_section' END AS reason
+    FROM rq LEFT JOIN (SELECT DISTINCT map_id FROM maps) k ON k.map_id = 'map-' || r LEFT JOIN maps ON maps.map_id = 'map-' || r AND maps.section = rq.section""",
+)
+def c22(spark, sf_dir):
+    """A request per frame: for its track's map, for one that no one made, or for the last."""
+    f = tools.frames(spark, sf_dir)
+    maps = f.select("runtime_id").distinct().crossJoin(F.broadcast(fixed(spark).join(labels(spark), "section"))).select(F.concat(F.lit("map-"), "runtime_id").alias("map_id"), F.col("runtime_id").alias("made"), "section", "start", "end", "family")
+    which = F.when(F.col("arrival_seq") % 3 == 0, F.concat(F.lit("map-"), "runtime_id")).when(F.col("arrival_seq") % 3 == 1, F.concat(F.lit("map-"), "runtime_id", F.lit("-x")))
+    return structure.section_range(f.select(F.col("arrival_seq").alias("request"), which.alias("map_id"), F.concat(F.lit(" s0"), F.col("arrival_seq") % 10).alias("section")), maps)
+
+
 @query("x26_fingerprint", f"WITH {sql.frames()}, {tools.LATEST} SELECT substr(sha256(string_agg(runtime_id || '|' || track, chr(10) ORDER BY runtime_id || '|' || track)), 1, 16) AS fingerprint FROM latest")
 def x26(spark, sf_dir):
     return compare.fingerprint(tools._live(spark, sf_dir), ["track", "runtime_id"])

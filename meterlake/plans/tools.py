@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import expr as X
-from ..operators import dynamics, pairs, recent, state, timeline
+from ..operators import compare, dynamics, pairs, recent, state, timeline
 from ..sources import frames as source
 from . import oracle as sql
 
@@ -317,6 +317,31 @@ def t44(spark, sf_dir):
     return recent.mono_fold(recent.band_means(w), recent.band_means(w, "side_bands_db"))
 
 
+_FOLD = f"""z AS (SELECT runtime_id, band, {_ZERO.format('mid')} AS m FROM bands WHERE mid IS NOT NULL GROUP BY ALL), y AS (SELECT runtime_id, band, {_ZERO.format('side')} AS s FROM bands WHERE side IS NOT NULL GROUP BY ALL),
+fold AS (SELECT z.runtime_id, z.band, CASE WHEN m > -120 THEN pow(10, m / 10) ELSE 0 END AS m, CASE WHEN s > -120 THEN pow(10, s / 10) ELSE 0 END AS s FROM z JOIN y ON z.runtime_id = y.runtime_id AND z.band = y.band),
+fg AS (SELECT runtime_id, CAST({sql.region_case()} AS INTEGER) AS region, count(*) AS centers, sum(m) AS m, sum(s) AS s FROM fold WHERE m + s > 1e-12 GROUP BY ALL),
+fd AS (SELECT runtime_id, region, centers, round(10 * log10(greatest(m, 1e-12) / (m + s)), 4) AS delta_db, m <= 1e-12 AS floor_censored, 1 - m / (m + s) AS l, (m + s) / max(m + s) OVER (PARTITION BY runtime_id) AS p FROM fg)"""
+
+
+def _mono_groups(spark, sf_dir):
+    w = window(spark, sf_dir, True)
+    return recent.mono_groups(recent.band_means(w), recent.band_means(w, "side_bands_db"))
+
+
+@query("c12_mono_groups", f"{WB}, {_FOLD} SELECT runtime_id, region, centers, delta_db, floor_censored, round(l, 6) AS loss, round(p, 6) AS share, round(p * round(l, 6), 6) AS priority FROM fd")
+def c12(spark, sf_dir):
+    return _mono_groups(spark, sf_dir)
+
+
+@query(
+    "c13_reference_mono",
+    f"{WB}, {_FOLD} SELECT r.region, round(t.delta_db - r.delta_db, 4) AS mono_delta_db, r.floor_censored AS reference_floor_censored, t.floor_censored AS target_floor_censored FROM fd r JOIN fd t ON r.region = t.region AND r.runtime_id = 'rt-click' AND t.runtime_id = 'rt-view'",
+)
+def c13_mono(spark, sf_dir):
+    g = _mono_groups(spark, sf_dir)
+    return compare.compare_mono_groups(g.where("runtime_id = 'rt-click'"), g.where("runtime_id = 'rt-view'"))
+
+
 # --- alignment ---
 
 
@@ -399,6 +424,16 @@ def t31(spark, sf_dir):
     return timeline.song_timeline(partials(spark, sf_dir)).select("runtime_id", "transport_epoch", "group_index", *SUMMARY_COLUMNS)
 
 
+@query(
+    "o04_first_groups",
+    f"{P}, x AS ({sql.summary('runtime_id, transport_epoch, CAST(floor(CAST(bin AS DOUBLE) / 5) AS INTEGER)', '5').replace('CAST(floor(CAST(bin AS DOUBLE) / 5) AS INTEGER),', 'CAST(floor(CAST(bin AS DOUBLE) / 5) AS INTEGER) AS group_index,', 1)}), "
+    "y AS (SELECT *, count(*) OVER (PARTITION BY runtime_id, transport_epoch) AS group_count FROM x) SELECT runtime_id, transport_epoch, group_index, frame_count, coverage_ratio, group_count, group_count > 24 AS truncated FROM y QUALIFY row_number() OVER (PARTITION BY runtime_id, transport_epoch ORDER BY group_index) <= 24",
+)
+def o04(spark, sf_dir):
+    """The first 24 groups of each pass; the limit is the feature."""
+    return timeline.first_groups(timeline.song_timeline(partials(spark, sf_dir)), 24).select("runtime_id", "transport_epoch", "group_index", "frame_count", "coverage_ratio", "group_count", "truncated")
+
+
 _PASS = sql.summary("runtime_id, transport_epoch", "greatest(1, max(bin) + 1 - min(bin))")
 
 
