@@ -73,6 +73,68 @@ def temporal_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
     )
 
 
+def spectral_shape(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """Means of rolloff and flatness over active frames (T07; A03)."""
+    return frames.groupBy(by).agg(F.round(F.avg(active("rolloff_hz")), 2).alias("rolloff_hz"), F.round(F.avg(active("flatness")), 6).alias("flatness"))
+
+
+def low_band_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """Seconds observed, density of onsets, flux weighted by time, and the energy of 40-160 Hz.
+
+    Only frames whose change measures are valid count. Levels at or below -120 dB are left out of the mean; the density is null where no time was observed.
+    """
+    valid = frames.where("temporal_valid")
+    seconds = F.greatest(F.lit(0.0), F.coalesce("temporal_window_seconds", F.lit(0.0)))
+    onset = F.coalesce(F.col("rms_rise_peak_db") >= 3, F.lit(False)) | F.coalesce(F.col("spectral_flux_peak") >= 0.18, F.lit(False))
+    return valid.groupBy(by).agg(
+        F.round(F.sum(seconds), 4).alias("observed_seconds"),
+        F.round(F.try_divide(F.count_if(onset).cast("double"), F.sum(seconds)), 4).alias("onset_density_hz"),
+        F.round(X.weighted_mean("spectral_flux_mean", F.greatest(F.lit(1e-6), seconds)), 6).alias("flux_mean"),
+        F.round(X.power_mean("low_band_energy_db"), 4).alias("low_band_db"),
+        F.round(F.min("low_band_energy_db"), 4).alias("low_band_min_db"),
+        F.round(F.max("low_band_energy_db"), 4).alias("low_band_max_db"),
+    )
+
+
+def mid_side_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """Mid and side levels, decorrelation, negative cross energy and the band of 20-120 Hz (T22; A03, A04, A06)."""
+    valid = frames.where("signal_present and stereo_valid")
+    return valid.groupBy(by).agg(
+        F.round(X.power_mean("mid_rms_db"), 4).alias("mid_rms_db"),
+        F.round(X.power_mean("side_rms_db"), 4).alias("side_rms_db"),
+        F.round(X.band_power_mean("side_to_mid_db"), 4).alias("side_to_mid_db"),
+        F.round(F.avg(1 - F.abs("stereo_correlation")), 6).alias("decorrelation_mean"),
+        F.round(F.avg("negative_cross_energy_ratio"), 6).alias("negative_cross_mean"),
+        F.round(F.max("negative_cross_energy_ratio"), 6).alias("negative_cross_max"),
+        F.round(F.avg("low_band_20_120_correlation"), 6).alias("low_band_correlation"),
+        F.round(F.min("low_band_20_120_correlation"), 6).alias("low_band_correlation_min"),
+        F.round(X.band_power_mean("low_band_20_120_side_to_mid_db"), 4).alias("low_band_side_to_mid_db"),
+        F.round(F.max("low_band_20_120_side_to_mid_db"), 4).alias("low_band_side_to_mid_max_db"),
+    )
+
+
+#: Measures of ``mid_side_profile`` that two tracks are compared by.
+MID_SIDE = ["mid_rms_db", "side_rms_db", "side_to_mid_db", "decorrelation_mean", "negative_cross_mean", "low_band_correlation", "low_band_side_to_mid_db"]
+
+
+def mid_side_compare(profile: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """Differences of all pairs of tracks, the second minus the first (T23); one row a track goes in."""
+    a, b = (profile.select(F.col(by).alias(n), *[F.col(m).alias(f"{m}_{n}") for m in MID_SIDE]) for n in "ab")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", *[X.delta(f"{m}_a", f"{m}_b").alias(f"{m}_delta") for m in MID_SIDE])
+
+
+def harmonic_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
+    """How far one harmonic series explains the spectrum, and the candidates for its fundamental (T24; A12)."""
+    f0 = F.when(F.col("harmonic_f0_candidate_hz") > 0, F.col("harmonic_f0_candidate_hz"))
+    return frames.where("signal_present and semantic_valid").groupBy(by).agg(
+        F.round(F.avg("single_f0_harmonic_energy_ratio"), 6).alias("harmonic_mean"),
+        F.round(F.max("single_f0_harmonic_energy_ratio"), 6).alias("harmonic_max"),
+        F.round(F.percentile(f0, 0.5), 4).alias("f0_median_hz"),
+        F.round(F.min(f0), 4).alias("f0_min_hz"),
+        F.round(F.max(f0), 4).alias("f0_max_hz"),
+    )
+
+
 def stereo_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
     """Stereo measures of active frames with the family on (T22), with the correlation's label."""
     out = frames.where("signal_present and stereo_valid").groupBy(by).agg(

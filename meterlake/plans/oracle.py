@@ -22,6 +22,11 @@ f AS (SELECT event_id AS arrival_seq, event_id % (SELECT greatest(count(*), 1) F
   CASE WHEN (mask & 16) <> 0 THEN CASE WHEN rms_db > -50 THEN CAST(k AS DOUBLE) / 413 ELSE 0 END END AS flux,
   CASE WHEN (mask & 16) <> 0 THEN CASE WHEN rms_db > -50 THEN CAST(k AS DOUBLE) / 207 ELSE 0 END END AS flux_peak,
   CASE WHEN (mask & 16) <> 0 THEN CASE WHEN rms_db > -50 THEN CAST(k AS DOUBLE) / CAST(16.3 AS DOUBLE) ELSE 0 END END AS rise,
+  CASE WHEN (mask & 4) <> 0 THEN CASE WHEN rms_db > -50 THEN 900 + 110 * CAST(k AS DOUBLE) / CAST(7.1 AS DOUBLE) ELSE 0 END END AS rolloff, CASE WHEN (mask & 4) <> 0 THEN CASE WHEN rms_db > -50 THEN CAST(k AS DOUBLE) / 131 ELSE 0 END END AS flatness,
+  CASE WHEN (mask & 16) <> 0 THEN CAST(1 + k % 5 AS DOUBLE) / 50 END AS secs, CASE WHEN (mask & 16) <> 0 THEN rms_db - CAST(k AS DOUBLE) / CAST(7.7 AS DOUBLE) END AS low_db,
+  CASE WHEN (mask & 8) <> 0 THEN rms_db - CAST(0.7 AS DOUBLE) END AS mid_db, CASE WHEN (mask & 8) <> 0 THEN rms_db - CAST(k AS DOUBLE) / CAST(5.3 AS DOUBLE) END AS side_db, CASE WHEN (mask & 8) <> 0 THEN -CAST(k AS DOUBLE) / CAST(6.1 AS DOUBLE) END AS stm_db,
+  CASE WHEN (mask & 8) <> 0 THEN CAST(k AS DOUBLE) / 111 END AS negative, CASE WHEN (mask & 8) <> 0 THEN 1 - CAST(k AS DOUBLE) / CAST(61.3 AS DOUBLE) END AS low_corr, CASE WHEN (mask & 8) <> 0 THEN -CAST(k AS DOUBLE) / CAST(4.9 AS DOUBLE) END AS low_stm_db,
+  CASE WHEN (mask & 32) <> 0 THEN CAST(k AS DOUBLE) / 121 END AS harmonic, CASE WHEN (mask & 32) <> 0 THEN CASE WHEN k % 9 = 0 THEN 0 ELSE 55 + k * CAST(3.3 AS DOUBLE) END END AS f0,
   CAST(event_id % 7 = 0 AS BIGINT) AS dropped, CAST(k AS DOUBLE) * 22 / 7 AS lag FROM f2)"""
 
 

@@ -199,6 +199,41 @@ def t18(spark, sf_dir):
     return recent.temporal_profile(window(spark, sf_dir))
 
 
+@query("t07_spectral_shape", f"{W} SELECT runtime_id, round(avg(rolloff) FILTER (WHERE sp), 2) AS rolloff_hz, round(avg(flatness) FILTER (WHERE sp), 6) AS flatness FROM w GROUP BY 1")
+def t07_shape(spark, sf_dir):
+    return recent.spectral_shape(window(spark, sf_dir))
+
+
+@query(
+    "t18_low_band",
+    f"""{W} SELECT runtime_id, round(sum(secs), 4) AS observed_seconds, round(count(*) FILTER (WHERE rise >= 3 OR flux_peak >= CAST(0.18 AS DOUBLE)) / sum(secs), 4) AS onset_density_hz, round(sum(flux * greatest(1e-6, secs)) / sum(greatest(1e-6, secs)), 6) AS flux_mean,
+    round(10 * log10(greatest(avg(CASE WHEN low_db > -120 THEN pow(10, low_db / 10) END), 1e-12)), 4) AS low_band_db, round(min(low_db), 4) AS low_band_min_db, round(max(low_db), 4) AS low_band_max_db FROM w WHERE (mask & 16) <> 0 GROUP BY 1""",
+)
+def t18_low(spark, sf_dir):
+    return recent.low_band_profile(window(spark, sf_dir))
+
+
+_LEVEL = "round(10 * log10(greatest(avg({0}), 1e-12)), 4)"
+_MID_SIDE = f"""ms AS (SELECT runtime_id, {_LEVEL.format("CASE WHEN mid_db > -120 THEN pow(10, mid_db / 10) END")} AS mid_rms_db, {_LEVEL.format("CASE WHEN side_db > -120 THEN pow(10, side_db / 10) END")} AS side_rms_db, {_LEVEL.format("pow(10, stm_db / 10)")} AS side_to_mid_db,
+ round(avg(1 - abs(corr)), 6) AS decorrelation_mean, round(avg(negative), 6) AS negative_cross_mean, round(max(negative), 6) AS negative_cross_max, round(avg(low_corr), 6) AS low_band_correlation, round(min(low_corr), 6) AS low_band_correlation_min,
+ {_LEVEL.format("pow(10, low_stm_db / 10)")} AS low_band_side_to_mid_db, round(max(low_stm_db), 4) AS low_band_side_to_mid_max_db FROM w WHERE sp AND (mask & 8) <> 0 GROUP BY 1)"""
+
+
+@query("t22_mid_side", f"{W}, {_MID_SIDE} SELECT * FROM ms")
+def t22_mid_side(spark, sf_dir):
+    return recent.mid_side_profile(window(spark, sf_dir))
+
+
+@query("t23_mid_side_compare", f"{W}, {_MID_SIDE} SELECT p.runtime_id AS a, q.runtime_id AS b, " + ", ".join(f"round(q.{m} - p.{m}, 4) AS {m}_delta" for m in recent.MID_SIDE) + " FROM ms p JOIN ms q ON p.runtime_id < q.runtime_id")
+def t23_mid_side(spark, sf_dir):
+    return recent.mid_side_compare(recent.mid_side_profile(window(spark, sf_dir)))
+
+
+@query("t24_harmonic", f"{W} SELECT runtime_id, round(avg(harmonic), 6) AS harmonic_mean, round(max(harmonic), 6) AS harmonic_max, round(median(CASE WHEN f0 > 0 THEN f0 END), 4) AS f0_median_hz, round(min(CASE WHEN f0 > 0 THEN f0 END), 4) AS f0_min_hz, round(max(f0), 4) AS f0_max_hz FROM w WHERE sp AND (mask & 32) <> 0 GROUP BY 1")
+def t24_harmonic(spark, sf_dir):
+    return recent.harmonic_profile(window(spark, sf_dir))
+
+
 _STEREO = "SELECT runtime_id, count(*) AS frames, round(avg(corr), 4) AS correlation_mean, round(min(corr), 4) AS correlation_min, round(max(corr), 4) AS correlation_max, round(avg(width), 4) AS width_mean, round(avg(CASE WHEN corr < 0 THEN 1.0 ELSE 0.0 END), 4) AS negative_ratio FROM w WHERE sp AND (mask & 8) <> 0 GROUP BY 1"
 
 

@@ -133,6 +133,18 @@ def from_events(events: DataFrame, sectioned: bool = False) -> DataFrame:
         when_active(k / 413.0).alias("spectral_flux_mean"),
         when_active(k / 207.0).alias("spectral_flux_peak"),
         when_active(k / 16.3).alias("rms_rise_peak_db"),
+        when_active(900.0 + 110.0 * k / 7.1).alias("rolloff_hz"),
+        when_active(k / 131.0).alias("flatness"),
+        ((1 + k % 5) / 50.0).alias("temporal_window_seconds"),
+        (F.col("rms_db") - k / 7.7).alias("low_band_energy_db"),
+        (F.col("rms_db") - 0.7).alias("mid_rms_db"),
+        (F.col("rms_db") - k / 5.3).alias("side_rms_db"),
+        (-k / 6.1).alias("side_to_mid_db"),
+        (k / 111.0).alias("negative_cross_energy_ratio"),
+        (1 - k / 61.3).alias("low_band_20_120_correlation"),
+        (-k / 4.9).alias("low_band_20_120_side_to_mid_db"),
+        (k / 121.0).alias("single_f0_harmonic_energy_ratio"),
+        F.when(k % 9 == 0, 0.0).otherwise(55.0 + k * 3.3).alias("harmonic_f0_candidate_hz"),
         F.when(k % 8 == 0, 1).when(k % 8 == 1, 15).when(k % 8 == 2, 31).otherwise(63).alias("analysis_feature_mask"),
         (F.col("event_id") % 7 == 0).cast("long").alias("dropped_blocks"),
         (k * 22.0 / 7.0).alias("estimated_analysis_lag_ms"),
