@@ -112,3 +112,18 @@ def handshake(identified: DataFrame, requested: DataFrame, fresh: float = 10.0)
     latest = met.groupBy("slot", "at").agg(F.max(F.struct("heard_at", "runtime_id")).alias("e")).select("slot", "at", "e.*")
     once = latest.withColumn("turn", F.row_number().over(Window.partitionBy("runtime_id", "heard_at").orderBy("at", "slot"))).where("turn = 1")
     return once.groupBy("slot").agg(F.max_by("runtime_id", "at").alias("runtime_id"), F.max("at").alias("bound_at"))
+
+
+def bind_last_identified(requests: DataFrame, identified: DataFrame, max_age: float = 5.0) -> DataFrame:
+    """The track that identified itself last before each request, if at most ``max_age`` seconds ago.
+
+    requests (request, at), identified (runtime_id, at); of tracks that identified at one time the greatest name
+    counts. Both are cut into stretches of ``max_age`` seconds: what a request may see lies in its own stretch or
+    the one before, so each stretch is one sort and no time is compared with all others.
+    """
+    stretch = F.floor(F.col("at") / max_age)
+    seen = identified.select(F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "at", F.struct("at", "runtime_id").alias("found"), F.lit(None).cast(requests.schema["request"].dataType).alias("request"), F.lit(False).alias("asks"))
+    asked = requests.select(stretch.alias("stretch"), "at", F.lit(None).cast(seen.schema["found"].dataType).alias("found"), "request", F.lit(True).alias("asks"))
+    w = Window.partitionBy("stretch").orderBy("at", "asks", "found.runtime_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = seen.unionByName(asked).withColumn("last", F.last("found", ignorenulls=True).over(w)).where("asks")
+    return last.select("request", F.when(F.col("at") - F.col("last.at") <= max_age, F.col("last.runtime_id")).alias("runtime_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import expr as X
 from ..operators import compare, dynamics, pairs, recent, state, timeline
+from ..sources import documents
 from ..sources import frames as source
 from . import oracle as sql
 
@@ -377,6 +378,28 @@ def c13_mono(spark, sf_dir):
     return compare.compare_mono_groups(g.where("runtime_id = 'rt-click'"), g.where("runtime_id = 'rt-view'"))
 
 
+@query(
+    "t04_bind_last_identified",
+    f"""WITH {sql.frames()}, ids AS (SELECT received_at AS at, max(runtime_id) AS found FROM f WHERE arrival_seq % 11 = 0 GROUP BY 1), rq AS (SELECT arrival_seq AS request, received_at AS at FROM f WHERE arrival_seq % 7 = 0)
+    SELECT request, CASE WHEN rq.at - ids.at <= CAST(0.1 AS DOUBLE) THEN found END AS runtime_id FROM rq ASOF LEFT JOIN ids ON rq.at >= ids.at""",
+)
+def t04(spark, sf_dir):
+    """Every eleventh event identifies its track and every seventh asks; the age is short, so that some find none."""
+    f = frames(spark, sf_dir)
+    asks = f.where("arrival_seq % 7 = 0").select(F.col("arrival_seq").alias("request"), F.col("received_at").alias("at"))
+    return state.bind_last_identified(asks, f.where("arrival_seq % 11 = 0").select("runtime_id", F.col("received_at").alias("at")), 0.1)
+
+
+@query(
+    "r15_documents",
+    f"""{P}, g AS (SELECT runtime_id, transport_epoch, CAST(floor(CAST(bin AS DOUBLE) / 5) AS INTEGER) AS group_index, CAST(sum(n) AS BIGINT) AS frame_count FROM acc GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY runtime_id, transport_epoch) > 24 AS truncated FROM g QUALIFY row_number() OVER (PARTITION BY runtime_id, transport_epoch ORDER BY group_index) <= 24)
+    SELECT runtime_id, transport_epoch, CAST(to_json(struct_pack(runtime_id := runtime_id, transport_epoch := transport_epoch, bins := list(struct_pack(group_index := group_index, frame_count := frame_count, truncated := truncated) ORDER BY group_index))) AS VARCHAR) AS document FROM c GROUP BY runtime_id, transport_epoch""",
+)
+def r15(spark, sf_dir):
+    rows = timeline.first_groups(timeline.song_timeline(partials(spark, sf_dir)), 24)
+    return documents.documents(rows.select(*timeline.KEY, "group_index", "frame_count", "truncated"), timeline.KEY, "group_index", "bins")
+
+
 # --- alignment ---
 
 

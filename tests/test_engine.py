@@ -336,3 +336,19 @@ def test_similar_sections_from_either_side(spark):
     df = spark.createDataFrame([("a", 1, 1, 2, 0.9), ("a", 1, 1, 3, 0.5), ("a", 1, 2, 3, None)], "runtime_id string, transport_epoch int, ord_a int, ord_b int, score double")
     got = {(r.ord, r.rank): r.other for r in relations.similar_sections(df, ["runtime_id", "transport_epoch"]).collect()}
     assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (3, 1): 1}
+
+
+def test_last_identified_binding_looks_back_no_further_than_its_age(spark):
+    seen = spark.createDataFrame([("rt-a", 1.0), ("rt-b", 1.0), ("rt-c", 4.9), ("rt-d", 20.0)], "runtime_id string, at double")
+    asks = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 5.2), (4, 9.9), (5, 9.91), (6, 20.0)], "request long, at double")
+    got = {r["request"]: r["runtime_id"] for r in state.bind_last_identified(asks, seen, 5.0).collect()}
+    assert got == {1: None, 2: "rt-b", 3: "rt-c", 4: "rt-c", 5: None, 6: "rt-d"}
+    assert state.bind_last_identified(asks.limit(0), seen).count() == 0
+    assert state.bind_last_identified(asks, seen.limit(0)).where("runtime_id is not null").count() == 0
+
+
+def test_section_range_names_what_is_missing(spark):
+    maps = spark.createDataFrame([("old", 1, "S01", 0, 24, "A"), ("new", 2, "S01", 0, 30, "B")], "map_id string, made int, section string, start int, end int, family string")
+    asks = spark.createDataFrame([(1, None, " s01 "), (2, "old", "S01"), (3, "old", "S09"), (4, "none", "S01")], "request int, map_id string, section string")
+    got = {r["request"]: (r["end"], r["family"], r["reason"]) for r in structure.section_range(asks, maps).collect()}
+    assert got == {1: (30, "B", None), 2: (24, "A", None), 3: (None, None, "no_section"), 4: (None, None, "no_map")}
