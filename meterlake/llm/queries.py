@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, quality_classifier, shards, url_filter
+from . import byte_bpe, decontaminate, embedding_dedup, fill_middle, hard_negatives, language_id, license_scan, line_dedup, minhash_dedup, quality_classifier, sentencepiece_bpe, shards, url_filter
 from .spark_tools import shared_dir
 
 #: Place of the vocabulary files; the same on all machines of a cluster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,7 +99,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars_kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op4_url_filter, op5_decontaminate, op6_sharding, op7_language_id, op8_license_scan, op9_byte_bpe, op10_line_dedup)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashes = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = sentencepiece_bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in steps of 1/256; the label of every seventh is made a wrong one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(F.abs(256 * x.cast("double")) < float("inf"), F.floor(256 * x.cast("double")).cast("double")))
+    quantised = _read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.mine(quantised, F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_quality_classifier, op4_url_filter, op5_decontaminate, op6_sharding, op7_language_id, op8_license_scan, op9_byte_bpe, op10_line_dedup, op11_fill_middle, op12_sentencepiece, op13_hard_negatives)}
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)"
@@ -122,4 +143,20 @@ shared_items AS (SELECT x.id AS a, y.id AS b, count(*) AS same FROM items x JOIN
 links AS (SELECT a, b FROM shared_items JOIN sized p ON p.id = a JOIN sized q ON q.id = b WHERE 100 * same >= 85 * (p.n + q.n - same)),
 {_REACH}, least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT id AS doc_id, n::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM least JOIN sized USING (id)""",
+    "op11_fill_middle": """
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, len(t) AS n, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT for i in range(4)] AS r FROM cut),
+ranked AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM ranked)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""",
+    "op13_hard_negatives": """
+WITH rows AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0),
+scored AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM rows a JOIN rows b ON a.id % 50 = 0 AND a.id <> b.id),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+met AS (SELECT p.anchor, p.id AS positive_id, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, positive_id, rank::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score FROM met WHERE rank <= 3""",
 }

@@ -116,6 +116,10 @@ def spans(run: Run, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
+def in_word(data: np.ndarray) -> np.ndarray:
+    return ~_SPACE[data]
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit polynomial hashes of byte ranges, mixed."""
     up, down = _power_table(len(data) + 1)
