@@ -3,18 +3,20 @@
 Documents are sets of word shingles. A signature of ``bands * rows`` universal-hash minima is cut
 into bands; documents that agree on a band share a bucket. Links are confirmed on the full sets,
 so a reported link is exact; a pair at the threshold shares no bucket with probability
-(1 - 0.85^5)^25 < 5e-7 for the default, and (1 - 0.8^4)^32 < 5e-8 for 80 per cent with 32 bands of 4.
+(1 - 0.85^5)^25 < 5e-7 for the default, and (1 - 0.8^4)^32 < 5e-8 for 80 per cent with 32 bands of 4. No other
+step drops a link: a signature only decides which members of a bucket of three or more are verified first.
 
 How the work stays linear in a group's size:
 
-* documents with equal sets collapse to their smallest id before anything is paired;
-* a bucket first links its members to its smallest id only (a star, signature-checked, then verified);
+* documents with equal sets collapse to one class before anything is paired;
+* a bucket first links its classes to its first one only (a star, signature-checked, then verified);
 * a bucket whose members then lie in several components is open; only open buckets are compared
   further, in blocks of ``BLOCK_DOCS`` members, by an exact incidence product per pair of blocks that
   returns a spanning forest of the links found, never the pairs.
 
 Defined results: null, empty or blank texts have no shingles (n_shingles 0) and link with nothing;
-repeated rows of one id count once; an empty table gives an empty result; other columns are ignored.
+rows that share an id are one document that holds each of their sets (n_shingles is the largest), so what is near any
+of them is one component with it; repeated rows of one id count once; an empty table gives an empty result; other columns are ignored.
 A null id can name no component, so such rows are left out.
 """
 
@@ -33,7 +35,8 @@ from .text_arrays import distinct, mix, runs, shingles, words
 
 BLOCK_DOCS = 512
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, bands array<long>, bytes binary"
-SETS = "id long, items binary"
+SETS = "n_shingles long, h1 long, h2 long, items binary"
+SET = ["n_shingles", "h1", "h2"]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -43,6 +46,16 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
         yield run.first, *distinct(text, value, len(run))
 
 
+def set_hashes(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set, as two columns of longs."""
+    h1, h2 = np.zeros((2, len(bounds) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        h1[some] = np.add.reduceat(items, bounds[some])
+        h2[some] = np.add.reduceat(mix(items, 3), bounds[some])
+    return h1.view(np.int64), h2.view(np.int64)
+
+
 def signature_batches(width: int, bands_n: int, rows_n: int):
     hashes = bands_n * rows_n
     slope = mix(np.arange(hashes, dtype=np.uint64), 101) | np.uint64(1)
@@ -58,10 +71,7 @@ def signature_batches(width: int, bands_n: int, rows_n: int):
                     starts = bounds[some]
                     for j in range(hashes):
                         minima[some, j] = np.minimum.reduceat(items * slope[j] + offset[j], starts)
-                h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if len(some):
-                    h1[some] = np.add.reduceat(items, starts)
-                    h2[some] = np.add.reduceat(mix(items, 3), starts)
+                h1, h2 = set_hashes(items, bounds)
                 rows = minima.reshape(len(n), bands_n, rows_n) * (mix(np.arange(rows_n, dtype=np.uint64), 5) | np.uint64(1))
                 bands = mix(rows.sum(axis=2, dtype=np.uint64), 9).view(np.int64)
                 offsets = np.arange(len(n) + 1, dtype=np.int32) * bands_n
@@ -70,8 +80,8 @@ def signature_batches(width: int, bands_n: int, rows_n: int):
                     [
                         batch["id"].slice(first, len(n)),
                         pa.array(n, pa.int64()),
-                        pa.array(h1.view(np.int64)),
-                        pa.array(h2.view(np.int64)),
+                        pa.array(h1),
+                        pa.array(h2),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                         pa.array([x.tobytes() for x in byte], pa.binary()),
                     ],
@@ -84,9 +94,10 @@ def signature_batches(width: int, bands_n: int, rows_n: int):
 def set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, items, bounds in shingle_sets(batch["text"], width):
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(first, n), pa.array([items[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "items"])
+            for _, items, bounds in shingle_sets(batch["text"], width):
+                h1, h2 = set_hashes(items, bounds)
+                data = pa.array([items[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds), pa.int64()), pa.array(h1), pa.array(h2), data], names=[*SET, "items"])
 
     return run
 
@@ -169,15 +180,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = scratch.table(rows.mapInArrow(signature_batches(width, bands, rows_per_band), SIGNATURE))
+    # A class is one set; its number, not an id, stands for it below, because rows of one id may differ.
     classes = scratch.table(
-        signed.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "bytes"), "id").alias("s"))
+        signed.where("n_shingles > 0").groupBy(*SET).agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "bytes"), "id").alias("s")).withColumn("node", F.monotonically_increasing_id())
     )
-    sizes = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "s.bytes")
-    member = classes.select(F.col("rep").alias("id"), F.posexplode("s.bands").alias("band", "hash"))
+    sizes = classes.select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), "s.bytes")
+    member = classes.select(F.col("node").alias("id"), F.posexplode("s.bands").alias("band", "hash"))
     shared = member.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
     buckets = scratch.table(member.join(shared, ["band", "hash"]))
 
-    # Signature filter: 5 standard deviations below the threshold, and the bound that sizes give.
+    # Bound of the overlap that sizes give, and signatures 5 standard deviations below the threshold; the latter only where a bucket has
+    # more members than two, because those are compared again if a link is missing.
     t = percent / 100
     hashes = bands * rows_per_band
     least = int(hashes * (t - 5 * (t * (1 - t) / hashes) ** 0.5))
@@ -187,23 +200,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, hashes) for v in (x, y))
         return pd.Series((x == y).sum(axis=1), dtype="int32")
 
-    stars = buckets.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = buckets.where("id > pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.bool_or(F.col("size") == 2).alias("alone"))
     stars = (
         stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bytes").alias("sa")), "a")
         .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bytes").alias("sb")), "b")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .where(agree("sa", "sb") >= least)
+        .where(F.col("alone") | (agree("sa", "sb") >= least))
         .select("a", "b")
     )
     stars = scratch.table(stars)
-    in_buckets = scratch.table(buckets.select("id").distinct())
-    sets = scratch.table(restrict(rows, in_buckets, ["id"]).mapInArrow(set_batches(width), SETS).dropDuplicates(["id"]))
+    in_buckets = scratch.table(classes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(*SET, "rep", "node"))
+    texts = restrict(rows, scratch.table(in_buckets.select(F.col("rep").alias("id")).distinct()), ["id"])
+    sets = texts.mapInArrow(set_batches(width), SETS).dropDuplicates(SET)
+    sets = scratch.table(sets.join(in_buckets, SET).select(F.col("node").alias("id"), "items"))
     checked = (
         stars.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
         .mapInArrow(verify_batches(percent), "a long, b long")
     )
-    links = scratch.table(checked)
+    # Classes that hold rows of one id are linked through it.
+    twice = signed.where("n_shingles > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    through = signed.join(scratch.table(twice), "id", "left_semi").join(classes.select(*SET, "node"), SET)
+    first_of = through.groupBy("id").agg(F.min("node").alias("b"))
+    links = scratch.table(checked.union(through.join(first_of, "id").where("node > b").select(F.col("node").alias("a"), "b").distinct()))
     first = scratch.table(components(links, scratch))
 
     # Buckets that still hold several components: all pairs of blocks, only across components.
@@ -224,16 +243,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         first = scratch.table(components(first.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), scratch))
 
-    scratch.drop(buckets, stars, in_buckets, sets, links)
-
-    reps = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
-    return (
-        signed.select("id", "n_shingles", "h1", "h2")
-        .join(reps, ["n_shingles", "h1", "h2"], "left")
-        .select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-        .groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-        .select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    )
+    # From numbers of classes to the smallest id of each component.
+    named = classes.select(*SET, "rep", "node").join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component_id", "node"))
+    named = scratch.table(named.select(*SET, "rep", "root", F.col("component_id").isNotNull().alias("linked")))
+    least_id = named.where("linked").groupBy("root").agg(F.min("rep").alias("least"))
+    reps = named.join(least_id, "root", "left").select(*SET, F.coalesce("least", "rep").alias("component_id"))
+    out = signed.select("id", *SET).join(reps, SET, "left").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = scratch.table(out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id")))
+    scratch.drop_all(out)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -105,6 +105,21 @@ def test_minhash_chain_and_large_group(spark):
     assert got == closure(range(40), links)
 
 
+def test_minhash_of_shared_ids(spark):
+    """Rows of one id are one document with several sets: what is near any of them is one component."""
+    base = [sentence(40) for _ in range(4)]
+    near = [t + " one" for t in base]
+    rows = [(1, base[0]), (2, base[1]), (2, base[0]), (3, base[1]), (7, base[2]), (8, near[2]), (8, base[3]), (9, near[3]), (9, near[3]), (5, near[1]), (11, ""), (11, base[2]), (12, None), (12, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 2, 3, "z") for i, t in rows], DOCS)
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    links = [(i, j) for i, x in sets for j, y in sets if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    want = closure({i for i, _ in rows}, links)
+    got = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want and want[3] == want[5] == 1 and want[9] == want[11] == 7
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: max(len(x) for j, x in sets if j == i) for i in got}
+    assert {i for i, r in got.items() if r["kept"]} == {1, 7, 12}
+
+
 def test_overlaps_are_exact():
     sets = [np.unique(np.array([RNG.randrange(200) for _ in range(50)], np.uint64)) for _ in range(20)]
     got = minhash_dedup.overlaps(sets)
