@@ -43,6 +43,8 @@ from .text_arrays import Run, mix, release, runs, sort_within, spans, words
 SLOTS = 1 << 24
 HEAVY = 1_000_000
 LIGHT, DEPTH = 512, 3
+#: Words from which lines have keys of two words at most, and of one: no line has more keys than 18 times its prefix's words.
+SIZES = (40, 160)
 OVER, BLOCK_LINES = 16_384, 4096
 #: Candidates sent on at most, by whether the nearest is within a quarter of the bound, half of it, or not (bounds below 4 tell nothing).
 SENT = (3, 16, 256)
@@ -157,8 +159,17 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix_keys(key: np.ndarray, line: np.ndarray, position: np.ndarray, prefix: np.ndarray, lines: int, deepest: int):
-    """(key, line, position) of each prefix entry's keys.
+def depths(n: np.ndarray, percent: int, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most words of a key, by a line's size, and by that of the largest line it can match.
+
+    Lines that match use the depth of the larger one. So a line whose two depths differ has keys of both.
+    """
+    most = lambda size: np.minimum(deepest, 1 + (size < SIZES[0]) + (size < SIZES[1]))
+    return most(n), most(100 * n // percent)
+
+
+def prefix_keys(key: np.ndarray, line: np.ndarray, position: np.ndarray, prefix: np.ndarray, lines: int, own: np.ndarray, larger: np.ndarray):
+    """(key, line, position) of each prefix entry's keys; ``own`` and ``larger`` are the lines' ``depths``.
 
     The position is such that n less it bounds the overlap of lines whose first common words are the key's.
     """
@@ -166,10 +177,13 @@ def prefix_keys(key: np.ndarray, line: np.ndarray, position: np.ndarray, prefix:
     shared = count > 1
     at = np.flatnonzero(shared & (position < prefix[line]))
     unit, held = mix(key[at], 34), count[at]
-    for depth in range(1, deepest + 1):
-        done = (held <= LIGHT) | (depth == deepest)
+    for depth in range(1, DEPTH + 1):
+        # A frequent key that is cut short by a line's size is another than the one that goes on from it.
+        done, cut = held <= LIGHT, (held > LIGHT) & ((depth == own[line[at]]) | (depth == larger[line[at]]))
         yield unit[done], line[at[done]], position[at[done]] - (depth - 1)
-        at, unit, held = at[~done], unit[~done], held[~done]
+        yield mix(unit[cut], 36), line[at[cut]], position[at[cut]] - (depth - 1)
+        on = ~done & (depth < own[line[at]])
+        at, unit, held = at[on], unit[on], held[on]
         if not len(at):
             return
         # Words after each in the line, in the prefix that is longer by the depth.
@@ -222,8 +236,9 @@ def scan_postings(min_words: int, percent: int, lines: int, table, heavy, probes
                 b3, b4 = (np.where(n < LONG, np.uint64(0), x).view(np.int64) for x in sketch(place - np.uint64(96), bounds))
                 b1 = b1.view(np.int64)
                 prefix = np.where(skip, -DEPTH, prefix_length(n, percent))
+                own, larger = depths(n, percent, deepest)
                 position = np.arange(len(key)) - bounds[:-1][line]
-                unit, line, position = (np.concatenate(x) for x in zip(*prefix_keys(key, line, position, prefix, lines, deepest), strict=True))
+                unit, line, position = (np.concatenate(x) for x in zip(*prefix_keys(key, line, position, prefix, lines, own, larger), strict=True))
                 probe = []
                 if probes is not None:
                     marked = has_bit(probes.value, line_key(d, t, number))[line]

@@ -148,11 +148,11 @@ def line_texts():
     return texts
 
 
-@pytest.mark.parametrize("sent, light, over, heavy", [((2, 16, 1024), 512, 16_384, 1_000_000), ((1, 1, 1), 4, 6, 4), ((1, 1, 2), 0, 3, 0)])
-def test_line_dedup_brute_force(spark, monkeypatch, sent, light, over, heavy):
-    """Also with few candidates sent on, keys of several words, keys over the bound, and equal sets in the join."""
+@pytest.mark.parametrize("sent, light, over, heavy, sizes", [((2, 16, 1024), 512, 16_384, 1_000_000, (40, 160)), ((1, 1, 1), 4, 6, 4, (10, 18)), ((1, 1, 2), 0, 3, 0, (7, 12))])
+def test_line_dedup_brute_force(spark, monkeypatch, sent, light, over, heavy, sizes):
+    """Also with few candidates sent on, keys of several words, keys over the bound, equal sets in the join, and matches across sizes."""
     texts = line_texts()
-    for name, value in (("SENT", sent), ("LIGHT", light), ("OVER", over), ("HEAVY", heavy), ("BLOCK_LINES", over)):
+    for name, value in (("SENT", sent), ("LIGHT", light), ("OVER", over), ("HEAVY", heavy), ("BLOCK_LINES", over), ("SIZES", sizes)):
         monkeypatch.setattr(line_dedup, name, value)
     for least in (1, 5):
         want = lines_to_remove(texts, least=least)
@@ -174,6 +174,36 @@ def test_line_dedup_of_one_hot_word(spark, monkeypatch):
         assert r.text == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, n) not in want)
 
 
+@pytest.mark.parametrize("n", [5, 31, 32, 39, 40, 127, 128, 159, 160, 880, 9727])
+def test_line_keys_are_bounded(n):
+    """However frequent its words, a line has few keys for each word of its prefix."""
+    key = line_dedup.rarity(np.full(1, 750))[0].astype(np.uint64) << np.uint64(56) | np.arange(n, dtype=np.uint64)
+    size = np.array([n])
+    prefix = line_dedup.prefix_length(size, 80)
+    keys = line_dedup.prefix_keys(key, np.zeros(n, np.int64), np.arange(n), prefix, 1000, *line_dedup.depths(size, 80, 3))
+    assert prefix[0] <= sum(len(k[0]) for k in keys) <= 18 * prefix[0] + 40
+
+
+def test_line_dedup_of_frequent_words_in_long_lines(spark, monkeypatch):
+    """Lines of thousands of words that most lines hold, near copies of some, and lines of sizes about those where keys change."""
+    monkeypatch.setattr(line_dedup, "LIGHT", 8)
+    common = [f"w{i}" for i in range(5000)]
+    lines = [RNG.sample(common, 3750) for _ in range(24)]
+    for i in (3, 9, 15):
+        lines.append([*lines[i][: 3750 - 40 * i], *RNG.sample(common, 40)])
+        lines.append(lines[i] * 5)
+    few = common[:200]
+    for n in (30, 34, 38, 39, 40, 41, 46, 120, 130, 150, 158, 160, 161, 170):
+        lines.append(RNG.sample(few, n))
+        lines += [RNG.sample(lines[-1], n * 9 // 10), [*lines[-1], *RNG.sample(common[200:], n // 12)], RNG.sample(lines[-1], n * 7 // 10)]
+    RNG.shuffle(lines)
+    texts = [" ".join(x) for x in lines]
+    want = lines_to_remove(texts, least=1)
+    assert len(want) > 20
+    for r in line_dedup.dedup_lines(documents(spark, texts)).collect():
+        assert r.n_removed == ((r.doc_id, 0) in want)
+
+
 def test_line_dedup_of_shared_ids(spark):
     """Rows of one id are documents of their own, the smaller text hash first; equal rows are treated alike."""
     texts = ["one two three four five six seven", "completely other words in this row here\nand more of them", "one two three four five six seven\nown line of it", "and more of them"]
