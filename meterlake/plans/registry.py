@@ -69,8 +69,8 @@ _ORDER = "PARTITION BY runtime_id, transport_epoch ORDER BY arrival_seq"
 
 @query("w13_running_max", f"WITH {sql.frames()} SELECT arrival_seq, round(max(true_peak_dbtp) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING), 4) AS max_true_peak_dbtp FROM f")
 def w13(spark, sf_dir):
-    w = Window.partitionBy("runtime_id", "transport_epoch").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return frames(spark, sf_dir).select("arrival_seq", F.round(F.max("true_peak_dbtp").over(w), 4).alias("max_true_peak_dbtp"))
+    out = live.running_max(frames(spark, sf_dir).select("runtime_id", "transport_epoch", "arrival_seq", "true_peak_dbtp"), "true_peak_dbtp", ["runtime_id", "transport_epoch"])
+    return out.select("arrival_seq", F.round("true_peak_dbtp", 4).alias("max_true_peak_dbtp"))
 
 
 @query("w12_rms_rise", f"WITH {sql.frames()} SELECT arrival_seq, round(greatest(0, rms_db - lag(rms_db) OVER ({_ORDER})), 4) AS rise_db FROM f QUALIFY lag(rms_db) OVER ({_ORDER}) IS NOT NULL")
@@ -87,21 +87,51 @@ def z12(spark, sf_dir):
 
 @query("z14_carry_forward", f"WITH {sql.frames()} SELECT arrival_seq, round(last_value(flux IGNORE NULLS) OVER (PARTITION BY runtime_id ORDER BY received_at, arrival_seq ROWS UNBOUNDED PRECEDING), 6) AS spectral_flux_mean FROM f")
 def z14(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("at", F.struct("received_at", "arrival_seq"))
-    return live.carry_forward(f, "spectral_flux_mean", "at").select("arrival_seq", F.round("spectral_flux_mean", 6).alias("spectral_flux_mean"))
+    f = frames(spark, sf_dir).select("runtime_id", "received_at", "arrival_seq", "spectral_flux_mean")
+    return live.carry_forward(f, "spectral_flux_mean").select("arrival_seq", F.round("spectral_flux_mean", 6).alias("spectral_flux_mean"))
 
 
-@query("r12_throttle")
+_LISTS = "ls AS MATERIALIZED (SELECT runtime_id, list(arrival_seq ORDER BY received_at, arrival_seq) AS ss, list(received_at ORDER BY received_at, arrival_seq) AS ts, list(rms_db ORDER BY received_at, arrival_seq) AS vs FROM f GROUP BY 1)"
+
+
+@query(
+    "r12_throttle",
+    f"""WITH RECURSIVE {sql.frames()}, {_LISTS},
+    walk AS (SELECT runtime_id, CAST(0 AS BIGINT) AS i, CAST(-1e300 AS DOUBLE) AS last, false AS kept FROM ls
+      UNION ALL SELECT w.runtime_id, i + 1, CASE WHEN ts[i + 1] >= last + CAST(0.1 - 1e-9 AS DOUBLE) THEN ts[i + 1] ELSE last END, ts[i + 1] >= last + CAST(0.1 - 1e-9 AS DOUBLE) FROM walk w JOIN ls ON ls.runtime_id = w.runtime_id WHERE i < len(ts))
+    SELECT walk.runtime_id, ts[i] AS received_at, ss[i] AS arrival_seq FROM walk JOIN ls ON ls.runtime_id = walk.runtime_id WHERE kept""",
+)
 def r12(spark, sf_dir):
     return live.throttle(frames(spark, sf_dir).select("runtime_id", "received_at", "arrival_seq"))
 
 
-@query("z05_gate")
+@query(
+    "z05_gate",
+    f"""WITH RECURSIVE {sql.frames()}, {_LISTS},
+    walk AS (SELECT runtime_id, CAST(0 AS BIGINT) AS i, false AS o, CAST(0 AS BIGINT) AS s FROM ls
+      UNION ALL SELECT runtime_id, i + 1, CASE WHEN o THEN v >= -12 OR s + 50000000 < 400000000 ELSE v > -10 END, CASE WHEN v > -10 OR (o AND v >= -12) THEN 0 ELSE s + 50000000 END
+      FROM (SELECT w.runtime_id, i, o, s, vs[i + 1] AS v FROM walk w JOIN ls ON ls.runtime_id = w.runtime_id WHERE i < len(vs)))
+    SELECT walk.runtime_id, ss[i] AS arrival_seq, o AS open, round(CAST(s AS DOUBLE) / 1e9, 6) AS silence FROM walk JOIN ls ON ls.runtime_id = walk.runtime_id WHERE i > 0""",
+)
 def z05(spark, sf_dir):
-    """The gate over the frames' levels, each standing for the time since the one before."""
-    w = Window.partitionBy("runtime_id").orderBy("received_at", "arrival_seq")
-    hops = frames(spark, sf_dir).select("runtime_id", F.row_number().over(w).cast("long").alias("seq"), F.col("rms_db").alias("level_db"), F.coalesce(F.col("received_at") - F.lag("received_at").over(w), F.lit(0.1)).alias("seconds"))
-    return live.gate(hops)
+    """The gate over the frames' levels, each a hop of 50 ms, with thresholds that these levels cross."""
+    at = F.struct("received_at", "arrival_seq")
+    hops = frames(spark, sf_dir).select("runtime_id", "arrival_seq", at.alias("seq"), F.col("rms_db").alias("level_db"), F.lit(0.05).alias("seconds"))
+    return live.gate(hops, -10.0, -12.0).select("runtime_id", "arrival_seq", "open", F.round("silence", 6).alias("silence"))
+
+
+@query(
+    "w10_passes",
+    f"""WITH {sql.frames()}, b AS (SELECT *, lag(t) OVER w AS t0, lag(sp) OVER w AS sp0 FROM f WINDOW w AS (PARTITION BY runtime_id ORDER BY received_at, arrival_seq)),
+    s AS (SELECT *, sp AND (NOT coalesce(sp0, false) OR CASE WHEN arrival_seq % 3 = 0 OR lag(arrival_seq) OVER w % 3 = 0 THEN abs(t - (t0 + CAST(2400 AS DOUBLE) / 48000)) > greatest(CAST(0.05 AS DOUBLE), CAST(9600 AS DOUBLE) / 48000)
+      ELSE abs(floor(t * 48000) - (floor(t0 * 48000) + 2400)) > 9600 END) AS begins FROM b WINDOW w AS (PARTITION BY runtime_id ORDER BY received_at, arrival_seq))
+    SELECT runtime_id, arrival_seq, CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY runtime_id ORDER BY received_at, arrival_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM s""",
+)
+def w10(spark, sf_dir):
+    """Passes over the frames as blocks of 50 ms; every third has no sample position."""
+    t = F.col("transport_time_seconds")
+    audio = frames(spark, sf_dir).select("runtime_id", "arrival_seq", F.struct("received_at", "arrival_seq").alias("seq"), F.col("signal_present").alias("playing"), F.when(F.col("arrival_seq") % 3 != 0, F.floor(t * 48000)).cast("long").alias("position"), t.alias("seconds"), F.lit(2400).alias("size"))
+    return live.passes(audio).select("runtime_id", "arrival_seq", "epoch")
 
 
 @query("x19_similarity", f"{W}, a AS (SELECT runtime_id, avg(rms_db) AS x FROM w GROUP BY 1) SELECT p.runtime_id AS a, q.runtime_id AS b, round(exp(-abs(p.x - q.x) / 6), 4) AS similarity FROM a p JOIN a q ON p.runtime_id < q.runtime_id")

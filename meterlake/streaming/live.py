@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import timeline
+from ..operators import folds, timeline
 from ..sources import frames as source
 
 
@@ -37,84 +37,49 @@ def latest_stream(frames: DataFrame) -> DataFrame:
     return frames.groupBy("runtime_id").agg(F.max_by(F.struct(*rest), "arrival_seq").alias("r")).select("runtime_id", "r.*")
 
 
-def passes(blocks: DataFrame, rate: float = 48000.0) -> DataFrame:
-    """Continuous passes (W10, Z04): a pass starts when play starts or the position jumps by more than
-    max(2048, 4 blocks) samples. Blocks: (runtime_id, seq, playing, position, size) in samples."""
-    w = Window.partitionBy("runtime_id").orderBy("seq")
-    expected = F.lag("position").over(w) + F.lag("size").over(w)
-    jump = F.abs(F.col("position") - expected) > F.greatest(F.lit(2048), 4 * F.col("size"))
-    new = F.col("playing") & (~F.coalesce(F.lag("playing").over(w), F.lit(False)) | F.coalesce(jump, F.lit(True)))
-    return blocks.withColumn("epoch", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def passes(blocks: DataFrame, rate: float = 48000.0, block_rows: int = folds.BLOCK_ROWS) -> DataFrame:
+    """Continuous passes (W10, Z04) as the column epoch, of blocks of audio (runtime_id, seq, playing, position, seconds, size)."""
+    return folds.fold(blocks, ["seq"], folds.passes(rate), block_rows=block_rows)
 
 
 OPEN_DB, CLOSE_DB, HOLD = -48.0, -50.0, 0.4
 GATE = "runtime_id string, seq long, open boolean, silence double"
 
 
-def gate_step(level: float, seconds: float, is_open: bool, below: float, silence: float) -> tuple[bool, float, float]:
-    """One hop of the signal gate (Z05): opens above -48 dB, closes after 0.4 s below -50 dB."""
-    if level > OPEN_DB:
-        is_open, below = True, 0.0
-    elif level < CLOSE_DB:
-        below += seconds
-        if below >= HOLD - 1e-9:
-            is_open = False
-    else:
-        below = 0.0
-    return is_open, below, 0.0 if is_open else silence + seconds
+def gate_step(level: float | None, step: int, is_open: bool, silence: int) -> tuple[bool, int]:
+    """One hop of ``step`` nanoseconds through the signal gate (Z05); a missing level is silence."""
+    level = float("-inf") if level is None or level != level else level
+    if level > OPEN_DB or (is_open and level >= CLOSE_DB):
+        return True, 0
+    silence += step
+    return is_open and silence < round(HOLD * folds.NANO), silence
 
 
-def gate(hops: DataFrame) -> DataFrame:
-    """The gate over hops (runtime_id, seq, level_db, seconds), in batches of a sorted partition, with one state per track."""
-    n = int(hops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, s = None, (False, 0.0, 0.0)
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.runtime_id != track:
-                    track, s = r.runtime_id, (False, 0.0, 0.0)
-                s = gate_step(r.level_db, r.seconds, *s)
-                out.append((r.runtime_id, r.seq, s[0], s[2]))
-            yield pd.DataFrame(out, columns=["runtime_id", "seq", "open", "silence"])
-
-    return hops.select("runtime_id", "seq", "level_db", "seconds").repartition(n, "runtime_id").sortWithinPartitions("runtime_id", "seq").mapInPandas(run, GATE)
+def gate(hops: DataFrame, open_db: float = OPEN_DB, close_db: float = CLOSE_DB, hold: float = HOLD, block_rows: int = folds.BLOCK_ROWS) -> DataFrame:
+    """``hops`` (runtime_id, seq, level_db, seconds) with open and silence; one long track is many tasks."""
+    return folds.fold(hops, ["seq"], folds.gate(open_db, close_db, hold), block_rows=block_rows)
 
 
 def gate_stream(hops: DataFrame) -> DataFrame:
     """The same gate over a stream, its state kept per track."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else (False, 0.0, 0.0)
+        s = state.get if state.exists else (False, 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
         for r in rows.itertuples(index=False):
-            s = gate_step(r.level_db, r.seconds, *s)
-            out.append((key[0], r.seq, s[0], s[2]))
+            s = gate_step(r.level_db, round(r.seconds * folds.NANO), *s)
+            out.append((key[0], r.seq, s[0], s[1] / folds.NANO))
         state.update(tuple(s))
         yield pd.DataFrame(out, columns=["runtime_id", "seq", "open", "silence"])
 
-    return hops.groupBy("runtime_id").applyInPandasWithState(update, GATE, "open boolean, below double, silence double", "append", "NoTimeout")
-
+    return hops.groupBy("runtime_id").applyInPandasWithState(update, GATE, "open boolean, silence long", "append", "NoTimeout")
 
-def throttle(frames: DataFrame, seconds: float = 0.1, clock: str = "received_at") -> DataFrame:
-    """The first frame at least ``seconds`` after the one kept before, per track."""
-    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, last = None, float("-inf")
-        for part in parts:
-            keep = []
-            for name, t in zip(part["runtime_id"], part[clock], strict=True):
-                if name != track:
-                    track, last = name, float("-inf")
-                keep.append(t - last >= seconds - 1e-9)
-                if keep[-1]:
-                    last = t
-            yield part[keep]
-
-    return frames.repartition(n, "runtime_id").sortWithinPartitions("runtime_id", clock).mapInPandas(run, frames.schema)
+def throttle(frames: DataFrame, seconds: float = 0.1, clock: str = "received_at", block_rows: int = folds.BLOCK_ROWS) -> DataFrame:
+    """The first frame at least ``seconds`` after the one kept before, per track (R12, Z06); of frames of one time the first to arrive."""
+    order = [clock, *(c for c in ("arrival_seq",) if c in frames.columns)]
+    return folds.fold(frames, order, folds.throttle(seconds, clock), block_rows=block_rows).where("kept").drop("kept")
 
 
 def fence(groups: DataFrame, at: float) -> DataFrame:
@@ -122,7 +87,12 @@ def fence(groups: DataFrame, at: float) -> DataFrame:
     return groups.where(F.col("first_received_at") > at)
 
 
-def carry_forward(frames: DataFrame, column: str, clock: str = "received_at") -> DataFrame:
+def carry_forward(frames: DataFrame, column: str, clock: str = "received_at", block_rows: int = folds.BLOCK_ROWS) -> DataFrame:
     """The last value known at each frame."""
-    w = Window.partitionBy("runtime_id").orderBy(clock).rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    order = [clock, *(c for c in ("arrival_seq",) if c in frames.columns)]
+    return folds.running(frames, ["runtime_id"], order, column, folds.last_known, folds.later, block_rows)
+
+
+def running_max(frames: DataFrame, column: str, by: list[str], order: str = "arrival_seq", block_rows: int = folds.BLOCK_ROWS) -> DataFrame:
+    """The highest value so far at each frame."""
+    return folds.running(frames, by, [order], column, F.max, F.greatest, block_rows)

@@ -179,10 +179,10 @@ def test_gate_stream_equals_batch_and_throttle(spark):
     hops = spark.createDataFrame(rows, "runtime_id string, seq long, level_db double, seconds double")
     batch = {(r.runtime_id, r.seq): r.open for r in live.gate(hops).collect()}
     for t in "ab":
-        s = (False, 0.0, 0.0)
+        s = (False, 0)
         for name, i, level, sec in rows:
             if name == t:
-                s = live.gate_step(level, sec, *s)
+                s = live.gate_step(level, round(sec * 1e9), *s)
                 assert batch[(t, i)] == s[0]
     folder = tempfile.mkdtemp(prefix="spark-")
     for part in range(2):
@@ -198,8 +198,8 @@ def test_gate_stream_equals_batch_and_throttle(spark):
 
 
 def test_passes(spark):
-    rows = [("a", i, p, pos, 512) for i, (p, pos) in enumerate([(False, 0), (True, 0), (True, 512), (True, 1024), (True, 90000), (False, 90512), (True, 90512)])]
-    got = live.passes(spark.createDataFrame(rows, "runtime_id string, seq long, playing boolean, position long, size long")).orderBy("seq").collect()
+    rows = [("a", i, p, pos, pos / 48000, 512) for i, (p, pos) in enumerate([(False, 0), (True, 0), (True, 512), (True, 1024), (True, 90000), (False, 90512), (True, 90512)])]
+    got = live.passes(spark.createDataFrame(rows, "runtime_id string, seq long, playing boolean, position long, seconds double, size long")).orderBy("seq").collect()
     assert [r.epoch for r in got] == [0, 1, 1, 1, 2, 2, 3]
 
 
