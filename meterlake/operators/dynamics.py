@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-
-QUANTILES = [0.10, 0.25, 0.50, 0.75, 0.90]
-
-
-def weighted_percentiles(rows: DataFrame, by: list[str], value: str, weight: str, quantiles: list[float] = QUANTILES) -> DataFrame:
-    """Percentiles by interpolation between weighted mid-points (A18): (by, q, x).
-
-    Each observation has its own mid-point, so equal values are not merged. A group is one pass of a track or
-    the like; its rows are sorted once, and spill if they must.
-    """
-    ok = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*by, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
-    order = Window.partitionBy(*by).orderBy("v", "w")
-    whole = Window.partitionBy(*by)
-    run = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = ok.withColumn("p", (run - F.col("w") / 2) / F.sum("w").over(whole))
-    placed = placed.withColumns({"v2": F.lead("v").over(order), "p2": F.lead("p").over(order), "first": F.row_number().over(order) == 1})
-    out = placed.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles])))
-    inside = (F.col("p") <= F.col("q")) & (F.coalesce(F.col("p2"), F.lit(2.0)) > F.col("q"))
-    before = F.col("first") & (F.col("q") < F.col("p"))
-    x = F.when(before | F.col("v2").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (F.col("q") - F.col("p")) / (F.col("p2") - F.col("p")))
-    return out.where(inside | before).select(*by, "q", x.alias("x"))
+from .selection import QUANTILES, weighted_percentiles
 
 
 def distribution(rows: DataFrame, by: list[str], value: str, weight: str, digits: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import expr as X
-from . import timeline
+from . import selection, timeline
 
 KEY = timeline.KEY
 REGION_COLUMNS = [f"region_{n}" for n, *_ in dims.REGIONS]
@@ -40,14 +40,12 @@ def robust(point_rows: DataFrame) -> DataFrame:
     """Long form (track, pass, bin, feature, z) with median and MAD per pass (C05; A20, A21)."""
     features = [c for g in GROUPS.values() for c in g if c in point_rows.columns]
     long = point_rows.unpivot([*KEY, "bin_index"], [F.col(c).cast("double").alias(c) for c in features], "feature", "x").where("x is not null")
-    center = long.groupBy(*KEY, "feature").agg(F.percentile("x", 0.5).alias("median"))
-    off = long.join(center, [*KEY, "feature"])
-    spread = off.groupBy(*KEY, "feature").agg(F.percentile(F.abs(F.col("x") - F.col("median")), 0.5).alias("mad"))
+    scale = selection.median_and_mad(long, [*KEY, "feature"], "x")
     floor = F.lit(1.0)
     for name, value in FLOORS.items():
         floor = F.when(F.col("feature") == name, value).otherwise(floor)
     z = (F.col("x") - F.col("median")) / F.greatest(floor, 1.4826 * F.col("mad"))
-    return off.join(spread, [*KEY, "feature"]).select(*KEY, "bin_index", "feature", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z)).alias("z"))
+    return long.join(scale, [*KEY, "feature"]).select(*KEY, "bin_index", "feature", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z)).alias("z"))
 
 
 def _context(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import state, timeline
+from ..operators import selection, state, timeline
 from ..sources import frames as source
 from ..streaming import live
 from . import oracle as sql
@@ -51,7 +51,9 @@ def t26(spark, sf_dir):
 
 @query("a12_median", f"{W} SELECT runtime_id, round(median(k), 4) AS median_k, min(k) AS least, max(k) AS most FROM (SELECT runtime_id, CAST(lag AS DOUBLE) AS k FROM w) GROUP BY 1")
 def a12(spark, sf_dir):
-    return window(spark, sf_dir).groupBy("runtime_id").agg(F.round(F.percentile("estimated_analysis_lag_ms", 0.5), 4).alias("median_k"), F.min("estimated_analysis_lag_ms").alias("least"), F.max("estimated_analysis_lag_ms").alias("most"))
+    f = window(spark, sf_dir).select("runtime_id", "estimated_analysis_lag_ms")
+    ends = f.groupBy("runtime_id").agg(F.min("estimated_analysis_lag_ms").alias("least"), F.max("estimated_analysis_lag_ms").alias("most"))
+    return selection.median(f, ["runtime_id"], "estimated_analysis_lag_ms", "median_k").join(ends, "runtime_id").withColumn("median_k", F.round("median_k", 4))
 
 
 @query("a08_correlation", f"{W} SELECT runtime_id, round(corr(rms_db, crest_db), 4) AS correlation, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3")
