@@ -10,26 +10,6 @@ from ..functions import expr as X
 METRICS = ["rms_db", "crest_db", "centroid_hz", "stereo_correlation", "stereo_width", "active_ratio"]
 
 
-class Snapshots:
-    """Named states written as tables under a folder (K03-K05); the oldest beyond ``keep`` are forgotten."""
-
-    def __init__(self, path: str, keep: int = 16):
-        self.path, self.keep, self.names = path.rstrip("/"), keep, []
-
-    def capture(self, name: str, state: DataFrame) -> DataFrame:
-        name = name.strip()[:96]
-        if not name:
-            raise ValueError("a snapshot needs a name")
-        state.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.names = [*[n for n in self.names if n != name], name][-self.keep :]
-        return self.get(state.sparkSession, name)
-
-    def get(self, spark, name: str) -> DataFrame:
-        if name not in self.names:
-            raise KeyError(name)
-        return spark.read.parquet(f"{self.path}/{name}")
-
-
 def compare(before: DataFrame, after: DataFrame, on: str = "runtime_id", metrics: list[str] = METRICS) -> DataFrame:
     """Every track of either state: shared, added or removed, with rounded differences (T16; S01-S04, J06)."""
     a, b = (s.select(on, *[F.col(m).alias(f"{m}_{n}") for m in metrics], F.lit(True).alias(f"in_{n}")) for s, n in ((before, "a"), (after, "b")))

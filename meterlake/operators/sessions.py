@@ -18,6 +18,12 @@ AWAITING, COMPLETED = "awaiting_external_change", "completed"
 FEATURES = {"energy": "rms_db", "loudness": "lufs_s", "spectrum": "centroid_hz", "stereo": "stereo_correlation", "dynamics": "crest_db"}
 
 
+def _newest(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows with their rank: each task sends on as many at most, and only those are numbered."""
+    first = rows.orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def capture(requests: DataFrame, states: DataFrame, on: str = "name") -> DataFrame:
     """Frozen rows of each named request (T14, T45; K03, K04): ``states`` has one row a (name, track)."""
     named = requests.withColumn(on, F.substring(F.trim(on), 1, 96)).where(F.col(on) != "")
@@ -27,8 +33,7 @@ def capture(requests: DataFrame, states: DataFrame, on: str = "name") -> DataFra
 def captures(rows: DataFrame, by: list[str], limit: int = 16) -> DataFrame:
     """Captures by name, the newest first, at most ``limit`` (T15, T46): (by, captured_at, tracks, rank)."""
     listed = rows.groupBy(*by).agg(F.max("captured_at").alias("captured_at"), F.count("*").alias("tracks"))
-    w = Window.orderBy(F.desc("captured_at"), *by)  # one row a name
-    return listed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _newest(listed, [F.desc("captured_at"), *by], limit)
 
 
 def features(row: str = "") -> Column:
@@ -93,5 +98,4 @@ def complete(sessions: DataFrame, targets: DataFrame, readbacks: DataFrame, at:
 
 def status(sessions: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The newest sessions, at most ``limit`` (T39, T42; K05), newest first by rank."""
-    w = Window.orderBy(F.desc("created_at"), "session_id")  # one row a session
-    return sessions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _newest(sessions, [F.desc("created_at"), "session_id"], limit)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import compare, recent, sessions, timeline
+from ..operators import compare, recent, session_store, sessions, timeline
+from ..sources.versions import VersionedTables
+from ..streaming import dimension
 from . import oracle as sql
 from . import tools
+from .lineage import shared_folder
 from .song import _HALF
 from .tools import P, query
 
@@ -94,13 +99,20 @@ def _ranges(spark, sf_dir):
     return timeline.resolve_range(p, 20, 60, 0.3), timeline.resolve_range(p, 100, 140, 0.3, fence)
 
 
+def _checks():
+    return {"insufficient_coverage": F.least("coverage_ratio_a", "coverage_ratio_b") >= 0.3, "dropped_blocks": F.col("dropped_blocks_b") <= F.col("dropped_blocks_a")}
+
+
 def _ranged(spark, sf_dir):
+    """Range sessions through a store of this run: begun, completed twice (the second time changes nothing), one left open."""
     before, after = _ranges(spark, sf_dir)
     requests = _requests(spark, sf_dir)
-    a, b = _frozen(requests, before), _frozen(requests, after)
-    begun = sessions.begin(requests, a, F.col("adequate"))
-    checks = {"insufficient_coverage": F.least("coverage_ratio_a", "coverage_ratio_b") >= 0.3, "dropped_blocks": F.col("dropped_blocks_b") <= F.col("dropped_blocks_a")}
-    return begun, sessions.compare_targets(begun, a, b, checks)
+    store = session_store.SessionStore(VersionedTables(spark, f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"))
+    store.begin(requests, _frozen(requests, before), F.col("adequate"))
+    said = requests.where("label <> 'rt-view'").select("session_id", F.when(F.col("label") != "rt-error", F.lit("volume -2 dB")).otherwise("").alias("readback"))
+    for at in (160.0, 170.0):
+        store.complete(said, _frozen(requests, after), _checks(), at)
+    return store
 
 
 def _best(name: str, lo: int, also: str = "") -> str:
@@ -117,17 +129,43 @@ _IN_ORDER = "SELECT session_id, status, CAST(row_number() OVER (ORDER BY session
 
 @query("t40_begin_range_verification", f"{_RANGED} SELECT session_id, ready FROM tg")
 def t40(spark, sf_dir):
-    return _ranged(spark, sf_dir)[0].select("session_id", "ready")
+    before, _ = _ranges(spark, sf_dir)
+    requests = _requests(spark, sf_dir)
+    return sessions.begin(requests, _frozen(requests, before), F.col("adequate")).select("session_id", "ready")
+
+
+_COMPLETED = f"{_RANGED}, cm AS (SELECT session_id, runtime_id, rms_db_delta, coalesce(ready AND found AND enough AND undropped AND same, false) AS controlled FROM tg, tp WHERE runtime_id <> 'rt-view')"
 
 
-@query("t41_complete_range_verification", f"{_RANGED} SELECT session_id, runtime_id, rms_db_delta, coalesce(ready AND found AND enough AND undropped AND same, false) AS controlled FROM tg, tp")
+@query("t41_complete_range_verification", f"{_COMPLETED} SELECT * FROM cm")
 def t41(spark, sf_dir):
-    return _ranged(spark, sf_dir)[1].select("session_id", "runtime_id", "rms_db_delta", "controlled")
+    return _ranged(spark, sf_dir).results().select("session_id", "runtime_id", "rms_db_delta", "controlled")
 
 
-@query("t42_range_verification_status", f"{_RANGED}, x AS (SELECT session_id, 'awaiting_external_change' AS status FROM tg) {_IN_ORDER}")
+@query(
+    "t42_range_verification_status",
+    f"""{_COMPLETED}, x AS (SELECT session_id, CASE WHEN cm.session_id IS NULL THEN 'awaiting_external_change' ELSE 'completed' END AS status, controlled, controlled AND tg.runtime_id <> 'rt-error' AS closed_loop, CASE WHEN cm.session_id IS NOT NULL THEN CAST(160 AS DOUBLE) END AS completed_at FROM tg LEFT JOIN cm USING (session_id))
+    SELECT *, CAST(row_number() OVER (ORDER BY session_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 5""",
+)
 def t42(spark, sf_dir):
-    return sessions.status(_ranged(spark, sf_dir)[0], 5).select("session_id", "status", "rank")
+    return _ranged(spark, sf_dir).status(5).select("session_id", "status", "controlled", "closed_loop", "completed_at", "rank")
+
+
+@query(
+    "k02_live_bindings",
+    """WITH b AS (SELECT 'rt-' || user_id % 200 AS runtime_id, CAST(user_id * 7 % 23 AS INTEGER) AS fl_track_index, CAST(event_id % 3 AS INTEGER) AS slot, event_id AS seq FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL),
+    i AS (SELECT runtime_id, max(seq) AS seq FROM b GROUP BY ALL), s AS (SELECT fl_track_index, slot, max(seq) AS seq FROM b GROUP BY ALL)
+    SELECT b.runtime_id, b.fl_track_index, b.slot FROM b JOIN i ON i.runtime_id = b.runtime_id AND i.seq = b.seq JOIN s ON s.fl_track_index = b.fl_track_index AND s.slot = b.slot AND s.seq = b.seq""",
+)
+def k02(spark, sf_dir):
+    """Events as bind events, merged into the live dimension in three batches by two streams, one batch twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and event_id is not null")
+    binds = e.select(F.concat(F.lit("rt-"), (F.col("user_id") % 200).cast("string")).alias("runtime_id"), (F.col("user_id") * 7 % 23).cast("int").alias("fl_track_index"), F.lit("Mixer").alias("fl_track_name"), (F.col("event_id") % 3).cast("int").alias("slot"), F.col("event_id").cast("long").alias("seq"))
+    store = VersionedTables(spark, f"{shared_folder(spark)}/bindings-{uuid.uuid4().hex}")
+    for stream, batch in (("one", 0), ("two", 0), ("one", 1), ("one", 0)):
+        part = binds.where(F.pmod("seq", F.lit(3)) == {("one", 0): 0, ("two", 0): 1, ("one", 1): 2}[(stream, batch)])
+        dimension.upsert(store, stream)(part, batch)
+    return dimension.bindings(store).drop("fl_track_name")
 
 
 def _captured(spark, sf_dir):

@@ -182,12 +182,19 @@ def bindings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "runtime_id string, fl_track_index int, fl_track_name string, slot int")
 
 
+def last_binds(binds: DataFrame) -> DataFrame:
+    """Of bind events (runtime_id, fl_track_index, fl_track_name, slot, seq) the last of each id and the last of each slot, with
+    live: an event holds if it is both. So a slot keeps the id bound last, and an id that was bound away stays unbound."""
+    event = F.struct("seq", "runtime_id", "fl_track_name", "fl_track_index", "slot")
+    last = lambda *by: binds.groupBy(*by).agg(F.max(event).alias("e")).select("e.*")
+    ids, slots = last("runtime_id").withColumn("of_id", F.lit(1)), last("fl_track_index", "slot").withColumn("of_id", F.lit(0))
+    both = ids.unionByName(slots).groupBy("runtime_id", "fl_track_index", "fl_track_name", "slot", "seq")
+    return both.agg((F.count_distinct("of_id") == 2).alias("live"))
+
+
 def latest_binding(binds: DataFrame) -> DataFrame:
-    """Bind events (runtime_id, fl_track_index, fl_track_name, slot, seq): the last per id, then per slot."""
-    last = binds.groupBy("runtime_id").agg(F.max_by(F.struct("fl_track_index", "fl_track_name", "slot"), "seq").alias("b"), F.max("seq").alias("seq"))
-    last = last.select("runtime_id", "b.*", "seq")
-    kept = last.groupBy("fl_track_index", "slot").agg(F.max_by(F.struct("runtime_id", "fl_track_name"), "seq").alias("b"))
-    return kept.select("b.runtime_id", "fl_track_index", "b.fl_track_name", "slot")
+    """The bindings that hold."""
+    return last_binds(binds).where("live").select("runtime_id", "fl_track_index", "fl_track_name", "slot")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
