@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -40,10 +40,24 @@ def compare_mono_groups(reference: DataFrame, target: DataFrame, on: str = "regi
     return r.join(t, on).select(on, X.delta("r", "t").alias("mono_delta_db"), "reference_floor_censored", "target_floor_censored")
 
 
-def fingerprint(tracks: DataFrame, columns: list[str]) -> DataFrame:
-    """Fingerprint of a project's topology (X26): SHA-256, 16 digits, of its sorted rows as text."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(columns)])
-    return tracks.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256), 1, 16).alias("fingerprint"))
+#: What a track's place in a project is; its identity is its slot, or its id where it is not bound.
+TOPOLOGY = ["analyzer_name", "fl_track_index", "fl_track_name", "identity", "runtime_id", "slot"]
+
+
+def identity() -> Column:
+    bound = F.concat(F.lit("mixer:"), F.col("fl_track_index").cast("string"), F.lit("/slot:"), F.col("slot").cast("string"))
+    return F.coalesce(bound, F.col("runtime_id"))
+
+
+def fingerprint(tracks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Fingerprint of a project's topology (X26): the first 16 digits of the SHA-256 of its tracks as canonical JSON, by identity.
+
+    ``tracks`` has runtime_id, and of analyzer_name, fl_track_index, fl_track_name and slot those that are known; others are null. A project has 64 tracks at most.
+    """
+    known = tracks.withColumns({c: F.lit(None).cast("int" if c in ("fl_track_index", "slot") else "string") for c in TOPOLOGY if c not in tracks.columns and c != "identity"}).withColumn("identity", identity())
+    every = F.transform(F.array_sort(F.collect_list(F.struct("identity", F.struct(*TOPOLOGY).alias("track")))), lambda x: x["track"])
+    text = F.to_json(every, {"ignoreNullFields": "false"})
+    return known.groupBy(*(by or [])).agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
 
 
 def verify(before: DataFrame, after: DataFrame, on: str = "runtime_id") -> DataFrame:

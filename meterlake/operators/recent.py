@@ -61,15 +61,17 @@ def band_means(frames: DataFrame, column: str = "bands_db", by: str = "runtime_i
 
 
 def temporal_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
-    """Change measures of a window (T18; A07, P07)."""
-    onset = F.coalesce((F.col("rms_rise_peak_db") >= 3) | (F.col("spectral_flux_peak") >= 0.18), F.lit(False)) & F.col("temporal_valid")
-    weight = F.when(F.col("signal_present"), F.lit(1.0) + F.col("spectral_flux_peak")).otherwise(F.lit(0.0))
+    """Change measures of a window over frames where they are valid, flux weighted by the time it stands for (T18; A07, P07)."""
+    onset = F.coalesce(F.col("rms_rise_peak_db") >= 3, F.lit(False)) | F.coalesce(F.col("spectral_flux_peak") >= 0.18, F.lit(False))
+    seconds = F.greatest(F.lit(0.0), F.coalesce("temporal_window_seconds", F.lit(0.0)))
+    valid = lambda c: F.when(F.col("temporal_valid"), F.col(c))
+    weight = F.when(F.col("temporal_valid"), F.greatest(F.lit(1e-6), seconds))
     return frames.groupBy(by).agg(
         F.count_if("temporal_valid").alias("valid_frames"),
-        F.count_if(onset).alias("onsets"),
+        F.count_if(onset & F.col("temporal_valid")).alias("onsets"),
         F.round(X.weighted_mean("spectral_flux_mean", weight), 6).alias("flux_mean"),
-        F.round(F.max("spectral_flux_peak"), 6).alias("flux_peak"),
-        F.round(F.max("rms_rise_peak_db"), 4).alias("rise_peak_db"),
+        F.round(F.max(valid("spectral_flux_peak")), 6).alias("flux_peak"),
+        F.round(F.max(valid("rms_rise_peak_db")), 4).alias("rise_peak_db"),
     )
 
 

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from . import compare
+from . import compare, structure
 
 LIMIT = 32
 AWAITING, COMPLETED = "awaiting_external_change", "completed"
-#: Feature groups of a summary, by the column that tells each.
-FEATURES = {"energy": "rms_db", "loudness": "lufs_s", "spectrum": "centroid_hz", "stereo": "stereo_correlation", "dynamics": "crest_db"}
+#: Feature groups of a summary, by the columns any of which tells each.
+FEATURES = {
+    "core": ["frame_count"], "loudness": ["lufs_s", "true_peak_dbtp"], "spectrum": ["centroid_hz", *structure.REGION_COLUMNS],
+    "stereo": ["stereo_correlation", "stereo_width"], "temporal": ["spectral_flux_mean"], "semantic": ["chroma_0"],
+}
 
 
 def _newest(rows: DataFrame, order: list, limit: int) -> DataFrame:
@@ -36,9 +39,19 @@ def captures(rows: DataFrame, by: list[str], limit: int = 16) -> DataFrame:
     return _newest(listed, [F.desc("captured_at"), *by], limit)
 
 
-def features(row: str = "") -> Column:
-    """Names of the feature groups that a summary has (X38); ``row`` is a struct's prefix."""
-    return F.filter(F.array(*[F.when(F.col(f"{row}{c}").isNotNull(), n) for n, c in sorted(FEATURES.items())]), lambda x: x.isNotNull())
+def features(columns: list[str], suffix: str = "") -> Column:
+    """Sorted names of the feature groups that a summary with these columns has (X38); its columns may carry a suffix."""
+
+    def has(c: str) -> Column:
+        return F.coalesce(F.col(c + suffix) > 0, F.lit(False)) if c == "frame_count" else F.col(c + suffix).isNotNull()
+
+    found = []
+    for name, needs in sorted(FEATURES.items()):
+        any_of = F.lit(False)
+        for c in needs:
+            any_of = any_of | has(c) if c in columns else any_of
+        found.append(F.when(any_of, name))
+    return F.array_compact(F.array(*found))
 
 
 def begin(requests: DataFrame, states: DataFrame, valid: Column) -> DataFrame:
@@ -60,9 +73,10 @@ def begin(requests: DataFrame, states: DataFrame, valid: Column) -> DataFrame:
     return out.select("session_id", "label", "created_at", "targets", blockers.alias("blockers"), (F.size(blockers) == 0).alias("ready"), F.lit(AWAITING).alias("status"))
 
 
-def topology(states: DataFrame) -> DataFrame:
-    """Whether a session's two states hold the same tracks: (session_id, same_topology) of rows with in_a and in_b."""
-    return states.groupBy("session_id").agg(F.bool_and(F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False))).alias("same_topology"))
+def topology(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Whether a session's two states have the same tracks in the same places: (session_id, same_topology)."""
+    a, b = (compare.fingerprint(s, ["session_id"]).withColumnRenamed("fingerprint", n) for s, n in ((before, "a"), (after, "b")))
+    return a.join(b, "session_id", "full").select("session_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same_topology"))
 
 
 def compare_targets(sessions: DataFrame, before: DataFrame, after: DataFrame, checks: dict[str, Column], metrics: list[str] = compare.METRICS) -> DataFrame:
@@ -73,12 +87,12 @@ def compare_targets(sessions: DataFrame, before: DataFrame, after: DataFrame, ch
     a, b = (s.select("session_id", "runtime_id", *[F.col(c).alias(f"{c}_{n}") for c in s.columns if c not in ("session_id", "runtime_id")], F.lit(True).alias(f"in_{n}")) for s, n in ((before, "a"), (after, "b")))
     both = a.join(b, ["session_id", "runtime_id"], "full")
     wanted = sessions.select("session_id", "ready", F.explode("targets").alias("runtime_id"))
-    rows = wanted.join(both, ["session_id", "runtime_id"], "left").join(topology(both), "session_id", "left")
-    side = lambda n: F.filter(F.array(*[F.when(F.col(f"{c}_{n}").isNotNull(), k) for k, c in sorted(FEATURES.items())]), lambda x: x.isNotNull())
+    rows = wanted.join(both, ["session_id", "runtime_id"], "left").join(topology(before, after), "session_id", "left")
+    side = lambda n, of: features(of.columns, f"_{n}")
     every = {"not_ready": F.col("ready"), "topology_changed": F.col("same_topology"), "missing_before": F.col("in_a"), "missing_after": F.col("in_b")} | checks
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in every.items()]))
     return rows.select(
-        "session_id", "runtime_id", *[X.delta(f"{m}_a", f"{m}_b").alias(f"{m}_delta") for m in metrics], F.array_intersect(side("a"), side("b")).alias("comparable"), failed.alias("failed"), (F.size(failed) == 0).alias("controlled")
+        "session_id", "runtime_id", *[X.delta(f"{m}_a", f"{m}_b").alias(f"{m}_delta") for m in metrics], F.array_intersect(side("a", before), side("b", after)).alias("comparable"), failed.alias("failed"), (F.size(failed) == 0).alias("controlled")
     )
 
 

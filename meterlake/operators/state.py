@@ -105,25 +105,32 @@ def segments(frames: DataFrame, families: list[str], mask: str = "analysis_featu
     return marked.select("runtime_id", "transport_epoch", "arrival_seq", *[F.sum(f"{f}_turn").over(w).alias(f"{f}_segment") for f in families])
 
 
+def _last_identified(requests: DataFrame, identified: DataFrame, max_age: float) -> DataFrame:
+    """Each row of ``requests`` (with a time at) as the struct request, with the identification found: the last one at most ``max_age`` older, as (at, runtime_id).
+
+    Both are cut into stretches of ``max_age`` seconds: what a request may see lies in its own stretch or
+    the one before, so each stretch is one sort and no time is compared with all others.
+    """
+    stretch = F.floor(F.col("at") / max_age)
+    asking = F.struct(*requests.columns)
+    asked = requests.select(stretch.alias("stretch"), "at", F.lit(None).cast("struct<at:double,runtime_id:string>").alias("found"), asking.alias("request"), F.lit(True).alias("asks"))
+    seen = identified.select(F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "at", F.struct(F.col("at").cast("double").alias("at"), "runtime_id").alias("found"), F.lit(None).cast(asked.schema["request"].dataType).alias("request"), F.lit(False).alias("asks"))
+    w = Window.partitionBy("stretch").orderBy("at", "asks", "found.runtime_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = seen.unionByName(asked).withColumn("last", F.last("found", ignorenulls=True).over(w)).where("asks")
+    return last.select("request", F.when(F.col("at") - F.col("last.at") <= max_age, F.col("last")).alias("found"))
+
+
 def handshake(identified: DataFrame, requested: DataFrame, fresh: float = 10.0) -> DataFrame:
     """Bind requests with the id that answered (Z13): of identify events (runtime_id, heard_at) the latest that is at most ``fresh``
     seconds older than the request (slot, at), each event used by its first request only. The last request of a slot keeps it, so another id is evicted."""
-    met = requested.join(identified, (F.col("heard_at") <= F.col("at")) & (F.col("heard_at") >= F.col("at") - fresh))  # requests of a project: few
-    latest = met.groupBy("slot", "at").agg(F.max(F.struct("heard_at", "runtime_id")).alias("e")).select("slot", "at", "e.*")
-    once = latest.withColumn("turn", F.row_number().over(Window.partitionBy("runtime_id", "heard_at").orderBy("at", "slot"))).where("turn = 1")
-    return once.groupBy("slot").agg(F.max_by("runtime_id", "at").alias("runtime_id"), F.max("at").alias("bound_at"))
+    latest = _last_identified(requested.select("slot", "at"), identified.select("runtime_id", F.col("heard_at").alias("at")), fresh).where("found is not null")
+    once = latest.withColumn("turn", F.row_number().over(Window.partitionBy("found").orderBy("request.at", "request.slot"))).where("turn = 1")
+    return once.groupBy("request.slot").agg(F.max_by("found.runtime_id", "request.at").alias("runtime_id"), F.max("request.at").alias("bound_at"))
 
 
 def bind_last_identified(requests: DataFrame, identified: DataFrame, max_age: float = 5.0) -> DataFrame:
     """The track that identified itself last before each request, if at most ``max_age`` seconds ago.
 
-    requests (request, at), identified (runtime_id, at); of tracks that identified at one time the greatest name
-    counts. Both are cut into stretches of ``max_age`` seconds: what a request may see lies in its own stretch or
-    the one before, so each stretch is one sort and no time is compared with all others.
+    requests (request, at), identified (runtime_id, at); of tracks that identified at one time the greatest name counts.
     """
-    stretch = F.floor(F.col("at") / max_age)
-    seen = identified.select(F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "at", F.struct("at", "runtime_id").alias("found"), F.lit(None).cast(requests.schema["request"].dataType).alias("request"), F.lit(False).alias("asks"))
-    asked = requests.select(stretch.alias("stretch"), "at", F.lit(None).cast(seen.schema["found"].dataType).alias("found"), "request", F.lit(True).alias("asks"))
-    w = Window.partitionBy("stretch").orderBy("at", "asks", "found.runtime_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = seen.unionByName(asked).withColumn("last", F.last("found", ignorenulls=True).over(w)).where("asks")
-    return last.select("request", F.when(F.col("at") - F.col("last.at") <= max_age, F.col("last.runtime_id")).alias("runtime_id"))
+    return _last_identified(requests.select("request", "at"), identified, max_age).select("request.request", F.col("found.runtime_id").alias("runtime_id"))

@@ -66,11 +66,13 @@ def accumulate(frames: DataFrame, spectra: bool = False) -> DataFrame:
 
 def finalize(partials: DataFrame, by: list[str], expected: Column | None = None) -> DataFrame:
     """Merge partials into one summary row per ``by`` (A16); ``expected`` seconds default to the observed span."""
-    span = F.max("bin_index") + 1 - F.min("bin_index")
-    covered = F.sum(F.bit_count("coverage_mask")) / 10.0
+    nodes = "covered_tenths" in partials.columns  # nodes of a tree in place of bins
+    first, last = (F.min("first_bin"), F.max("last_bin")) if nodes else (F.min("bin_index"), F.max("bin_index"))
+    span = last + 1 - first
+    covered = F.sum("covered_tenths" if nodes else F.bit_count("coverage_mask")) / 10.0
     aggs = [
-        F.min("bin_index").cast("int").alias("start_seconds"),
-        (F.max("bin_index") + 1).cast("int").alias("end_seconds"),
+        first.cast("int").alias("start_seconds"),
+        (last + 1).cast("int").alias("end_seconds"),
         F.sum("frame_count").alias("frame_count"),
         F.round(F.sum("active_count") / F.greatest(F.lit(1), F.sum("frame_count")), 4).alias("active_ratio"),
         F.round(covered, 3).alias("covered_seconds"),
@@ -138,6 +140,44 @@ def resolve_range(partials: DataFrame, start: float, end: float, minimum: float
     return best.withColumn("adequate", F.col("coverage_ratio") >= minimum)
 
 
+#: Levels of a tree: its largest nodes are 4096 seconds.
+LEVELS = 12
+
+
+def tree(partials: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Partials of 1, 2, 4, ... 2^levels seconds: (track, pass, level, node), node n of level k for bins n 2^k to (n + 1) 2^k - 1.
+
+    Every sum, count and extreme of bins merges, so a node holds what its bins do; its coverage is the tenths of seconds that
+    have a frame. One aggregation with map-side combine; the table is at most twice as large as the bins for one pass, less what the upper levels share.
+    """
+    kept = {c: "sum" for c in partials.columns if c.endswith(("_sum", "_count")) or c == "chroma_weight" or c.startswith("chroma_")}
+    kept |= {c: "max" for c in partials.columns if c.endswith("_max")} | {"last_received_at": "max", "last_arrival_seq": "max", "first_received_at": "min"}
+    leaves = partials.withColumns({"covered_tenths": F.bit_count("coverage_mask"), "first_bin": F.col("bin_index"), "last_bin": F.col("bin_index")})
+    kept |= {"covered_tenths": "sum", "first_bin": "min", "last_bin": "max"}
+    every = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(bin_index, level)"))
+    how = {"sum": F.sum, "max": F.max, "min": F.min}
+    return every.groupBy(*KEY, "level", "node").agg(*[how[f](c).alias(c) for c, f in kept.items() if c in every.columns])
+
+
+def range_nodes(requests: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """The nodes that make up each range of (request, start, end) in whole seconds: two a level at most, and what is left at the top."""
+    bound = requests.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"lo": F.expr("shiftright(start + shiftleft(1, level) - 1, level)"), "hi": F.expr("shiftright(end, level)")}).where("lo < hi")
+    odd = lambda c: F.pmod(F.col(c), F.lit(2)) == 1
+    ends = F.array_compact(F.array(F.when(odd("lo"), F.col("lo")), F.when(odd("hi"), F.col("hi") - 1)))
+    return bound.select("request", "level", F.explode(F.when(F.col("level") == levels, F.sequence("lo", F.col("hi") - 1)).otherwise(ends)).alias("node"))
+
+
+def resolve_ranges(nodes: DataFrame, requests: DataFrame, minimum: float = 0.8, levels: int = LEVELS) -> DataFrame:
+    """``resolve_range`` of many ranges (request, start, end, fence; a null fence lets all passes count) over a ``tree``: a range reads
+    a number of rows that grows with its length's logarithm. Rows are (request, track) with the pass chosen."""
+    asked = requests.select("request", F.floor("start").cast("int").alias("start"), F.ceil("end").cast("int").alias("end"), F.col("fence").cast("double").alias("fence")).where("end > start")
+    met = nodes.join(range_nodes(asked, levels), ["level", "node"]).join(asked, "request")
+    merged = finalize(met, ["request", "fence", "start", "end", *KEY], F.max(F.col("end") - F.col("start")).cast("double")).where("fence is null or first_received_at > fence")
+    w = Window.partitionBy("request", "runtime_id").orderBy(F.desc("coverage_ratio"), F.desc("last_received_at"), F.desc("transport_epoch"))
+    best = merged.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "start", "end", "fence")
+    return best.withColumn("adequate", F.col("coverage_ratio") >= minimum)
+
+
 def gaps(partials: DataFrame) -> DataFrame:
     """Seconds without a bin between two bins of a pass."""
     before = F.lag("bin_index").over(Window.partitionBy(*KEY).orderBy("bin_index"))

@@ -154,3 +154,18 @@ def z02(spark, sf_dir):
     """Coarser summaries at several resolutions from one set of partials."""
     p = partials(spark, sf_dir).withColumn("resolution", F.explode(F.array(F.lit(2), F.lit(10), F.lit(30))))
     return p.groupBy("resolution", *timeline.KEY, F.floor(F.col("bin_index") / F.col("resolution")).cast("int").alias("group_index")).agg(F.sum("frame_count").alias("frame_count"), F.round(F.sum(F.bit_count("coverage_mask")) / 10.0, 3).alias("covered_seconds"))
+
+
+@query(
+    "z13_handshake",
+    f"""WITH {sql.frames()}, h AS (SELECT runtime_id, t AS heard_at FROM f WHERE arrival_seq % 2 = 0), q AS (SELECT CAST(arrival_seq % 41 AS INTEGER) AS slot, t AS asked_at FROM f WHERE arrival_seq % 2 = 1),
+    m AS (SELECT q.slot, q.asked_at, h.heard_at, h.runtime_id FROM q ASOF JOIN (SELECT heard_at, max(runtime_id) AS runtime_id FROM h GROUP BY 1) h ON q.asked_at >= h.heard_at WHERE q.asked_at - h.heard_at <= CAST(0.01 AS DOUBLE)),
+    o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY heard_at, runtime_id ORDER BY asked_at, slot) = 1)
+    SELECT slot, arg_max(runtime_id, asked_at) AS runtime_id, max(asked_at) AS bound_at FROM o GROUP BY 1""",
+)
+def z13(spark, sf_dir):
+    """Every other event identifies its track, the others ask for a slot; an identification is fresh for a hundredth of a song second."""
+    f = frames(spark, sf_dir).select("runtime_id", "arrival_seq", F.col("transport_time_seconds").alias("at"))
+    heard = f.where("arrival_seq % 2 = 0").select("runtime_id", F.col("at").alias("heard_at"))
+    asked = f.where("arrival_seq % 2 = 1").select((F.col("arrival_seq") % 41).cast("int").alias("slot"), "at")
+    return state.handshake(heard, asked, 0.01)

@@ -214,7 +214,11 @@ def t46(spark, sf_dir):
     return sessions.captures(_references(spark, sf_dir), ["name"])
 
 
-@query("x38_features", f"{_HALF}, c AS (SELECT runtime_id, concat_ws(',', CASE WHEN crest_db IS NOT NULL THEN 'dynamics' END, CASE WHEN rms_db IS NOT NULL THEN 'energy' END, CASE WHEN centroid_hz IS NOT NULL THEN 'spectrum' END, CASE WHEN stereo_correlation IS NOT NULL THEN 'stereo' END) AS features FROM sa) SELECT * FROM c")
+@query(
+    "x38_features",
+    f"""{P}, r AS (SELECT runtime_id, transport_epoch, bool_or((mask & 32) <> 0) AS semantic, bool_or((mask & 4) <> 0) AS spectrum, count(*) AS n, bool_or(true_peak_dbtp IS NOT NULL OR lufs_s > -120) AS loudness, bool_or((mask & 8) <> 0) AS stereo, bool_or((mask & 16) <> 0) AS temporal FROM f WHERE bin >= 20 AND bin < 60 GROUP BY ALL)
+    SELECT runtime_id, transport_epoch, concat_ws(',', CASE WHEN n > 0 THEN 'core' END, CASE WHEN loudness THEN 'loudness' END, CASE WHEN semantic THEN 'semantic' END, CASE WHEN spectrum THEN 'spectrum' END, CASE WHEN stereo THEN 'stereo' END, CASE WHEN temporal THEN 'temporal' END) AS features FROM r""",
+)
 def x38(spark, sf_dir):
-    before, _ = _recent_states(spark, sf_dir)
-    return before.select("runtime_id", F.array_join(F.array_except(sessions.features(), F.array(F.lit("loudness"))), ",").alias("features"))
+    range_ = timeline.finalize(timeline.overlapping(tools.partials(spark, sf_dir, spectra=True), 20, 60), timeline.KEY)
+    return range_.select(*timeline.KEY, F.array_join(sessions.features(range_.columns), ",").alias("features"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, pairs, recent, relations, structure, timeline
+from ..operators import compare, pairs, recent, relations, state, structure, timeline
 from ..sources import frames as source
 from . import oracle as sql
 from . import tools
@@ -326,9 +326,13 @@ def c22(spark, sf_dir):
     return structure.section_range(f.select(F.col("arrival_seq").alias("request"), which.alias("map_id"), F.concat(F.lit(" s0"), F.col("arrival_seq") % 10).alias("section")), maps)
 
 
-@query("x26_fingerprint", f"WITH {sql.frames()}, {tools.LATEST} SELECT substr(sha256(string_agg(runtime_id || '|' || track, chr(10) ORDER BY runtime_id || '|' || track)), 1, 16) AS fingerprint FROM latest")
+@query(
+    "x26_fingerprint",
+    f"""WITH {sql.frames()}, {tools.LATEST}, {tools.BINDINGS}, tr AS (SELECT l.runtime_id, l.track, b.fl_track_index AS i, b.fl_track_name AS n, b.slot AS s, coalesce('mixer:' || b.fl_track_index || '/slot:' || b.slot, l.runtime_id) AS identity FROM latest l LEFT JOIN bindings b ON l.runtime_id = b.runtime_id)
+    SELECT substr(sha256('[' || string_agg('{{"analyzer_name":"' || track || '","fl_track_index":' || coalesce(i::VARCHAR, 'null') || ',"fl_track_name":' || coalesce('"' || n || '"', 'null') || ',"identity":"' || identity || '","runtime_id":"' || runtime_id || '","slot":' || coalesce(s::VARCHAR, 'null') || '}}', ',' ORDER BY identity) || ']'), 1, 16) AS fingerprint FROM tr""",
+)
 def x26(spark, sf_dir):
-    return compare.fingerprint(tools._live(spark, sf_dir), ["track", "runtime_id"])
+    return compare.fingerprint(state.bound(tools._live(spark, sf_dir).withColumnRenamed("track", "analyzer_name"), source.bindings(spark)))
 
 
 @query("t20_top_pairs_recent")

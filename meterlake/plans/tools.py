@@ -194,7 +194,7 @@ def a05(spark, sf_dir):
 @query(
     "t18_temporal_profile",
     f"""{W} SELECT runtime_id, count(*) FILTER (WHERE (mask & 16) <> 0) AS valid_frames, count(*) FILTER (WHERE (mask & 16) <> 0 AND (rise >= 3 OR flux_peak >= CAST(0.18 AS DOUBLE))) AS onsets,
-    round(sum(CASE WHEN sp AND flux IS NOT NULL THEN flux * (1 + flux_peak) END) / sum(CASE WHEN sp AND flux IS NOT NULL THEN 1 + flux_peak END), 6) AS flux_mean, round(max(flux_peak), 6) AS flux_peak, round(max(rise), 4) AS rise_peak_db FROM w GROUP BY 1""",
+    round(sum(flux * greatest(CAST(1e-6 AS DOUBLE), coalesce(secs, 0))) FILTER (WHERE (mask & 16) <> 0) / sum(greatest(CAST(1e-6 AS DOUBLE), coalesce(secs, 0))) FILTER (WHERE (mask & 16) <> 0 AND flux IS NOT NULL), 6) AS flux_mean, round(max(flux_peak) FILTER (WHERE (mask & 16) <> 0), 6) AS flux_peak, round(max(rise) FILTER (WHERE (mask & 16) <> 0), 4) AS rise_peak_db FROM w GROUP BY 1""",
 )
 def t18(spark, sf_dir):
     return recent.temporal_profile(window(spark, sf_dir))
@@ -520,6 +520,23 @@ def c02(spark, sf_dir):
     return timeline.resolve_range(partials(spark, sf_dir), 20.25, 60.5, 0.3).select("runtime_id", "transport_epoch", "adequate", *SUMMARY_COLUMNS)
 
 
+_ASKED = "rq AS (SELECT CAST(arrival_seq % 60 AS INTEGER) AS request, CAST(min(bin) FILTER (WHERE bin >= 2 * (arrival_seq % 60)) AS INTEGER) AS s FROM f GROUP BY 1), ra AS (SELECT request, s, s + 3 + (request * 7) % 70 AS e, CASE WHEN request % 2 = 1 THEN CAST(60 AS DOUBLE) - request / CAST(4 AS DOUBLE) END AS fence FROM rq WHERE s IS NOT NULL)"
+
+
+@query(
+    "c02_ranges",
+    f"""{P}, {_ASKED}, x AS ({sql.summary('request, s, e, fence, runtime_id, transport_epoch', 'max(e - s)', '(SELECT ra.*, acc.* FROM ra JOIN acc ON bin >= s AND bin < e)')}),
+    y AS (SELECT *, row_number() OVER (PARTITION BY request, runtime_id ORDER BY coverage_ratio DESC, last_received_at DESC, transport_epoch DESC) AS r FROM x WHERE fence IS NULL OR first_received_at > fence)
+    SELECT request, runtime_id, transport_epoch, coverage_ratio >= CAST(0.8 AS DOUBLE) AS adequate, {SUMMARY} FROM y WHERE r = 1""",
+)
+def c02_ranges(spark, sf_dir):
+    """Sixty ranges at once over a tree of partials, some behind a fence."""
+    request = (F.col("arrival_seq") % 60).cast("int")
+    starts = frames(spark, sf_dir).select(request.alias("request"), timeline.bin_index(F.col("transport_time_seconds")).alias("bin")).where("bin >= 2 * request").groupBy("request").agg(F.min("bin").alias("start"))
+    asked = starts.select("request", "start", (F.col("start") + 3 + F.col("request") * 7 % 70).alias("end"), F.when(F.col("request") % 2 == 1, 60 - F.col("request") / 4.0).alias("fence"))
+    return timeline.resolve_ranges(timeline.tree(partials(spark, sf_dir)), asked).select("request", "runtime_id", "transport_epoch", "adequate", *SUMMARY_COLUMNS)
+
+
 @query("w09_gaps", f"{P} SELECT runtime_id, transport_epoch, CAST(p + 1 AS INTEGER) AS gap_start, bin AS gap_end FROM (SELECT *, lag(bin) OVER (PARTITION BY runtime_id, transport_epoch ORDER BY bin) AS p FROM acc) WHERE bin - p > 1")
 def w09(spark, sf_dir):
     return timeline.gaps(partials(spark, sf_dir))
