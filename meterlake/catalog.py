@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry, session, song, tools
+from .plans import audio, registry, session, song, tools
 
 #: These modules add their queries to those of tools.
-PLANS = (tools, song, registry, session)
+PLANS = (tools, song, registry, session, audio)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

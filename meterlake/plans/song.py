@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, pairs, recent, relations, state, structure, timeline
 from ..sources import frames as source
+from ..sources.cache import TableCache
 from . import oracle as sql
 from . import tools
-from .lineage import cut
+from .lineage import cut, shared_folder
 from .tools import AS_OF, SUMMARY, SUMMARY_COLUMNS, WB, P, PS, partials, query, window
 
 SECTIONS = "sec AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {o}, {a}, {b})" for n, o, a, b in structure.fixed_sections()) + ") v(section, ord, s0, s1))"
@@ -82,50 +83,88 @@ def w08(spark, sf_dir):
     return structure.peaks(structure.smooth(n)).select("runtime_id", "transport_epoch", "bin_index", F.round("smoothed", 5).alias("smoothed"))
 
 
-def _structure(spark, sf_dir):
-    """Partials, points, the activity of all tracks, and the sections of every pass; each is read by many branches."""
+def cache(spark) -> TableCache:
+    """The maps of this session or cluster."""
+    return TableCache(spark, f"{shared_folder(spark)}/maps")
+
+
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/events.parquet", f"{sf_dir}/embeddings.parquet"]
+
+
+def _make_map(spark, sf_dir, sensitivity: float, least: int) -> dict:
+    """Boundaries, sections, summaries, similarities and families of every pass, the passes chosen, and the map of the song: the
+    sections of the pass that is covered best, with what each track does in them."""
     p = cut(partials(spark, sf_dir, True, True))
     pts = cut(structure.points(p))
-    chosen = p.join(relations.select_passes(p, 0, 180), timeline.KEY, "left_semi")
-    active = cut(chosen.select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio")))
+    passes = cut(relations.select_passes(p, 0, 180).select(*timeline.KEY))
+    active = cut(p.join(passes, timeline.KEY, "left_semi").select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio")))
     smoothed = cut(structure.smooth(structure.novelty(pts, active)))
-    found = structure.boundaries(structure.peaks(smoothed), pts)
-    return p, pts, found, active
-
-
-def _named(spark, sf_dir):
-    """Sections of every pass, their summaries and families, with the activity of all tracks."""
-    p, pts, found, active = _structure(spark, sf_dir)
+    found = cut(structure.boundaries(structure.peaks(smoothed, sensitivity), pts, least))
     secs = cut(structure.sections(found, pts))
     s = cut(structure.summaries(secs, p))
     similarity = cut(structure.section_similarity(s, structure.section_activity(secs, active)))
-    return s, similarity, structure.families(secs, similarity)
+    families = cut(structure.families(secs, similarity))
+    covered = p.join(passes, timeline.KEY, "left_semi").groupBy(*timeline.KEY).agg(F.sum(F.bit_count("coverage_mask")).alias("n"))
+    lead = covered.orderBy(F.desc("n"), *timeline.KEY).limit(1).select(*timeline.KEY)
+    song = cut(secs.join(lead, timeline.KEY).join(families, [*timeline.KEY, "ord"]).select("section", "ord", "start", "end", "family", "occurrence"))
+    tracks = relations.section_tracks(song.drop("family", "occurrence"), p, passes)
+    return {"boundaries": found, "sections": secs, "summaries": s, "similarity": similarity, "families": families, "passes": passes, "song": song, "tracks": tracks}
+
+
+def section_map(spark, sf_dir, sensitivity: float = 0.55, least: int = 8):
+    """The map of the events (K08, T33): (id, tables), found by its inputs and parameters or built."""
+    params = {"map": 1, "sensitivity": sensitivity, "least": least}
+    return cache(spark).build(_inputs(sf_dir), params, lambda: _make_map(spark, sf_dir, sensitivity, least))
 
 
 @query("c07_boundaries")
 def c07(spark, sf_dir):
-    return _structure(spark, sf_dir)[2]
+    return section_map(spark, sf_dir)[1].read("boundaries")
 
 
 @query("c08_families")
 def c08(spark, sf_dir):
-    return _named(spark, sf_dir)[2]
+    return section_map(spark, sf_dir)[1].read("families")
 
 
 @query("j12_similar_sections")
 def j12(spark, sf_dir):
-    return relations.similar_sections(_named(spark, sf_dir)[1], timeline.KEY)
+    return relations.similar_sections(section_map(spark, sf_dir)[1].read("similarity"), timeline.KEY)
 
 
 @query("t33_section_map")
 def t33(spark, sf_dir):
     """The map as rows: sections, families, and an id of the boundaries of its pass."""
-    s, _, named = _named(spark, sf_dir)
+    tables = section_map(spark, sf_dir)[1]
+    s, named = tables.read("summaries"), tables.read("families")
     bounds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))), lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     ids = s.groupBy(*timeline.KEY).agg(F.substring(F.sha1(F.concat_ws("|", *timeline.KEY, bounds)), 1, 12).alias("map_id"))
     return s.select(*timeline.KEY, "section", "ord", "start", "end", "rms_db", "coverage_ratio").join(named, [*timeline.KEY, "ord"]).join(ids, timeline.KEY)
 
 
+@query("k08_map_profile")
+def k08_profile(spark, sf_dir):
+    """What each track does in the sections of the built map (T34), with the sections' families."""
+    tables = section_map(spark, sf_dir)[1]
+    return tables.read("tracks").join(tables.read("song").select("section", "family", "occurrence"), "section").select("runtime_id", "section", "family", "occurrence", "evidence", *SUMMARY_COLUMNS)
+
+
+@query("k08_map_story")
+def k08_story(spark, sf_dir):
+    """Extremes over the built map's sections and how many of its families each measure is seen in."""
+    tables = section_map(spark, sf_dir)[1]
+    rows = tables.read("tracks")
+    families = relations.family_stats(rows, tables.read("song").select("section", "family")).groupBy("runtime_id", "metric").agg(F.count_distinct("family").alias("families"))
+    return relations.extremes(rows).join(families, ["runtime_id", "metric"])
+
+
+@query("k08_map_relationships")
+def k08_relations(spark, sf_dir):
+    """The strongest pairs over the built map's sections, with spectra."""
+    return relations.top_relations(relations.pair_sections(section_map(spark, sf_dir)[1].read("tracks")))
+
+
 @query("c03_passes", f"{P}, x AS (SELECT runtime_id, transport_epoch, sum(bit_count(cover)) AS n FROM acc WHERE bin + 1 > 20 AND bin < 60 GROUP BY ALL) SELECT runtime_id, transport_epoch FROM (SELECT *, row_number() OVER (PARTITION BY runtime_id ORDER BY n DESC, transport_epoch DESC) AS r FROM x) WHERE r = 1")
 def c03(spark, sf_dir):
     return relations.select_passes(partials(spark, sf_dir), 20, 60)
