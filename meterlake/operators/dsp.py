@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +27,32 @@ MEASURES = (
 )
 
 
-def windows(hops: DataFrame) -> DataFrame:
-    """Four hops make a window of 4096 samples."""
-    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(-3, 0)
-    parts = hops.withColumns({c: F.flatten(F.collect_list(c).over(w)) for c in ("left", "right")})
-    return parts.where(F.size("left") == SIZE)
+#: Hops of a block: what one task filters and looks back over at once, with the hops before it that it needs.
+BLOCK_HOPS = 2048
+
+
+def with_halo(rows: DataFrame, halo: int, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """``rows`` with the block of their hop, and again, as halo, with the next one's where they are among the ``halo`` hops before it.
+
+    Windows by (runtime_id, block) then see all that they look back to, and one long track is many tasks. ``halo`` is shorter than a block.
+    """
+    own = F.floor(F.col("hop_index") / block_hops)
+    spots = F.when(F.col("hop_index") >= (own + 1) * block_hops - halo, F.array(F.struct(own.alias("block"), F.lit(False).alias("halo")), F.struct((own + 1).alias("block"), F.lit(True).alias("halo"))))
+    spots = F.coalesce(spots, F.array(F.struct(own.alias("block"), F.lit(False).alias("halo"))))
+    return rows.withColumn("spot", F.explode(spots)).select("*", "spot.block", "spot.halo").drop("spot")
+
+
+def _before(n: int) -> Window:
+    """The row and the n before it, in its block."""
+    return Window.partitionBy("runtime_id", "block").orderBy("hop_index").rowsBetween(-n, 0)
+
+
+def windows(hops: DataFrame, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """Four consecutive hops make a window of 4096 samples."""
+    n = SIZE // HOP
+    w = _before(n - 1)
+    parts = with_halo(hops, n - 1, block_hops).withColumns({"first": F.min("hop_index").over(w), **{c: F.flatten(F.collect_list(c).over(w)) for c in ("left", "right")}})
+    return parts.where((F.size("left") == SIZE) & (F.col("hop_index") - F.col("first") == n - 1) & ~F.col("halo")).select(*hops.columns)
 
 
 def _db(x: np.ndarray) -> np.ndarray:
@@ -135,11 +157,12 @@ def analyse(audio: DataFrame) -> DataFrame:
     return audio.mapInPandas(run, MEASURES)
 
 
-def changes(measures: DataFrame) -> DataFrame:
-    """Spectral flux and level rise against the window before."""
-    w = Window.partitionBy("runtime_id").orderBy("hop_index")
+def changes(measures: DataFrame, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """Spectral flux and level rise against the window before (D11, W11, W12); null flux where the hop before has none."""
+    w = Window.partitionBy("runtime_id", "block").orderBy("hop_index")
     up = F.aggregate(F.zip_with("shape", F.lag("shape").over(w), lambda now, old: F.greatest(F.lit(0.0), (now - old).cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
-    return measures.select("runtime_id", "hop_index", "rms_db", up.alias("flux"), F.greatest(F.lit(0.0), F.col("rms_db") - F.lag("rms_db").over(w)).alias("rise_db"))
+    rise = F.greatest(F.lit(0.0), F.col("rms_db") - F.lag("rms_db").over(w))
+    return with_halo(measures.select("runtime_id", "hop_index", "rms_db", "shape"), 1, block_hops).select("runtime_id", "hop_index", "rms_db", up.alias("flux"), rise.alias("rise_db"), "halo").where("not halo").drop("halo")
 
 
 def true_peak_db(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -194,42 +217,67 @@ def weighting(n: int, rate: float) -> np.ndarray:
     return shelf * (1 - 2 * z + z**2) / (1 + 2 * (k * k - 1) / a0 * z + (1 - k / q + k * k) / a0 * z**2)
 
 
-def hop_energy(hops: DataFrame) -> DataFrame:
-    """K-weighted mean square of every hop, channels added (D14): (runtime_id, hop_index, sample_rate, energy)."""
-    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(-CONTEXT, 0)
-    parts = hops.select("runtime_id", "hop_index", "sample_rate", *[F.flatten(F.collect_list(c).over(w)).alias(c) for c in ("left", "right")])
-    size = (CONTEXT + 1) * HOP
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for rate, rows in frame.groupby("sample_rate"):
-                response = weighting(size, float(rate))
-                energy = np.zeros(len(rows))
-                for c in ("left", "right"):
-                    for lo in range(0, len(rows), 64):
-                        x = np.stack([np.pad(np.asarray(v, np.float64), (size - len(v), 0)) for v in rows[c].iloc[lo : lo + 64]])
-                        y = np.fft.irfft(np.fft.rfft(x, axis=1) * response, size, axis=1)[:, -HOP:]
-                        energy[lo : lo + 64] += (y * y).mean(axis=1)
-                yield rows[["runtime_id", "hop_index", "sample_rate"]].assign(energy=energy)
+def hop_energy(hops: DataFrame, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """K-weighted mean square of every hop, channels added (D14): (runtime_id, hop_index, sample_rate, energy).
 
-    return parts.mapInPandas(run, "runtime_id string, hop_index long, sample_rate double, energy double")
+    A block is filtered at once, after the ``CONTEXT`` hops before it, in which the filter settles; missing hops are silence.
+    """
+    schema = "runtime_id string, hop_index long, sample_rate double, energy double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("hop_index")
+        index, rate = table["hop_index"].to_numpy(), table["sample_rate"][0].as_py()
+        place = index - index[0]
+        length = (int(place[-1]) + 1) * HOP
+        size = 1 << (length + CONTEXT * HOP - 1).bit_length()  # padded, so that the end does not reach the beginning
+        energy = np.zeros(int(place[-1]) + 1)
+        for c in ("left", "right"):
+            x = np.zeros((int(place[-1]) + 1, HOP))
+            x[place] = table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, HOP)
+            y = np.fft.irfft(np.fft.rfft(x.ravel(), size) * weighting(size, float(rate)), size)[:length]
+            energy += (y.reshape(-1, HOP) ** 2).mean(axis=1)
+        own = ~table["halo"].to_numpy(zero_copy_only=False)
+        return pa.table({"runtime_id": table["runtime_id"].filter(pa.array(own)), "hop_index": index[own], "sample_rate": table["sample_rate"].filter(pa.array(own)), "energy": energy[place[own]]})
+
+    return with_halo(hops.select("runtime_id", "hop_index", "sample_rate", "left", "right"), CONTEXT, block_hops).groupBy("runtime_id", "block", "sample_rate").applyInArrow(run, schema)
 
 
 def _lufs(energy):
     return -0.691 + 10 * F.log10(F.greatest(energy, F.lit(1e-12)))
 
 
-def short_term(energies: DataFrame, rate: float = 48000.0) -> DataFrame:
+def short_term(energies: DataFrame, rate: float = 48000.0, block_hops: int = BLOCK_HOPS) -> DataFrame:
     """Loudness of the last three seconds at each hop."""
-    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(1 - round(3 * rate / HOP), 0)
-    return energies.select("runtime_id", "hop_index", _lufs(F.avg("energy").over(w)).alias("lufs_s"))
+    n = round(3 * rate / HOP)
+    rows = with_halo(energies.select("runtime_id", "hop_index", "energy"), n - 1, block_hops)
+    return rows.withColumn("lufs_s", _lufs(F.avg("energy").over(_before(n - 1)))).where("not halo").select("runtime_id", "hop_index", "lufs_s")
 
 
-def integrated(energies: DataFrame, rate: float = 48000.0) -> DataFrame:
-    """Gated loudness per track (D14): blocks of 0.4 s every 0.1 s, to the nearest hop; -70 LUFS, then 10 LU under the mean."""
+def gating_blocks(energies: DataFrame, rate: float = 48000.0, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """Energies of 0.4 s every 0.1 s, to the nearest hop (D14): (runtime_id, hop_index, e)."""
     block, step = round(0.4 * rate / HOP), round(0.1 * rate / HOP)
-    w = Window.partitionBy("runtime_id").orderBy("hop_index").rowsBetween(1 - block, 0)
-    blocks = energies.withColumns({"e": F.avg("energy").over(w), "n": F.count("*").over(w)}).where((F.col("n") == block) & (F.col("hop_index") % step == 0))
-    loud = blocks.where(_lufs(F.col("e")) > -70)
+    w = _before(block - 1)
+    rows = with_halo(energies.select("runtime_id", "hop_index", "energy"), block - 1, block_hops).withColumns({"e": F.avg("energy").over(w), "n": F.count("*").over(w)})
+    return rows.where((F.col("n") == block) & (F.col("hop_index") % step == 0) & ~F.col("halo")).select("runtime_id", "hop_index", "e")
+
+
+def integrated(energies: DataFrame, rate: float = 48000.0, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """Gated loudness per track (D14): blocks above -70 LUFS, then those above 10 LU under their mean."""
+    loud = gating_blocks(energies, rate, block_hops).where(_lufs(F.col("e")) > -70)
     mean = loud.groupBy("runtime_id").agg(F.avg("e").alias("mean"))
     return loud.join(mean, "runtime_id").where(_lufs(F.col("e")) > _lufs(F.col("mean")) - 10).groupBy("runtime_id").agg(_lufs(F.avg("e")).alias("lufs_i"))
+
+
+def loudness_histogram(energies: DataFrame, rate: float = 48000.0, block_hops: int = BLOCK_HOPS) -> DataFrame:
+    """Blocks by loudness in tenths of an LU from -70 on: (runtime_id, tenth, n). Histograms of parts of a track add up, so this is the rollup to keep."""
+    tenth = F.floor((_lufs(F.col("e")) + 70) * 10).cast("int")
+    return gating_blocks(energies, rate, block_hops).where(_lufs(F.col("e")) > -70).groupBy("runtime_id", tenth.alias("tenth")).agg(F.count("*").alias("n"))
+
+
+def integrated_of(histogram: DataFrame) -> DataFrame:
+    """Gated loudness from histograms, to within a tenth of an LU of ``integrated``: each block counts as the middle of its tenth."""
+    level = F.col("tenth") / 10.0 - 69.95
+    rows = histogram.groupBy("runtime_id", "tenth").agg(F.sum("n").alias("n")).withColumns({"level": level, "e": F.pow(F.lit(10.0), (level + 0.691) / 10)})
+    mean = rows.groupBy("runtime_id").agg(_lufs(F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("mean"))
+    kept = rows.join(mean, "runtime_id").where(F.col("level") > F.col("mean") - 10)
+    return kept.groupBy("runtime_id").agg(_lufs(F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("lufs_i"))

@@ -33,8 +33,8 @@ def _region_columns() -> dict[str, Column]:
     return out
 
 
-def accumulate(frames: DataFrame, spectra: bool = False) -> DataFrame:
-    """Timeline partials of playing frames (A14); with spectra, region powers and chroma sums too."""
+def accumulate(frames: DataFrame, spectra: bool = False, also: list[Column] | None = None) -> DataFrame:
+    """Timeline partials of playing frames (A14); with spectra, region powers and chroma sums too; ``also`` adds to the key."""
     playing = frames.where("transport_v12_supported and transport_is_playing and transport_time_seconds is not null")
     playing = playing.withColumn("bin_index", bin_index(F.col("transport_time_seconds")))
     aggs = [
@@ -61,7 +61,18 @@ def accumulate(frames: DataFrame, spectra: bool = False) -> DataFrame:
         usable = F.col("chroma_energy_ratio") > 0
         weight = F.when(usable & F.col("chroma").isNotNull(), F.greatest(F.lit(1e-6), F.col("chroma_energy_ratio")))
         aggs += [F.coalesce(F.sum(weight * F.get("chroma", F.lit(i))), F.lit(0.0)).alias(f"chroma_{i}") for i in range(12)] + [F.coalesce(F.sum(weight), F.lit(0.0)).alias("chroma_weight")]
-    return playing.groupBy(*KEY, "bin_index").agg(*aggs)
+    return playing.groupBy(*KEY, "bin_index", *(also or [])).agg(*aggs)
+
+
+def merge(partials: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Partials of the same bins from several sources as one each."""
+    how = {"coverage_mask": F.bit_or, "last_received_at": F.max, "last_arrival_seq": F.max, "first_received_at": F.min}
+    by = by or [*KEY, "bin_index"]
+
+    def total(c: str) -> Column:
+        return how.get(c, F.max if c.endswith("_max") else F.sum)(c).alias(c)
+
+    return partials.groupBy(*by).agg(*[total(c) for c in partials.columns if c not in by and c != "received_window"])
 
 
 def finalize(partials: DataFrame, by: list[str], expected: Column | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Live views: the batch expressions over streams, and folds that need order within a key.
 
 The timeline is keyed by song second, not by arrival, and late frames still update their bin, so its stream has
-no watermark and runs in update mode; ``bound_ms`` adds one on receive time where state must be bounded.
+no watermark and runs in update mode; ``timeline_stream`` takes a bound on receive time where state must be bounded.
 """
 
 from __future__ import annotations
@@ -21,9 +21,18 @@ def read_events(spark: SparkSession, path: str, schema: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def timeline_stream(events: DataFrame) -> DataFrame:
-    """Timeline partials of an event stream (Z01): the same aggregation as in batch."""
-    return timeline.accumulate(source.from_events(events))
+def timeline_stream(events: DataFrame, bound_ms: int | None = None, span_seconds: int = 60) -> DataFrame:
+    """Timeline partials of an event stream (Z01): the same aggregation as in batch.
+
+    With ``bound_ms`` state is bounded (Z10): partials are kept by spans of receive time too (received_window), and a span is closed when
+    frames received ``bound_ms`` later than its end have been seen. A frame of a closed span is late: it is left out, and counted in the
+    query's numRowsDroppedByWatermark. A bin's partials of several spans are one by ``timeline.merge``.
+    """
+    frames = source.from_events(events)
+    if bound_ms is None:
+        return timeline.accumulate(frames)
+    timed = frames.withColumn("received", F.timestamp_seconds("received_at")).withWatermark("received", f"{bound_ms} milliseconds")
+    return timeline.accumulate(timed, also=[F.window("received", f"{span_seconds} seconds").alias("received_window")])
 
 
 def start_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "update"):
