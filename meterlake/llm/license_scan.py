@@ -4,7 +4,7 @@ Every text is cut into terms and these into units: lines and, with wrapped lines
 terms ends one), both also ended by ``.``, ``!`` or ``?`` before white space; and the whole text. A unit is a TF-IDF vector:
 term counts times ``ln((1 + N) / (1 + df)) + 1``, df being the number of documents, of all N, with
 that template term (terms outside the templates weigh as if in one document). Lines and sentences are compared with notices
-and titles, whole texts with whole licences; the best template by cosine, if ``least`` or more, counts. A document's licence is its whole
+and titles, whole texts with whole licences, each by the terms of those; the best template by cosine, if ``least`` or more, counts. A document's licence is its whole
 text's, else its best notice's. A licence file (a name like LICENSE or COPYING, a whole text found, one that opens with a
 title, or one that is mostly notice) gives its licence to its directory; documents without one of their own take that of
 the nearest ancestor directory, found by joining paths with directories.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,8 @@ WHOLE = [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 ]
-TEMPLATES = [(name, kind, text) for kind, of in enumerate((NOTICES, TITLES, WHOLE)) for name, text in of]
+#: Long licences as published, one file each, named by the licence.
+WHOLE += [(f.stem, f.read_text()) for f in sorted(Path(__file__).with_name("licenses").glob("*.txt"))]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -149,33 +151,53 @@ def _of(texts: list[str]):
     return terms(r)[1:]
 
 
-_HASH, _TEXT = _of([text for *_, text in TEMPLATES])
-VOCABULARY = np.unique(_HASH)
+class Templates:
+    """Templates of one sort (name, whether a title, text), in order, and the terms that they are made of."""
 
+    def __init__(self, templates: list[tuple[str, bool, str]]):
+        self.of = sorted(templates)
+        self.hash, self.text = _of([text for *_, text in self.of])
+        self.vocabulary = np.unique(self.hash)
 
-def places(hashes: np.ndarray) -> np.ndarray:
-    """Places in the vocabulary; -1 outside it."""
-    at = np.minimum(np.searchsorted(VOCABULARY, hashes), len(VOCABULARY) - 1)
-    return np.where(VOCABULARY[at] == hashes, at, -1)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each term in the vocabulary, -1 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def matrix(self, idf: np.ndarray) -> np.ndarray:
+        """The templates' unit vectors as columns."""
+        weight = np.zeros((len(self.vocabulary), len(self.of)))
+        np.add.at(weight, (self.places(self.hash), self.text), 1.0)
+        weight *= idf[:, None]
+        return weight / np.sqrt((weight * weight).sum(axis=0))
+
+
+#: Lines and sentences are compared with the first, whole texts with the second; each has its own terms.
+PARTS = Templates([(name, title, text) for title, of in ((False, NOTICES), (True, TITLES)) for name, text in of])
+LICENCES = Templates([(name, False, text) for name, text in WHOLE])
+SORTS = (PARTS, LICENCES)
 
 
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task: in how many texts each template term is, and the number of texts (place -1)."""
-    df, n_docs = np.zeros(len(VOCABULARY), np.int64), 0
+    """(place, n): how many texts hold each term of the first sort, then of the second; -1 with the number of texts."""
+    df, n_docs = np.zeros(sum(len(t.vocabulary) for t in SORTS), np.int64), 0
     for batch in batches:
         for r in runs(batch["text"]):
             _, hashes, text = terms(r)
-            place = places(hashes)
             n_docs += len(r)
-            both = np.unique(text[place >= 0] * len(VOCABULARY) + place[place >= 0])
-            df += np.bincount(both % len(VOCABULARY), minlength=len(VOCABULARY))
+            begin = 0
+            for sort in SORTS:
+                place, size = sort.places(hashes), len(sort.vocabulary)
+                both = np.unique(text[place >= 0] * size + place[place >= 0])
+                df[begin : begin + size] += np.bincount(both % size, minlength=size)
+                begin += size
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*df[some].tolist(), n_docs], pa.int64())], names=["place", "n"])
 
 
 def best_templates(unit: np.ndarray, hashes: np.ndarray, place: np.ndarray, idf: np.ndarray, rare: float, matrix: np.ndarray, least: float):
     """(unit, column of ``matrix``, cosine) of the units with a cosine of ``least`` or more."""
-    n, size = int(unit[-1]) + 1 if len(unit) else 0, len(VOCABULARY)
+    n, size = int(unit[-1]) + 1 if len(unit) else 0, len(idf)
     known = place >= 0
     both, tf = np.unique(unit[known] * size + place[known], return_counts=True)
     u, v = both // size, both % size
@@ -208,36 +230,30 @@ def best_templates(unit: np.ndarray, hashes: np.ndarray, place: np.ndarray, idf:
 FOUND = "id long, whole boolean, line boolean, at int, opens boolean, n_words int, n_total int, license string, score double"
 
 
-def scan(idf: np.ndarray, rare: float, least: float):
-    """Rows of the units that match a template; ``opens`` tells titles at the start of a text."""
+def scan(idf: list[np.ndarray], rare: float, least: float):
     names = [c.split()[0] for c in FOUND.split(", ")]
-    weight = np.zeros((len(VOCABULARY), len(TEMPLATES)))
-    np.add.at(weight, (places(_HASH), _TEXT), 1.0)
-    weight *= idf[:, None]
-    weight /= np.sqrt((weight * weight).sum(axis=0))
-    by_name = sorted(range(len(TEMPLATES)), key=lambda k: TEMPLATES[k])
-    parts, whole = ([k for k in by_name if (TEMPLATES[k][1] == 2) == w] for w in (False, True))
+    matrix = [sort.matrix(x) for sort, x in zip(SORTS, idf, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in runs(batch["text"]):
                 start, hashes, text = terms(r)
-                place = places(hashes)
+                place = [sort.places(hashes) for sort in SORTS]
                 total = np.bincount(text, minlength=len(r))
                 for kind, unit in enumerate(units(r, start, text)):
                     new = np.ones(len(unit), bool)
                     new[1:] = unit[1:] != unit[:-1]
                     first = np.flatnonzero(new)
-                    dense, of = np.cumsum(new) - 1, whole if kind == 2 else parts
-                    found, top, score = best_templates(dense, hashes, place, idf, rare, weight[:, of], least)
+                    k = int(kind == 2)
+                    found, top, score = best_templates(np.cumsum(new) - 1, hashes, place[k], idf[k], rare, matrix[k], least)
                     if not len(found):
                         continue
                     owner = text[first[found]]
                     begins = first[found] - np.searchsorted(text, owner)
-                    picked = [TEMPLATES[of[k]] for k in top]
+                    picked = [SORTS[k].of[j] for j in top]
                     columns = [
                         batch["id"].slice(r.first, len(r)).take(pa.array(owner)), pa.array([kind == 2] * len(found)), pa.array([kind == 0] * len(found)), pa.array(begins, pa.int32()),
-                        pa.array([k == 1 and b == 0 for (_, k, _), b in zip(picked, begins.tolist(), strict=True)]),
+                        pa.array([title and b == 0 for (_, title, _), b in zip(picked, begins.tolist(), strict=True)]),
                         pa.array(np.diff(np.append(first, len(unit)))[found], pa.int32()), pa.array(total[owner], pa.int32()), pa.array([x[0] for x in picked]), pa.array(score),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -253,7 +269,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One row a template term, and -1 with the number of texts.
     df = dict(rows.select("text").mapInArrow(document_counts, "place int, n long").groupBy("place").agg(F.sum("n")).collect())
     n_docs = df.get(-1, 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + max(1, df.get(k, 0)))) + 1 for k in range(len(VOCABULARY))])
+    every = np.array([math.log((1 + n_docs) / (1 + max(1, df.get(k, 0)))) + 1 for k in range(sum(len(t.vocabulary) for t in SORTS))])
+    idf = np.split(every, [len(PARTS.vocabulary)])
     units_found = rows.select("id", "text").mapInArrow(scan(idf, math.log((1 + n_docs) / 2) + 1, least), FOUND).distinct()
     best = lambda which: F.min(F.when(which, F.struct((-F.col("score")).alias("minus"), "license")))
     own = units_found.groupBy("id").agg(

@@ -470,17 +470,31 @@ def test_license_texts(spark):
     assert [got[100 + i].license for i in range(6)] == want[:6] and all(got[i].origin == "file" for i in range(6)) and got[100 + len(texts) - 1].license is None
 
 
+def test_long_licences_and_their_parts(spark):
+    """Whole texts of long licences, and their first and last two thirds, are that licence and no relative of it."""
+    whole = {name: text for name, text in license_scan.WHOLE if len(text) > 5000}
+    assert set(whole) == {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    cut = lambda text: (text, text[len(text) // 3 :], text[: 2 * len(text) // 3], "Copyright 2021 A. Person\n\n" + text)
+    rows = [(name, part) for name, text in sorted(whole.items()) for part in cut(text)]
+    filler = [(None, sentence(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, f"p{i}/x.txt") for i, (_, t) in enumerate(rows + filler)], "doc_id long, text string, path string")
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [(name, "file") for name, _ in rows]
+    assert all(got[i] == (None, None) for i in range(len(rows), len(rows) + 40))
+
+
 def test_license_cosines_by_plain_python(spark):
     import math
 
     term = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
     texts = [f"{sentence(6)} released under the MIT license {sentence(2)}", "licensed under the apache license version 2.0 and more of it", "MIT License", sentence(5)]
-    known = {t for *_, x in license_scan.TEMPLATES for t in term.findall(x.lower())}
+    sorts = {whole: sort.of for whole, sort in zip((False, True), license_scan.SORTS, strict=True)}
+    known = {whole: {t for *_, x in of for t in term.findall(x.lower())} for whole, of in sorts.items()}
     docs = [term.findall(t.lower()) for t in texts]
-    weigh = lambda t: math.log((1 + len(docs)) / (1 + max(1, sum(t in d for d in docs)) if t in known else 2)) + 1
-    vector = lambda words: {t: words.count(t) * weigh(t) for t in words}
+    weigh = lambda t, whole: math.log((1 + len(docs)) / (1 + max(1, sum(t in d for d in docs)) if t in known[whole] else 2)) + 1
+    vector = lambda words, whole: {t: words.count(t) * weigh(t, whole) for t in words}
     cosine = lambda a, b: sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    of = lambda d, whole: min((-round(cosine(vector(d), vector(term.findall(x.lower()))), 6), n) for n, k, x in license_scan.TEMPLATES if (k == 2) == whole)
+    of = lambda d, whole: min((-round(cosine(vector(d, whole), vector(term.findall(x.lower()), whole)), 6), n) for n, _, x in sorts[whole])
     best = [next((b for b in (of(d, True), of(d, False)) if -b[0] >= 0.3), (0, None)) for d in docs]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, path string"), least=0.3).collect()}
     for i, (minus, name) in enumerate(best):
