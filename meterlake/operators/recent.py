@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import expr as X
+from . import compare
 
 
 def window(frames: DataFrame, as_of: float, seconds: float, lo: float = 0.1, hi: float = 60.0) -> DataFrame:
@@ -80,6 +81,16 @@ def spectral_shape(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
     return frames.groupBy(by).agg(F.round(F.avg(active("rolloff_hz")), 2).alias("rolloff_hz"), F.round(F.avg(active("flatness")), 6).alias("flatness"))
 
 
+def project_state(frames: DataFrame, bindings: DataFrame) -> DataFrame:
+    """What a snapshot keeps of each track (T14, K03): its whole average of the window, with band levels (32, null where no active frame
+    has the band), its place in the mixer, and whether there was anything to analyse."""
+    levels = band_means(frames).groupBy("runtime_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "plain_db"))).alias("level"))  # 32 at most
+    levels = levels.select("runtime_id", F.transform(F.sequence(F.lit(0), F.lit(len(dims.BAND_CENTERS) - 1)), lambda i: F.try_element_at("level", i)).alias("bands_db"))
+    last = frames.groupBy("runtime_id").agg(F.max_by(F.struct("track", "signal_present"), "arrival_seq").alias("l")).select("runtime_id", F.col("l.track").alias("analyzer_name"), "l.signal_present")
+    whole = average(frames).join(spectral_shape(frames), "runtime_id").join(last, "runtime_id").join(levels, "runtime_id", "left").join(bindings, "runtime_id", "left")
+    return whole.withColumns({"identity": compare.identity(), "analysis_valid": F.col("active_frames") > 0})
+
+
 def low_band_profile(frames: DataFrame, by: str = "runtime_id") -> DataFrame:
     """Seconds observed, density of onsets, flux weighted by time, and the energy of 40-160 Hz.
 

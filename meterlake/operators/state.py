@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -17,6 +17,20 @@ def latest(frames: DataFrame, key: str = "runtime_id") -> DataFrame:
     return best.select(key, "r.*")
 
 
+#: Seconds of silence from which short-term loudness says nothing.
+SILENT = 3.0
+
+
+def public_frame(frames: DataFrame) -> DataFrame:
+    """Frames as they are shown (P02, T06): measures of a family that is not valid are null, and short-term loudness is after three
+    seconds of silence. Columns that the frames lack are not made."""
+    rules = [("spectrum_valid", ["centroid_hz", "rolloff_hz", "flatness", "bands_db"]), ("stereo_valid", ["stereo_correlation", "stereo_width", "band_stereo_correlation"])]
+    shown = {c: F.when(F.coalesce(flag, "signal_present", F.lit(True)), F.col(c)) for flag, names in rules for c in names if c in frames.columns}
+    if "lufs_s" in frames.columns:
+        shown["lufs_s"] = F.when(F.coalesce("silence_seconds", F.lit(0.0)) < SILENT, F.col("lufs_s"))
+    return frames.withColumns(shown)
+
+
 def last_event(events: DataFrame, as_of: float, max_age: float, order: str = "arrival_seq") -> DataFrame:
     """The last event overall if it is fresh."""
     return events.orderBy(F.desc(order)).limit(1).where((F.lit(as_of) - F.col("received_at")) <= max_age)
@@ -95,6 +109,41 @@ def project_status(live: DataFrame, bindings: DataFrame, as_of: float) -> DataFr
     )
 
 
+def _warnings(**found: Column) -> Column:
+    """The names of the conditions that hold."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in found.items()]))
+
+
+def song_status(live: DataFrame) -> DataFrame:
+    """How the live tracks stand to the song (T30): (live, supported, warnings) of one row a track."""
+    ok = F.col("transport_v12_supported")
+    return live.agg(
+        F.count("*").alias("live"),
+        F.count_if(ok).alias("supported"),
+        _warnings(
+            transport_unsupported=F.count_if(ok) < F.count("*"),
+            epochs_differ=F.min(F.when(ok, F.col("transport_epoch"))) < F.max(F.when(ok, F.col("transport_epoch"))),
+            lag_250_ms=F.max(F.when(ok, F.col("estimated_analysis_lag_ms"))) >= 250,
+            dropped_blocks=F.max(F.when(ok, F.col("dropped_blocks"))) > 0,
+        ).alias("warnings"),
+    )
+
+
+def song_overview(passes: DataFrame, least: float = 0.9) -> DataFrame:
+    """The newest pass of each track and what to mind when they are compared (T32): (tracks, start_seconds, end_seconds, warnings, partial),
+    of one row a track and pass; partial lists the tracks covered by less than ``least``."""
+    rest = [c for c in passes.columns if c != "runtime_id"]
+    newest = passes.groupBy("runtime_id").agg(F.max_by(F.struct(*rest), "transport_epoch").alias("p")).select("runtime_id", "p.*")
+    few = F.when(F.coalesce("coverage_ratio", F.lit(0.0)) < least, F.col("runtime_id"))
+    return newest.agg(
+        F.count("*").alias("tracks"),
+        F.min("start_seconds").alias("start_seconds"),
+        F.max("end_seconds").alias("end_seconds"),
+        _warnings(epochs_differ=F.min("transport_epoch") < F.max("transport_epoch"), lag_250_ms=F.max("max_lag_ms") >= 250, partial_coverage=F.count(few) > 0).alias("warnings"),
+        F.array_sort(F.collect_list(few)).alias("partial"),
+    ).where("tracks > 0")
+
+
 def segments(frames: DataFrame, families: list[str], mask: str = "analysis_feature_mask") -> DataFrame:
     """How often each feature family was switched by then, per track and pass (Z08, Z09): state keyed by track, pass and a family's
     segment is reset by a new pass, and by a switch of that family alone."""

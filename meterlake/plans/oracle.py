@@ -13,7 +13,7 @@ f1 AS (SELECT *, (us - 1704067200000000) / CAST(1.44e10 AS DOUBLE) AS t FROM f0)
 f2 AS (SELECT *, 20 * log10(greatest(value / 500, CAST(1e-9 AS DOUBLE))) + CAST({lift} AS DOUBLE) AS rms_db,
   CASE k % 8 WHEN 0 THEN 1 WHEN 1 THEN 15 WHEN 2 THEN 31 ELSE 63 END AS mask FROM f1),
 f AS (SELECT event_id AS arrival_seq, event_id % (SELECT greatest(count(*), 1) FROM embeddings) AS vec_id, 'rt-' || event_type AS runtime_id, event_type AS track, CAST(1 + user_id % 2 AS INTEGER) AS transport_epoch,
-  t, CAST(floor(t) AS INTEGER) AS bin, t AS received_at, k, mask, rms_db, rms_db > -50 AS sp, CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS crest_db, rms_db + CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS peak_db,
+  t, CAST(floor(t) AS INTEGER) AS bin, t AS received_at, k, mask, rms_db, rms_db > -50 AS sp, CASE WHEN k % 10 = 3 THEN CAST(k AS DOUBLE) / 10 ELSE 0 END AS silence, CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS crest_db, rms_db + CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) AS peak_db,
   CASE WHEN (mask & 2) <> 0 THEN rms_db + CAST(k AS DOUBLE) / CAST(8.3 AS DOUBLE) + CAST(0.3 AS DOUBLE) END AS true_peak_dbtp,
   CASE WHEN (mask & 2) <> 0 AND k % 10 <> 0 THEN rms_db - 1 END AS lufs_s,
   CASE WHEN (mask & 4) <> 0 THEN CASE WHEN rms_db > -50 THEN 200 + 350 * CAST(k AS DOUBLE) / CAST(7.1 AS DOUBLE) ELSE 0 END END AS centroid_hz,

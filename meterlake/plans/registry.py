@@ -37,9 +37,9 @@ def t05(spark, sf_dir):
     return both.select("runtime_id", "fl_track_index", kind.alias("state"))
 
 
-@query("p02_public_frame", f"WITH {sql.frames()}, {LATEST} SELECT runtime_id, round(rms_db, 4) AS rms_db, round(lufs_s, 4) AS lufs_s, round(centroid_hz, 2) AS centroid_hz, round(corr, 4) AS stereo_correlation, (mask & 4) <> 0 AS spectrum_valid, (mask & 8) <> 0 AS stereo_valid FROM latest")
+@query("p02_public_frame", f"WITH {sql.frames()}, {LATEST} SELECT runtime_id, round(rms_db, 4) AS rms_db, CASE WHEN silence < 3 THEN round(lufs_s, 4) END AS lufs_s, round(centroid_hz, 2) AS centroid_hz, round(corr, 4) AS stereo_correlation, (mask & 4) <> 0 AS spectrum_valid, (mask & 8) <> 0 AS stereo_valid FROM latest")
 def p02(spark, sf_dir):
-    last = state.latest(frames(spark, sf_dir))
+    last = state.public_frame(state.latest(frames(spark, sf_dir)))
     return last.select("runtime_id", F.round("rms_db", 4).alias("rms_db"), F.round("lufs_s", 4).alias("lufs_s"), F.round("centroid_hz", 2).alias("centroid_hz"), F.round("stereo_correlation", 4).alias("stereo_correlation"), "spectrum_valid", "stereo_valid")
 
 
@@ -169,3 +169,29 @@ def z13(spark, sf_dir):
     heard = f.where("arrival_seq % 2 = 0").select("runtime_id", F.col("at").alias("heard_at"))
     asked = f.where("arrival_seq % 2 = 1").select((F.col("arrival_seq") % 41).cast("int").alias("slot"), "at")
     return state.handshake(heard, asked, 0.01)
+
+
+@query("t06_shown_loudness", f"WITH {sql.frames()} SELECT arrival_seq, CASE WHEN silence < 3 THEN round(lufs_s, 4) END AS lufs_s, silence >= 3 AS silent FROM f")
+def t06_shown(spark, sf_dir):
+    f = frames(spark, sf_dir).select("arrival_seq", "lufs_s", "silence_seconds")
+    return state.public_frame(f).select("arrival_seq", F.round("lufs_s", 4).alias("lufs_s"), (F.col("silence_seconds") >= state.SILENT).alias("silent"))
+
+
+@query(
+    "t30_status_warnings",
+    f"""WITH {sql.frames()}, {LATEST} SELECT count(*) AS live, count(*) AS supported, concat_ws(',', CASE WHEN min(transport_epoch) < max(transport_epoch) THEN 'epochs_differ' END, CASE WHEN max(lag) >= 250 THEN 'lag_250_ms' END, CASE WHEN max(dropped) > 0 THEN 'dropped_blocks' END) AS warnings FROM latest""",
+)
+def t30_status(spark, sf_dir):
+    last = state.latest(frames(spark, sf_dir).select("runtime_id", "arrival_seq", "transport_v12_supported", "transport_epoch", "estimated_analysis_lag_ms", "dropped_blocks"))
+    return state.song_status(last).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(
+    "t32_overview_warnings",
+    f"""{P}, x AS ({sql.summary('runtime_id, transport_epoch', 'greatest(1, max(bin) + 1 - min(bin))')}), n AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY runtime_id ORDER BY transport_epoch DESC) = 1)
+    SELECT count(*) AS tracks, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, concat_ws(',', CASE WHEN min(transport_epoch) < max(transport_epoch) THEN 'epochs_differ' END, CASE WHEN max(max_lag_ms) >= 250 THEN 'lag_250_ms' END, CASE WHEN min(coverage_ratio) < CAST(0.9 AS DOUBLE) THEN 'partial_coverage' END) AS warnings,
+    coalesce(string_agg(CASE WHEN coverage_ratio < CAST(0.9 AS DOUBLE) THEN runtime_id END, ',' ORDER BY runtime_id), '') AS partial FROM n""",
+)
+def t32_overview(spark, sf_dir):
+    out = state.song_overview(timeline.pass_summary(partials(spark, sf_dir)))
+    return out.withColumns({"warnings": F.array_join("warnings", ","), "partial": F.array_join("partial", ",")})

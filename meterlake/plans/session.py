@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..operators import compare, recent, session_store, sessions, timeline
+from ..sources import frames as source
 from ..sources.versions import VersionedTables
 from ..streaming import dimension
 from . import oracle as sql
@@ -187,6 +189,22 @@ def t14(spark, sf_dir):
     return _captured(spark, sf_dir)
 
 
+_MEASURES = ["active_ratio", "peak_db", "rms_db", "lufs_s", "crest_db", "centroid_hz", "rolloff_hz", "flatness", "stereo_correlation", "stereo_width", "true_peak_latest"]
+_WHOLE = f"""{tools.WB}, {tools.BINDINGS}, av AS ({tools.ORACLE["t07_average"].removeprefix(tools.W)}), ss AS ({tools.ORACLE["t07_spectral_shape"].removeprefix(tools.W)}),
+ms AS (SELECT av.runtime_id, unnest([{", ".join(f"{{'measure': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in _MEASURES)}], recursive := true) FROM av JOIN ss ON ss.runtime_id = av.runtime_id UNION ALL SELECT runtime_id, 'band_' || band, CAST(plain_db AS DOUBLE) FROM means)"""
+
+
+@query("t14_whole_state", f"{_WHOLE} SELECT 'now' AS name, coalesce('mixer:' || fl_track_index || '/slot:' || slot, ms.runtime_id) AS identity, av.active_frames > 0 AS analysis_valid, measure, round(value, 6) AS value FROM ms JOIN av ON av.runtime_id = ms.runtime_id LEFT JOIN bindings b ON b.runtime_id = ms.runtime_id WHERE value IS NOT NULL")
+def t14_whole(spark, sf_dir):
+    """The whole state of each track, captured in a store and read back, measure by measure."""
+    state = recent.project_state(tools.window(spark, sf_dir, True), source.bindings(spark)).withColumn("name", F.lit("now"))
+    store = session_store.SnapshotStore(VersionedTables(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"))
+    store.capture(spark.createDataFrame([(" now ",)], "name string"), state, tools.AS_OF)
+    kept = store.read("now").select("name", "identity", "analysis_valid", *[F.col(m).cast("double").alias(m) for m in _MEASURES], *[F.get("bands_db", F.lit(i)).alias(f"band_{i}") for i in range(len(dims.BAND_CENTERS))])
+    long = kept.unpivot(["name", "identity", "analysis_valid"], [c for c in kept.columns if c not in ("name", "identity", "analysis_valid")], "measure", "value")
+    return long.where("value is not null").withColumn("value", F.round("value", 6))
+
+
 @query("t15_list_snapshots", f"{_CAPTURED}, ls AS (SELECT name, captured_at, count(*) AS tracks FROM ct GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY captured_at DESC, name) AS INTEGER) AS rank FROM ls QUALIFY rank <= 3")
 def t15(spark, sf_dir):
     return sessions.captures(_captured(spark, sf_dir), ["name"], 3)

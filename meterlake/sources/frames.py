@@ -122,6 +122,7 @@ def from_events(events: DataFrame, sectioned: bool = False) -> DataFrame:
         (1 + F.col("user_id") % 2).cast("int").alias("transport_epoch"),
         "transport_time_seconds",
         active.alias("signal_present"),
+        F.when(k % 10 == 3, k / 10.0).otherwise(0.0).alias("silence_seconds"),
         "rms_db",
         (k / 8.3).alias("crest_db"),
         (F.col("rms_db") + k / 8.3).alias("peak_db"),
