@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..operators import compare, pairs, recent, relations, state, structure, timeline
 from ..sources import frames as source
 from ..sources.cache import TableCache
@@ -118,11 +119,6 @@ def section_map(spark, sf_dir, sensitivity: float = 0.55, least: int = 8):
     return cache(spark).build(_inputs(sf_dir), params, lambda: _make_map(spark, sf_dir, sensitivity, least))
 
 
-@query("c07_boundaries")
-def c07(spark, sf_dir):
-    return section_map(spark, sf_dir)[1].read("boundaries")
-
-
 @query("c08_families")
 def c08(spark, sf_dir):
     return section_map(spark, sf_dir)[1].read("families")
@@ -143,6 +139,61 @@ def t33(spark, sf_dir):
     return s.select(*timeline.KEY, "section", "ord", "start", "end", "rms_db", "coverage_ratio").join(named, [*timeline.KEY, "ord"]).join(ids, timeline.KEY)
 
 
+_NAMES = [n for n, *_ in dims.REGIONS]
+_FRAME_REGIONS = f"""fb AS (SELECT f.runtime_id, f.transport_epoch, f.bin, arrival_seq, {sql.region_case('g.i')} AS region, avg(pow(10, (rms_db + 20 * CAST(embedding[g.i + 1] AS DOUBLE)) / 10)) AS p FROM f JOIN embeddings e ON e.vec_id = f.vec_id, (SELECT unnest(range(32)) AS i) g
+  WHERE (mask & 4) <> 0 AND rms_db + 20 * CAST(embedding[g.i + 1] AS DOUBLE) > -120 AND {sql.region_case('g.i')} IS NOT NULL GROUP BY ALL)"""
+#: pt with the regions' levels; cn: chroma of a bin, long; ac: activity of each track in its chosen pass.
+_WHOLE_POINTS = f"""{_POINTS.replace("pt AS (", "pt0 AS (")}, {_FRAME_REGIONS},
+rb AS (SELECT runtime_id, transport_epoch, bin, {", ".join(f"round(10 * log10(greatest(avg(p) FILTER (WHERE region = {i}), 1e-12)), 4) AS region_{n}" for i, n in enumerate(_NAMES))} FROM fb GROUP BY ALL),
+pt AS (SELECT pt0.*, {", ".join(f"CASE WHEN coverage >= 0.2 THEN region_{n} END AS region_{n}" for n in _NAMES)} FROM pt0 LEFT JOIN rb ON rb.runtime_id = pt0.runtime_id AND rb.transport_epoch = pt0.transport_epoch AND rb.bin = pt0.bin),
+sq AS (SELECT vec_id, [pow(CAST(embedding[i + 1] AS DOUBLE), 2) for i in range(32)] AS q FROM embeddings), sl AS (SELECT vec_id, q, list_sum(q[1:12]) AS low, list_sum(q) AS whole FROM sq),
+cs AS (SELECT f.runtime_id, f.transport_epoch, f.bin, g.i, sum(greatest(1e-6, low / whole) * q[g.i + 1] / low) AS e FROM f JOIN sl ON sl.vec_id = f.vec_id, (SELECT unnest(range(12)) AS i) g WHERE (mask & 32) <> 0 AND low > 0 GROUP BY ALL),
+cn AS (SELECT cs.*, round(e / sum(e) OVER (PARTITION BY cs.runtime_id, cs.transport_epoch, cs.bin), 5) AS c FROM cs JOIN pt ON pt.runtime_id = cs.runtime_id AND pt.transport_epoch = cs.transport_epoch AND pt.bin = cs.bin WHERE coverage >= 0.2),
+ps AS (SELECT runtime_id, transport_epoch FROM (SELECT *, row_number() OVER (PARTITION BY runtime_id ORDER BY n DESC, transport_epoch DESC) AS r FROM (SELECT runtime_id, transport_epoch, sum(bit_count(cover)) AS n FROM acc WHERE bin >= 0 AND bin < 180 GROUP BY ALL)) WHERE r = 1),
+ac AS (SELECT acc.runtime_id AS other, bin, CAST(active AS DOUBLE) / greatest(1, n) AS a FROM acc JOIN ps ON acc.runtime_id = ps.runtime_id AND acc.transport_epoch = ps.transport_epoch)"""
+_SIDES = "avg({0}) FILTER (WHERE bin < b) AS l, avg({0}) FILTER (WHERE bin >= b) AS r"
+_MORE_PARTS = f"""cm AS (SELECT gk.runtime_id, gk.transport_epoch, gk.b, gk.s, i, {_SIDES.format('c')} FROM gk JOIN cn ON cn.runtime_id = gk.runtime_id AND cn.transport_epoch = gk.transport_epoch AND cn.bin >= b - s AND cn.bin < b + s GROUP BY ALL),
+cp AS (SELECT runtime_id, transport_epoch, b, s, 'chroma' AS part, 1 - sum(l * r) / nullif(sqrt(sum(l * l) * sum(r * r)), 0) AS c FROM cm GROUP BY ALL HAVING bool_and(l IS NOT NULL AND r IS NOT NULL)),
+am AS (SELECT bs.b, bs.s, other, {_SIDES.format('a')} FROM (SELECT DISTINCT b, s FROM gk) bs JOIN ac ON bin >= b - s AND bin < b + s GROUP BY ALL),
+ap AS (SELECT b, s, avg(abs(r - l)) AS c FROM am WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY ALL),
+gq AS (SELECT * FROM gp UNION ALL SELECT * FROM cp WHERE c IS NOT NULL UNION ALL SELECT gk.runtime_id, gk.transport_epoch, gk.b, gk.s, 'activity', ap.c FROM gk JOIN ap ON ap.b = gk.b AND ap.s = gk.s)"""
+_WHOLE_NOVELTY = (
+    _NOVELTY.replace(_LONG, _LONG[:-1] + "".join(f" UNION ALL SELECT runtime_id, transport_epoch, bin, 'region_{n}', CAST(region_{n} AS DOUBLE) FROM pt WHERE region_{n} IS NOT NULL" for n in _NAMES) + ")")
+    .replace("WHEN feature = 'centroid_log2' THEN", "WHEN feature = 'centroid_log2' OR feature LIKE 'region_%' THEN")
+    .replace("WHEN 'stereo' THEN 0.08 ELSE 0.06", "WHEN 'stereo' THEN 0.08 WHEN 'chroma' THEN 0.15 WHEN 'activity' THEN 0.25 ELSE 0.06")
+    .replace("FROM gp GROUP BY ALL)", "FROM gq GROUP BY ALL)")
+    .replace("rw AS (", f"{_MORE_PARTS}, rw AS (")
+)
+
+
+@query("c06_whole_novelty", f"{PS}, {_WHOLE_POINTS}, {_WHOLE_NOVELTY} SELECT runtime_id, transport_epoch, bin AS bin_index, round(score, 5) AS score, scales FROM nv")
+def c06_whole(spark, sf_dir):
+    """Novelty from all its parts: levels, spectrum with regions, chroma, stereo, dynamics, change and the activity of all tracks."""
+    p = cut(partials(spark, sf_dir, True, True))
+    passes = relations.select_passes(p, 0, 180).select(*timeline.KEY)
+    active = p.join(passes, timeline.KEY, "left_semi").select("runtime_id", "bin_index", (F.col("active_count") / F.greatest(F.lit(1), F.col("frame_count"))).alias("active_ratio"))
+    return structure.novelty(structure.points(p), active).select("runtime_id", "transport_epoch", "bin_index", F.round("score", 5).alias("score"), "scales")
+
+
+_PASS_OF = "{0}.runtime_id = {1}.runtime_id AND {0}.transport_epoch = {1}.transport_epoch"
+
+
+@query(
+    "c07_boundaries",
+    f"""{PS.replace("WITH ", "WITH RECURSIVE ", 1)}, {_WHOLE_POINTS}, {_SMOOTH.replace(_NOVELTY, _WHOLE_NOVELTY)},
+    th AS (SELECT runtime_id, transport_epoch, greatest(CAST(0.12 AS DOUBLE), quantile_cont(v, 0.5) + CAST(0.55 AS DOUBLE) * greatest(0, quantile_cont(v, 0.9) - quantile_cont(v, 0.5))) AS t FROM sm GROUP BY ALL),
+    en AS (SELECT runtime_id, transport_epoch, min(bin) AS e0, max(bin) + 1 AS e1 FROM pt GROUP BY ALL HAVING count(*) >= 16),
+    pk AS (SELECT a.runtime_id, a.transport_epoch, a.bin, row_number() OVER (PARTITION BY a.runtime_id, a.transport_epoch ORDER BY a.v DESC, a.bin) AS k FROM sm a JOIN th ON {_PASS_OF.format('a', 'th')} JOIN en ON {_PASS_OF.format('a', 'en')}
+      LEFT JOIN sm p ON {_PASS_OF.format('p', 'a')} AND p.bin = a.bin - 1 LEFT JOIN sm q ON {_PASS_OF.format('q', 'a')} AND q.bin = a.bin + 1
+      WHERE a.v >= coalesce(p.v, -1) AND a.v >= coalesce(q.v, -1) AND a.v >= t AND a.bin - e0 >= 8 AND e1 - a.bin >= 8),
+    tk AS (SELECT runtime_id, transport_epoch, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken FROM en
+      UNION ALL SELECT tk.runtime_id, tk.transport_epoch, pk.k, CASE WHEN len(taken) < 47 AND len([x for x in taken if abs(x - bin) < 8]) = 0 THEN list_append(taken, CAST(bin AS INTEGER)) ELSE taken END FROM tk JOIN pk ON {_PASS_OF.format('pk', 'tk')} AND pk.k = tk.k + 1)
+    SELECT runtime_id, transport_epoch, unnest(taken) AS bin_index FROM (SELECT * FROM tk QUALIFY row_number() OVER (PARTITION BY runtime_id, transport_epoch ORDER BY k DESC) = 1)""",
+)
+def c07(spark, sf_dir):
+    return section_map(spark, sf_dir)[1].read("boundaries")
+
+
 @query("k08_map_profile")
 def k08_profile(spark, sf_dir):
     """What each track does in the sections of the built map (T34), with the sections' families."""
@@ -257,7 +308,15 @@ def g06(spark, sf_dir):
     return relations.family_counts(_section_tracks(spark, sf_dir).join(labels(spark), "section"), ["runtime_id"])
 
 
-@query("c09_spectral_pairs")
+#: rg: region levels of each track in each section, in dB; rs: their shares of power, null where one of the five regions has no level.
+_REGIONS = f"""{_FRAME_REGIONS},
+rg AS (SELECT fb.runtime_id, section, region, round(10 * log10(greatest(avg(p), 1e-12)), 4) AS db FROM fb JOIN ps ON fb.runtime_id = ps.runtime_id AND fb.transport_epoch = ps.transport_epoch JOIN sec ON fb.bin >= s0 AND fb.bin < s1 GROUP BY ALL),
+rs AS (SELECT runtime_id, section, region, pow(10, db / 10) / sum(pow(10, db / 10)) OVER (PARTITION BY runtime_id, section) AS share, count(*) OVER (PARTITION BY runtime_id, section) AS regions FROM rg),
+p3 AS (SELECT a.runtime_id AS ia, b.runtime_id AS ib, a.section, sum(least(a.share, b.share)) AS p3 FROM rs a JOIN rs b ON a.section = b.section AND a.region = b.region AND a.runtime_id < b.runtime_id WHERE a.regions = 5 AND b.regions = 5 GROUP BY ALL)"""
+_SPECTRAL = _PAIR.replace("coalesce(p2 * CAST(0.2 AS DOUBLE), 0)) /", "coalesce(p2 * CAST(0.2 AS DOUBLE), 0) + coalesce(p3 * CAST(0.5 AS DOUBLE), 0)) /").replace("WHEN p2 IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END, 0)", "WHEN p2 IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN p3 IS NOT NULL THEN CAST(0.5 AS DOUBLE) ELSE 0 END, 0)").replace("AS shape FROM pr)", "AS shape FROM pr LEFT JOIN p3 USING (ia, ib, section))")
+
+
+@query("c09_spectral_pairs", f"{PS}, {_ST}, {_REGIONS}, {_SPECTRAL} SELECT pair_id, section, overlap, shape, priority, status, louder FROM pv")
 def c09s(spark, sf_dir):
     return relations.pair_sections(_section_tracks(spark, sf_dir, True)).drop("ord")
 
