@@ -310,10 +310,10 @@ def test_sessions_block_and_complete_once(spark):
     assert got["s2"].blockers == ["invalid:b"] and got["s3"].blockers == ["missing:gone"] and got["s4"].targets == ["a", "b"]
     after = before.withColumn("rms_db", F.col("rms_db") + 2)
     columns = ["crest_db", "centroid_hz", "stereo_correlation", "lufs_s"]
-    wide = lambda df: df.withColumns({c: F.lit(None).cast("double") for c in columns})
+    wide = lambda df: df.withColumns({c: F.lit(None).cast("double") for c in columns} | {"frame_count": F.lit(3), "true_peak_dbtp": F.lit(-1.0)})
     targets = sessions.compare_targets(begun, wide(before), wide(after), {}, ["rms_db"])
     rows = {(r.session_id, r.runtime_id): r for r in targets.collect()}
-    assert rows["s1", "a"].controlled and rows["s1", "a"].rms_db_delta == 2.0 and rows["s1", "a"].comparable == ["energy"]
+    assert rows["s1", "a"].controlled and rows["s1", "a"].rms_db_delta == 2.0 and rows["s1", "a"].comparable == ["core", "loudness"]
     assert rows["s3", "gone"].failed == ["not_ready", "missing_before", "missing_after"] or "missing_before" in rows["s3", "gone"].failed
     said = spark.createDataFrame([("s1", "-2 dB"), ("s2", " ")], "session_id string, readback string")
     done = sessions.complete(begun, targets, said, F.lit(9.0))
