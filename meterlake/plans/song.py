@@ -436,10 +436,7 @@ def x26(spark, sf_dir):
 @query("t20_top_pairs_recent")
 def t20_top(spark, sf_dir):
     """The strongest evidence of each pair over the whole song instead of a window."""
-    f = tools.frames(spark, sf_dir, spectra=True).where(F.col("received_at") <= AS_OF)
-    m = recent.band_means(f)
-    p = pairs.tracks_in_pairs(m.select("runtime_id").distinct())
-    return pairs.evidence(recent.erb_bands(m), p, pairs.region_temporal(pairs.align(f, p), f, tools.ERBS), 1)
+    return tools.evidence_of(tools.frames(spark, sf_dir, spectra=True).where(F.col("received_at") <= AS_OF), k=1)
 
 
 @query("r10_wire_round_trip", f"WITH {sql.frames()} SELECT runtime_id, count(*) AS n, round(sum(rms_db), 3) AS rms, count(lufs_s) AS lufs, count(corr) AS corr, CAST(sum(dropped) AS BIGINT) AS dropped FROM f GROUP BY 1")
