@@ -19,19 +19,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Rows of a block: what a task holds at once.
-BLOCK_ROWS = 500_000
+#: Rows of a block: what a task holds at once, as Arrow.
+BLOCK_ROWS = 200_000
+BATCH_ROWS = 10_000
 KEY = "runtime_id"
 
 
 class Machine(NamedTuple):
-    """``summarise`` makes the map of a part of a track, ``act`` applies a map to a state, ``emit`` adds columns to rows from the state before them."""
+    """``summarise`` makes the map of a part of a track, ``act`` applies a map to a state, ``emit`` adds columns to rows from the state before them; both are given the columns of ``reads``."""
 
+    reads: list[str]
     state: str
     initial: tuple
     map: str
@@ -41,6 +45,9 @@ class Machine(NamedTuple):
     added: str
 
 
+ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
 def blocks(rows: DataFrame, order: list[str], key: str = KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` in ranges of (key, order), with their range's number as block; ``order`` must tell a track's rows apart."""
     n = max(1, -(-rows.count() // block_rows))
@@ -48,25 +55,25 @@ def blocks(rows: DataFrame, order: list[str], key: str = KEY, block_rows: int =
     return cut(ranged.withColumn("block", F.spark_partition_id()))
 
 
-def _parts(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each (track, block), in order, from batches of sorted rows."""
-    held: list[pd.DataFrame] = []
+    held: list[pa.RecordBatch] = []
     of: tuple = ()
-    for frame in frames:
-        if frame.empty:
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        name, block = pd.factorize(frame[key], use_na_sentinel=False)[0], frame["block"].to_numpy()
+        name = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices.to_numpy()
+        block = batch.column("block").to_numpy()
         new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (block[1:] != block[:-1])))
-        for lo, hi in zip(new, [*new[1:], len(frame)], strict=True):
-            part = frame.iloc[lo:hi]
-            now = None if pd.isna(part[key].iloc[0]) else part[key].iloc[0], part["block"].iloc[0]
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
+            now = batch.column(key)[lo].as_py(), int(block[lo])
             if held and now != of:
-                yield pd.concat(held, ignore_index=True)
+                yield pa.Table.from_batches(held)
                 held = []
             of = now
-            held.append(part)
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
 def fold(rows: DataFrame, order: list[str], machine: Machine, key: str = KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -74,13 +81,15 @@ def fold(rows: DataFrame, order: list[str], machine: Machine, key: str = KEY, bl
     added = [c.split()[0] for c in machine.added.split(", ")]
     states = [c.split()[0] for c in machine.state.split(", ")]
     maps = [c.split()[0] for c in machine.map.split(", ")]
+    map_types, added_types = ([ARROW[c.split()[1]] for c in columns.split(", ")] for columns in (machine.map, machine.added))
     rows = rows.drop(*added)
     kind = rows.schema[key].dataType.simpleString()
     dealt = blocks(rows, order, key, block_rows)
 
-    def summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _parts(frames, key):
-            yield pd.DataFrame([(part[key].iloc[0], part["block"].iloc[0], *machine.summarise(part))], columns=[key, "block", *maps])
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, key):
+            values = machine.summarise(part.select(machine.reads).to_pandas())
+            yield pa.RecordBatch.from_arrays([part[key].slice(0, 1).combine_chunks(), part["block"].slice(0, 1).combine_chunks(), *(pa.array([v], t) for v, t in zip(values, map_types, strict=True))], names=[key, "block", *maps])
 
     def compose(found: pd.DataFrame) -> pd.DataFrame:
         state, out = machine.initial, []
@@ -90,19 +99,24 @@ def fold(rows: DataFrame, order: list[str], machine: Machine, key: str = KEY, bl
         return pd.DataFrame(out, columns=[key, "block", *(f"entry_{s}" for s in states)])
 
     entry = ", ".join(f"entry_{c}" for c in machine.state.split(", "))
-    entries = dealt.mapInPandas(summaries, f"{key} {kind}, block int, {machine.map}").groupBy(key).applyInPandas(compose, f"{key} {kind}, block int, {entry}")
+    entries = dealt.select(key, "block", *(c for c in machine.reads if c != key)).mapInArrow(summaries, f"{key} {kind}, block int, {machine.map}").groupBy(key).applyInPandas(compose, f"{key} {kind}, block int, {entry}")
     # One row a track and block: Spark joins them without moving the rows where they are few, and what it moves is sorted again.
     entries = cut(entries.withColumnsRenamed({key: "fold_key", "block": "fold_block"}))
     met = dealt.join(entries, F.col(key).eqNullSafe(F.col("fold_key")) & (F.col("block") == F.col("fold_block"))).sortWithinPartitions(key, *order)
     names = rows.columns
+    met = met.select(*names, "block", *(f"entry_{c}" for c in states))
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _parts(frames, key):
-            state = tuple(part[f"entry_{s}"].iloc[0] for s in states)
-            yield machine.emit(part[names], state)[[*names, *added]]
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, key):
+            found = (part[f"entry_{s}"][0].as_py() for s in states)
+            got = machine.emit(part.select(machine.reads).to_pandas(), tuple(float("nan") if v is None else v for v in found))
+            out = part.select(names)
+            for c, t in zip(added, added_types, strict=True):
+                out = out.append_column(c, pa.array(got[c].to_numpy(), t))
+            yield from out.to_batches(max_chunksize=BATCH_ROWS)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), machine.added])
-    return met.mapInPandas(emit, schema)
+    return met.mapInArrow(emit, schema)
 
 
 NANO = 1_000_000_000
@@ -158,7 +172,7 @@ def gate(open_db: float = -48.0, close_db: float = -50.0, hold: float = 0.4) ->
         shown, silence = run(*levels(part), bool(state[0]), int(state[1]))
         return part.assign(open=shown, silence=silence / NANO)
 
-    return Machine("open boolean, silence long", (False, 0), "loud boolean, total long, lead long, all_low boolean, exit_open boolean, exit_silence long", summarise, act, emit, "open boolean, silence double")
+    return Machine(["level_db", "seconds"], "open boolean, silence long", (False, 0), "loud boolean, total long, lead long, all_low boolean, exit_open boolean, exit_silence long", summarise, act, emit, "open boolean, silence double")
 
 
 def throttle(seconds: float = 0.1, clock: str = "received_at") -> Machine:
@@ -196,7 +210,7 @@ def throttle(seconds: float = 0.1, clock: str = "received_at") -> Machine:
             at = int(to[at])
         return part.assign(kept=kept)
 
-    return Machine("last double", (float("-inf"),), "upto array<double>, ends array<double>", summarise, act, emit, "kept boolean")
+    return Machine([clock], "last double", (float("-inf"),), "upto array<double>, ends array<double>", summarise, act, emit, "kept boolean")
 
 
 def passes(rate: float = 48_000.0) -> Machine:
@@ -239,7 +253,7 @@ def passes(rate: float = 48_000.0) -> Machine:
         return part.assign(epoch=int(state[0]) + np.cumsum(counted(columns(part), state)))
 
     side = "{0}_playing boolean, {0}_position double, {0}_seconds double, {0}_size double"
-    return Machine("epoch long, playing boolean, position double, seconds double, size double", (0, False, float("nan"), 0.0, 0.0), f"inner long, {side.format('first')}, {side.format('last')}", summarise, act, emit, "epoch long")
+    return Machine(["playing", "position", "seconds", "size"], "epoch long, playing boolean, position double, seconds double, size double", (0, False, float("nan"), 0.0, 0.0), f"inner long, {side.format('first')}, {side.format('last')}", summarise, act, emit, "epoch long")
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], column: str, how: Callable[[Column], Column], merge: Callable[[Column, Column], Column], block_rows: int = BLOCK_ROWS) -> DataFrame:

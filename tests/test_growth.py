@@ -1,6 +1,8 @@
 """What grows with the input stays in Spark's partitions: nothing of frames' size through the driver, windows over levels, or Python at once."""
 
-from meterlake.operators import pairs
+from pyspark.sql import functions as F
+
+from meterlake.operators import folds, pairs
 
 EDGES = [(20.0, 200.0), (200.0, 20000.0)]
 
@@ -16,3 +18,18 @@ def test_aligned_pairs_meet_frames_without_broadcast(spark):
     met = pairs._joined(aligned, side)
     assert "Broadcast" not in plan(met)
     assert [(r.a_seq, r.levels_a[0], r.levels_b[0]) for r in met.collect()] == [(1, 1.0, 2.0)]
+
+
+def test_fold_reads_its_columns_only(spark):
+    """Other columns, also structs, pass through as Arrow; a machine gets what it reads, and a block's result comes in small batches."""
+    rows = spark.range(3000).select(F.lit("a").alias("runtime_id"), F.struct(F.col("id").cast("double").alias("t"), "id").alias("seq"), F.lit(-40.0).alias("level_db"), F.lit(0.1).alias("seconds"), F.lit("x").alias("other"))
+    gate = folds.gate()
+
+    def only(part, state):
+        assert list(part.columns) == ["level_db", "seconds"]
+        return gate.emit(part, state)
+
+    out = folds.fold(rows, ["seq"], gate._replace(emit=only), block_rows=1000)
+    assert "MapInPandas" not in plan(out) and out.columns == [*rows.columns, "open", "silence"]
+    got = out.collect()
+    assert len(got) == 3000 and all(r.open and r.other == "x" and r.seq.t == r.seq.id for r in got)
