@@ -33,3 +33,16 @@ def test_fold_reads_its_columns_only(spark):
     assert "MapInPandas" not in plan(out) and out.columns == [*rows.columns, "open", "silence"]
     got = out.collect()
     assert len(got) == 3000 and all(r.open and r.other == "x" and r.seq.t == r.seq.id for r in got)
+
+
+def test_passes_read_their_columns_only(spark):
+    """Positions may be missing; the order's struct and other columns stay in Arrow."""
+    rows = spark.range(3000).select(F.lit("a").alias("runtime_id"), F.struct("id").alias("seq"), F.lit(True).alias("playing"), F.when(F.col("id") % 3 > 0, F.col("id") * 512).alias("position"), (F.col("id") * 512 / 48000).alias("seconds"), F.lit(512).alias("size"))
+    passes = folds.passes()
+
+    def only(part, state):
+        assert list(part.columns) == ["playing", "position", "seconds", "size"]
+        return passes.emit(part, state)
+
+    got = folds.fold(rows, ["seq"], passes._replace(emit=only), block_rows=700).collect()
+    assert len(got) == 3000 and {r.epoch for r in got} == {1}
