@@ -23,8 +23,8 @@ def _windows(spark, sf_dir):
     return dsp.windows(source.hops(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
-def _measured(spark, sf_dir):
-    return dsp.analyse(_windows(spark, sf_dir))
+def _measured(spark, sf_dir, *only):
+    return dsp.analyse(_windows(spark, sf_dir), only)
 
 
 @query("w18_windows", f"WITH {_WINDOWS} SELECT runtime_id, hop_index, count(*) AS samples, round(sum(l * (t + 1)), 5) AS left_moment, round(sum(r * (t + 1)), 5) AS right_moment FROM wn GROUP BY ALL")
@@ -41,7 +41,7 @@ def d15(spark, sf_dir):
 
 @query("d03_levels", f"WITH {_WINDOWS}, {_LEVEL} SELECT runtime_id, hop_index, round(peak_db, 6) AS peak_db, round(rms_db, 6) AS rms_db, round(peak_db - rms_db, 6) AS crest_db FROM lv")
 def d03(spark, sf_dir):
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", *[F.round(c, 6).alias(c) for c in ("peak_db", "rms_db", "crest_db")])
+    return _measured(spark, sf_dir, *dsp.LEVELS).select("runtime_id", "hop_index", *[F.round(c, 6).alias(c) for c in dsp.LEVELS])
 
 
 @query(
@@ -51,7 +51,7 @@ def d03(spark, sf_dir):
     round({_DB.format('sqrt(avg((l + r) * (l + r) / 4))')}, 6) AS mid_rms_db, round({_DB.format('sqrt(avg((l - r) * (l - r) / 4))')}, 6) AS side_rms_db FROM wn GROUP BY ALL""",
 )
 def d04(spark, sf_dir):
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", *[F.round(c, 6).alias(c) for c in ("stereo_correlation", "stereo_width", "mid_rms_db", "side_rms_db")])
+    return _measured(spark, sf_dir, *dsp.STEREO).select("runtime_id", "hop_index", *[F.round(c, 6).alias(c) for c in dsp.STEREO])
 
 
 def _spectrum(first: int, last: int) -> str:
@@ -68,7 +68,7 @@ def _spectrum(first: int, last: int) -> str:
 )
 def d05(spark, sf_dir):
     """Centroid, rolloff and flatness from 20 Hz to 20 kHz: bins 2 to 1706."""
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", F.round("centroid_hz", 3).alias("centroid_hz"), F.round("rolloff_hz", 3).alias("rolloff_hz"), F.round("flatness", 6).alias("flatness"))
+    return _measured(spark, sf_dir, "centroid_hz", "rolloff_hz", "flatness").select("runtime_id", "hop_index", F.round("centroid_hz", 3).alias("centroid_hz"), F.round("rolloff_hz", 3).alias("rolloff_hz"), F.round("flatness", 6).alias("flatness"))
 
 
 _CENTERS = ", ".join(f"({i}, {int(c * 4096 / source.RATE)}, {c * 4096 / source.RATE - int(c * 4096 / source.RATE)!r})" for i, c in enumerate(dims.BAND_CENTERS))
@@ -81,13 +81,13 @@ _CENTERS = ", ".join(f"({i}, {int(c * 4096 / source.RATE)}, {c * 4096 / source.R
 )
 def d07(spark, sf_dir):
     """Levels of the 32 bands: the magnitude between the two bins beside each centre."""
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", F.posexplode("bands_db").alias("band", "level_db")).withColumn("level_db", F.round("level_db", 5))
+    return _measured(spark, sf_dir, "bands_db").select("runtime_id", "hop_index", F.posexplode("bands_db").alias("band", "level_db")).withColumn("level_db", F.round("level_db", 5))
 
 
 @query("d11_low_band", f"WITH {_WINDOWS}, {_spectrum(4, 13)} SELECT runtime_id, hop_index, round({_DB.format('sqrt(avg(m * m))')}, 5) AS low_band_energy_db FROM m GROUP BY ALL")
 def d11(spark, sf_dir):
     """The energy of 40 to 160 Hz: bins 4 to 13."""
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", F.round("low_band_energy_db", 5).alias("low_band_energy_db"))
+    return _measured(spark, sf_dir, "low_band_energy_db").select("runtime_id", "hop_index", F.round("low_band_energy_db", 5).alias("low_band_energy_db"))
 
 
 @query(
@@ -97,7 +97,7 @@ def d11(spark, sf_dir):
 )
 def d12(spark, sf_dir):
     """The shares of the twelve pitch classes from 80 Hz to 5 kHz: bins 7 to 426."""
-    return _measured(spark, sf_dir).select("runtime_id", "hop_index", F.posexplode("chroma").alias("pitch", "share")).withColumn("share", F.round("share", 6))
+    return _measured(spark, sf_dir, "chroma").select("runtime_id", "hop_index", F.posexplode("chroma").alias("pitch", "share")).withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -107,5 +107,5 @@ def d12(spark, sf_dir):
 )
 def z07(spark, sf_dir):
     """Level rises gathered from one emission to the next, every five hops."""
-    out = dsp.emissions(dsp.changes(_measured(spark, sf_dir)), 5)
+    out = dsp.emissions(dsp.changes(_measured(spark, sf_dir, "rms_db", "shape")), 5)
     return out.select("runtime_id", "emission", F.round("rms_rise_peak_db", 5).alias("rms_rise_peak_db"), "samples")

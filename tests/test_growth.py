@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from meterlake.operators import folds, pairs
+from meterlake.operators import dsp, folds, pairs
 
 EDGES = [(20.0, 200.0), (200.0, 20000.0)]
 
@@ -46,3 +46,18 @@ def test_passes_read_their_columns_only(spark):
 
     got = folds.fold(rows, ["seq"], passes._replace(emit=only), block_rows=700).collect()
     assert len(got) == 3000 and {r.epoch for r in got} == {1}
+
+
+def hops_of(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    return spark.createDataFrame([("a", i, 48000.0, *rng.normal(size=(2, dsp.SIZE)).tolist()) for i in range(n)], "runtime_id string, hop_index long, sample_rate double, left array<double>, right array<double>").coalesce(1)
+
+
+def test_audio_measures_what_is_asked_in_small_batches(spark):
+    """As when all is measured; 65 windows are 4 MB, and no call gets more than ``ROWS_AT_ONCE``."""
+    audio = hops_of(spark, 70)
+    low = dsp.analyse(audio, ("low_band_energy_db",))
+    assert low.columns == ["runtime_id", "hop_index", "low_band_energy_db"] and int(spark.conf.get(dsp.BATCH_BYTES).rstrip("bB")) <= 4 << 20
+    assert {r.hop_index: r[2] for r in low.collect()} == {r.hop_index: r[2] for r in dsp.analyse(audio).select(*low.columns).collect()}
