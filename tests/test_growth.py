@@ -61,3 +61,10 @@ def test_audio_measures_what_is_asked_in_small_batches(spark):
     low = dsp.analyse(audio, ("low_band_energy_db",))
     assert low.columns == ["runtime_id", "hop_index", "low_band_energy_db"] and int(spark.conf.get(dsp.BATCH_BYTES).rstrip("bB")) <= 4 << 20
     assert {r.hop_index: r[2] for r in low.collect()} == {r.hop_index: r[2] for r in dsp.analyse(audio).select(*low.columns).collect()}
+
+
+def test_chroma_alone_is_that_of_all(spark):
+    audio = hops_of(spark, 5)
+    got = dsp.analyse(audio, ("chroma",))
+    assert got.columns == ["runtime_id", "hop_index", "chroma"]
+    assert [r.chroma for r in got.collect()] == [r.chroma for r in dsp.analyse(audio).collect()]
