@@ -68,3 +68,10 @@ def test_chroma_alone_is_that_of_all(spark):
     got = dsp.analyse(audio, ("chroma",))
     assert got.columns == ["runtime_id", "hop_index", "chroma"]
     assert [r.chroma for r in got.collect()] == [r.chroma for r in dsp.analyse(audio).collect()]
+
+
+def test_spectrum_alone_is_that_of_all(spark):
+    names = ["centroid_hz", "rolloff_hz", "flatness"]
+    audio = hops_of(spark, 5)
+    got = dsp.analyse(audio, names)
+    assert got.columns == ["runtime_id", "hop_index", *names] and got.collect() == dsp.analyse(audio).select(*got.columns).collect()
