@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from meterlake.operators import dsp, folds, pairs
+from meterlake.plans import tools
 
 EDGES = [(20.0, 200.0), (200.0, 20000.0)]
 
@@ -75,3 +76,9 @@ def test_spectrum_alone_is_that_of_all(spark):
     audio = hops_of(spark, 5)
     got = dsp.analyse(audio, names)
     assert got.columns == ["runtime_id", "hop_index", *names] and got.collect() == dsp.analyse(audio).select(*got.columns).collect()
+
+
+def test_evidence_attaches_spectra_once(spark):
+    """What is planned on rereads what was cut; no step scans the events or their spectra again."""
+    scan = tools.QUERIES["t21_masking_scan"](spark, "/root/testdata/sf0.001")
+    assert "parquet" not in plan(scan).lower()
