@@ -82,3 +82,11 @@ def test_evidence_attaches_spectra_once(spark):
     """What is planned on rereads what was cut; no step scans the events or their spectra again."""
     scan = tools.QUERIES["t21_masking_scan"](spark, "/root/testdata/sf0.001")
     assert "parquet" not in plan(scan).lower()
+
+
+def test_regions_move_no_levels(spark):
+    """Sides are set against their maxima by a join with these few, not by a window that shuffles and sorts every level."""
+    met = spark.createDataFrame([("a", "b", True, True, [0.0, None], [-10.0, 1.0]), ("a", "b", True, False, [-10.0, 2.0], [0.0, 3.0])], "a string, b string, on_a boolean, on_b boolean, levels_a array<double>, levels_b array<double>")
+    got = pairs._of_regions(met)
+    assert "Window" not in plan(got)
+    assert {(r.region, r.usable_pairs, round(r.temporal, 9), r.coactive_ratio) for r in got.collect()} == {(0, 2, 0.1, 0.5), (1, 1, 1.0, 0.5)}
