@@ -14,7 +14,10 @@ no part, so each line is judged alone.
    96-bit parity sketch of the set. Words counted once are left out: no other line has them. Matching lines
    share the rarest word they have in common in both prefixes; where that word is frequent, the key is that
    word with the next one they share, and so on up to ``DEPTH`` words, while more than ``LIGHT`` lines are
-   expected to hold the key. A match shares as many words in prefixes that are longer by as many.
+   expected to hold the key. A match shares as many words in prefixes that are longer by as many. A key also has a mark of the
+   word before it, so that two lines meet by the key of their first common words and are passed over at later ones, where the
+   same word comes before in both. (Marks of two different words are equal once in 2^32; a match would be lost only where they
+   stand before the first common words of a line and all the earlier lines that match it.)
 3. Lines meet by key. Length, positional and sketch bounds (sketches differ in no more bits than sets
    do in words), all exact, leave few candidates; each later line sends on its nearest, ``SENT`` at most.
    Keys that more than ``OVER`` different sets hold all the same are written out, counted, and met in
@@ -47,7 +50,7 @@ LIGHT, DEPTH = 512, 3
 SIZES = (40, 160)
 OVER, BLOCK_LINES = 16_384, 4096
 #: Candidates sent on at most, by whether the nearest is within a quarter of the bound, half of it, or not (bounds below 4 tell nothing).
-SENT = (3, 16, 256)
+SENT = (2, 4, 4)
 #: Words from which a line has a second sketch: 96 bits no longer tell such lines apart.
 LONG = 128
 PAIRS_AT_ONCE = 200_000
@@ -169,27 +172,39 @@ def depths(n: np.ndarray, percent: int, deepest: int) -> tuple[np.ndarray, np.nd
 
 
 def prefix_keys(key: np.ndarray, line: np.ndarray, position: np.ndarray, prefix: np.ndarray, lines: int, own: np.ndarray, larger: np.ndarray):
-    """(key, line, position) of each prefix entry's keys; ``own`` and ``larger`` are the lines' ``depths``.
+    """(key, line, position, mark) of each prefix entry's keys; ``own`` and ``larger`` are the lines' ``depths``.
 
-    The position is such that n less it bounds the overlap of lines whose first common words are the key's.
+    The position is such that n less it bounds the overlap of lines whose first common words are the key's. The mark is 32 bits of the
+    last word before the key's last one that is not of the key: lines that both have it share a word that comes first, so they meet by another key.
+    It is 0 without such a word.
     """
     count = expected()[(key >> np.uint64(56)).astype(np.int64)]
     shared = count > 1
     at = np.flatnonzero(shared & (position < prefix[line]))
     unit, held = mix(key[at], 34), count[at]
+    words_at = at[:, None]  # of each key, its words' places
+    named = np.where(shared, np.maximum(mix(key, 37) >> np.uint64(32), np.uint64(1)), np.uint64(0))
+    begin = np.arange(len(key)) - position
+
+    def mark() -> np.ndarray:
+        before = words_at[:, -1] - 1
+        for k in range(words_at.shape[1] - 2, -1, -1):
+            before = before - (before == words_at[:, k])
+        return np.where(before >= begin[words_at[:, -1]], named[before], np.uint64(0))
     for depth in range(1, DEPTH + 1):
         # A frequent key that is cut short by a line's size is another than the one that goes on from it.
         done, cut = held <= LIGHT, (held > LIGHT) & ((depth == own[line[at]]) | (depth == larger[line[at]]))
-        yield unit[done], line[at[done]], position[at[done]] - (depth - 1)
-        yield mix(unit[cut], 36), line[at[cut]], position[at[cut]] - (depth - 1)
+        marks = mark()
+        yield unit[done], line[at[done]], position[at[done]] - (depth - 1), marks[done]
+        yield mix(unit[cut], 36), line[at[cut]], position[at[cut]] - (depth - 1), marks[cut]
         on = ~done & (depth < own[line[at]])
-        at, unit, held = at[on], unit[on], held[on]
+        at, unit, held, words_at = at[on], unit[on], held[on], words_at[on]
         if not len(at):
             return
         # Words after each in the line, in the prefix that is longer by the depth.
         i, j = _spread(at + 1, prefix[line[at]] + depth - position[at] - 1)
         i, j = i[shared[j]], j[shared[j]]
-        at, unit, held = j, mix(unit[i] ^ mix(key[j], 35), depth), held[i] * count[j] / max(1, lines)
+        at, unit, held, words_at = j, mix(unit[i] ^ mix(key[j], 35), depth), held[i] * count[j] / max(1, lines), np.column_stack([words_at[i], j])
 
 
 def sketch(place: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +218,7 @@ def scan_postings(min_words: int, percent: int, lines: int, table, heavy, probes
     """Keys of lines, with what the filters need, packed: unit holds 48 bits of the key, then the position
     (at most 65535: a smaller one only loosens a bound); line is number * 2^32 + n; b1 and the high half of b2
     are the sketch, the low half of b2 is from the set's hash; b3 and b4 are half of a sketch of twice as many bits
-    whose halves, added, are the first one (0 in lines of fewer than ``LONG`` words).
+    whose halves, added, are the first one (0 in lines of fewer than ``LONG`` words), the low half of b4 is the key's mark.
 
     ``table`` and ``heavy`` are Spark broadcasts. With ``probes``, a broadcast of bits by line, the lines whose bit is set are
     marked in a last column; with ``only``, one of bits by unit, just units whose bit is set are returned, else just marked lines.
@@ -238,14 +253,14 @@ def scan_postings(min_words: int, percent: int, lines: int, table, heavy, probes
                 prefix = np.where(skip, -DEPTH, prefix_length(n, percent))
                 own, larger = depths(n, percent, deepest)
                 position = np.arange(len(key)) - bounds[:-1][line]
-                unit, line, position = (np.concatenate(x) for x in zip(*prefix_keys(key, line, position, prefix, lines, own, larger), strict=True))
+                unit, line, position, marks = (np.concatenate(x) for x in zip(*prefix_keys(key, line, position, prefix, lines, own, larger), strict=True))
                 probe = []
                 if probes is not None:
                     marked = has_bit(probes.value, line_key(d, t, number))[line]
                     keep = marked if only is None else has_bit(only.value, unit >> np.uint64(16))
-                    unit, line, position, probe = unit[keep], line[keep], position[keep], [marked[keep]]
+                    unit, line, position, marks, probe = unit[keep], line[keep], position[keep], marks[keep], [marked[keep]]
                 unit = unit >> np.uint64(16) << np.uint64(16) | np.minimum(position, 65535).astype(np.uint64)
-                yield _batch([*names, "probe"][: len(names) + len(probe)], unit.view(np.int64), d[line], t[line], number[line].astype(np.int64) << 32 | n[line], b1[line], b2[line], b3[line], b4[line], *probe)
+                yield _batch([*names, "probe"][: len(names) + len(probe)], unit.view(np.int64), d[line], t[line], number[line].astype(np.int64) << 32 | n[line], b1[line], b2[line], b3[line], b4[line] | marks.view(np.int64), *probe)
 
     return run
 
@@ -305,7 +320,7 @@ def candidates(percent: int, sent: tuple[int, ...] | None, over: int | None):
     names = [c.split()[0] for c in PAIR.split(", ")]
 
     def pairs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        unit, n, position = t["unit"] >> 16, t["line"] & 2**32 - 1, t["unit"] & 65535
+        unit, n, position, mark = t["unit"] >> 16, t["line"] & 2**32 - 1, t["unit"] & 65535, t["b4"] & 2**32 - 1
         first = np.ones(len(unit), bool)
         first[1:] = unit[1:] != unit[:-1]
         begin = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -321,7 +336,7 @@ def candidates(percent: int, sent: tuple[int, ...] | None, over: int | None):
             x += at
             nx, ny = n[x], n[y]
             need = -(-percent * (nx + ny) // (100 + percent))
-            ok = np.minimum(nx - position[x], ny - position[y]) >= need
+            ok = (np.minimum(nx - position[x], ny - position[y]) >= need) & ((mark[x] != mark[y]) | (mark[x] == 0))
             x, y, both, need = x[ok], y[ok], (nx + ny)[ok], need[ok]
             b1, b2, b3, b4 = ((t[b][x] ^ t[b][y]).view(np.uint64) for b in ("b1", "b2", "b3", "b4"))  # signed values would be counted without their sign
             high, long = b2 >> np.uint64(32), np.minimum(nx[ok], ny[ok]) >= LONG
